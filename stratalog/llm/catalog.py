@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from stratalog.llm import pieces
+from stratalog.llm import decontaminate, pieces
 
 
 def queries() -> dict:
     return {
+        "op7_decontaminate": decontaminate.query,
         "op9_pieces": pieces.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op7_decontaminate": decontaminate.SQL,
+    }
