@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from stratalog.llm import decontaminate, pieces
+from stratalog.llm import decontaminate, language, pieces
 
 
 def queries() -> dict:
     return {
+        "op4_language": language.query,
         "op7_decontaminate": decontaminate.query,
         "op9_pieces": pieces.query,
     }
