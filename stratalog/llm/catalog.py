@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from stratalog.llm import decontaminate, language, pieces
+from stratalog.llm import decontaminate, language, pieces, pii, secrets
 
 
 def queries() -> dict:
     return {
+        "op3_pii": pii.query,
         "op4_language": language.query,
+        "op5_secrets": secrets.query,
         "op7_decontaminate": decontaminate.query,
         "op9_pieces": pieces.query,
     }
