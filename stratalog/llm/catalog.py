@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from stratalog.llm import decontaminate, language, pieces, pii, secrets
+from stratalog.llm import chunks, decontaminate, language, pieces, pii, secrets
 
 
 def queries() -> dict:
     return {
+        "op1_chunks": chunks.query,
         "op3_pii": pii.query,
         "op4_language": language.query,
         "op5_secrets": secrets.query,
