@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stratalog.llm import chunks, decontaminate, language, pieces, pii, secrets
+from stratalog.llm import chunks, decontaminate, language, near, pieces, pii, secrets
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_pii": pii.query,
         "op4_language": language.query,
         "op5_secrets": secrets.query,
+        "op6_near": near.query,
         "op7_decontaminate": decontaminate.query,
         "op9_pieces": pieces.query,
     }
