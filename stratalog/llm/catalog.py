@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stratalog.llm import chunks, decontaminate, language, near, pieces, pii, secrets
+from stratalog.llm import chunks, decontaminate, language, near, pieces, pii, secrets, suffixtree
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_secrets": secrets.query,
         "op6_near": near.query,
         "op7_decontaminate": decontaminate.query,
+        "op8_suffixtree": suffixtree.query,
         "op9_pieces": pieces.query,
     }
 
