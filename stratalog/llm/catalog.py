@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from stratalog.llm import chunks, decontaminate, language, near, pieces, pii, secrets, suffixtree
+from stratalog.llm import chunks, decontaminate, language, near, pieces, pii, secrets, suffixtree, topk
 
 
 def queries() -> dict:
     return {
         "op1_chunks": chunks.query,
+        "op10_topk": topk.query,
         "op3_pii": pii.query,
         "op4_language": language.query,
         "op5_secrets": secrets.query,
@@ -20,5 +21,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op10_topk": topk.SQL,
         "op7_decontaminate": decontaminate.SQL,
     }

@@ -124,25 +124,6 @@ def sketched(docs: DataFrame, recall: float) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of each group; rows come sorted by the group in the first column, groups are small."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        g = np.asarray(batch.column(0))
-        cuts = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
-        for lo, hi in zip(cuts, cuts[1:], strict=False):
-            if last is not None and g[lo] != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(lo, hi - lo))
-            last = g[lo]
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _roots(link: np.ndarray, names: np.ndarray) -> np.ndarray:
     """For each row the least name in its component of a boolean link matrix."""
     low = names.copy()
@@ -163,7 +144,7 @@ def likely_edges(buckets: DataFrame, margin: float) -> DataFrame:
     """(a, b): forests of the sets in each bucket (bucket, rep, sig) whose embedded sets agree in ``margin`` or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _grouped(batches):
+        for table in textbatch.grouped(batches):
             name = np.asarray(table["rep"])
             sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(-1, COORDINATES)
             same = np.empty((len(name), len(name)), bool)
@@ -227,7 +208,7 @@ def decided(sets: DataFrame) -> DataFrame:
     top, bottom = THRESHOLD
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _grouped(batches):
+        for table in textbatch.grouped(batches):
             name, first = np.unique(np.asarray(table["rep"]), return_index=True)
             if len(name) < 2:
                 continue
