@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from stratalog.llm import chunks, decontaminate, language, near, pieces, pii, secrets, suffixtree, topk
+from stratalog.llm import chunks, decontaminate, language, near, pieces, pii, quality, secrets, suffixtree, topk
 
 
 def queries() -> dict:
     return {
         "op1_chunks": chunks.query,
         "op10_topk": topk.query,
+        "op2_quality": quality.query,
         "op3_pii": pii.query,
         "op4_language": language.query,
         "op5_secrets": secrets.query,
