@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stratalog.llm import textbatch
 from stratalog.llm.components import components
@@ -269,6 +270,11 @@ def classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     and are classes of their own.  Rows with a null id take part; a class of
     null ids only has a null id.
     """
+    return _classes(docs, recall).select("doc_id", "class_id", "n_links")
+
+
+def _classes(docs: DataFrame, recall: float) -> DataFrame:
+    """What ``classes`` gives, with ``rep`` (hash of the words) and ``label`` (of the class)."""
     table = written(sketched(docs, recall), "sketches")
     grouped = table.where("rep is not null").groupBy("rep").agg(F.count("*").alias("weight"), F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("nodes").alias("nodes"))
     reps = written(grouped, "representatives")
@@ -287,9 +293,39 @@ def classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     named = reps.select("rep", "weight", "id").join(label.withColumnRenamed("v", "rep"), "rep", "left").join(count, "rep", "left")
     named = written(named.withColumn("label", F.coalesce("label", "rep")), "labelled")
     least = written(named.groupBy("label").agg(F.min("id").alias("class_id")), "classes")
-    final = written(named.join(least, "label").select("rep", "class_id", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "classes")
+    final = written(named.join(least, "label").select("rep", "label", "class_id", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "classes")
     out = table.select("doc_id", "rep").join(final, "rep", "left")
-    return out.select("doc_id", F.when(F.col("rep").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select("doc_id", "rep", "label", F.when(F.col("rep").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def one_of_each(docs: DataFrame, recall: float = RECALL) -> DataFrame:
+    """``docs`` with one row of each class: a row whose id names the class.
+
+    Rows without words stay, and so do rows with a null id: nothing names
+    them.  Ids that stand for several texts are told apart by their words; of
+    rows that repeat both id and words, one stays.
+    """
+    named = _classes(docs, recall).where("rep is not null and doc_id = class_id")
+    keepers = written(named.groupBy("label").agg(F.min(F.struct("rep", "doc_id")).alias("k")).select(F.col("k.rep").alias("__rep"), F.col("k.doc_id").alias("__id"), F.lit(True).alias("__keep")), "keepers")
+    rows = _with_rep(docs).withColumn("__id", F.col("doc_id").cast("long"))
+    kept = rows.join(keepers, ["__id", "__rep"], "left").where("__keep or __id is null or __rep is null")
+    own = F.when(F.col("__keep"), F.lit(-1)).otherwise(F.monotonically_increasing_id())
+    return kept.withColumn("__own", own).dropDuplicates(["__id", "__rep", "__own"]).select(*docs.columns)
+
+
+def _with_rep(docs: DataFrame) -> DataFrame:
+    """``docs`` with the hash of each text's words as ``__rep``."""
+    schema = T.StructType([*docs.schema.fields, T.StructField("__rep", T.LongType())])
+    where = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = textbatch.utf8(batch.column(where))
+            parts = [word_rows(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in textbatch.slices(offsets)]
+            rep = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rep.view(np.int64), mask=rep == 0)], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
