@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from stratalog.llm import textbatch
 
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # before A-Z are lower-cased
 _FOLD = bytes(c or 0x20 for c in textbatch.ALNUM.tolist())
 _RANGES = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 ADDED = ("n_words", "hit_words", "hit_chars", "items")
