@@ -23,5 +23,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op10_topk": topk.SQL,
+        "op3_pii": pii.SQL,
+        "op5_secrets": secrets.SQL,
         "op7_decontaminate": decontaminate.SQL,
     }

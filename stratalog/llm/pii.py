@@ -20,7 +20,7 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){11,18}+(?![ -]?[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}+(?: ?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9_])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 #: Words that, shortly before a span, speak for its kind.
@@ -141,3 +141,44 @@ def query(spark, sf_dir: str) -> DataFrame:
         *[count(k) for k in KINDS if k not in BASE],
         F.array_join(F.transform("pii", lambda s: F.format_number(s["score"], 2)), ",").alias("scores"),
     )
+
+
+def _sql() -> str:
+    """The same in DuckDB: plain patterns, positions from running lengths of gaps and matches."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    digits_of = "regexp_replace(v, '[^0-9]', '', 'g')"
+    pattern = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+        "card": "[0-9](?:[ -]?[0-9])+",
+        "phone": r"\+[0-9][ ().0-9-]+[0-9]",
+        "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
+        "ssn": "[0-9-]+",
+    }
+    turned = "(substr(replace(v, ' ', ''), 5) || substr(replace(v, ' ', ''), 1, 4))"
+    valid = {
+        "email": "true",
+        "ip": "len(list_filter(string_split(v, '.'), lambda x: length(ltrim(x, '0')) > 3 or cast('0' || left(ltrim(x, '0'), 3) as integer) > 255)) = 0",
+        "card": f"length({digits_of}) between 12 and 19 and list_sum(list_transform(range(1, length({digits_of}) + 1), lambda i: case when (length({digits_of}) - i) % 2 = 1 then (2 * cast(substr({digits_of}, i, 1) as integer)) // 10 + (2 * cast(substr({digits_of}, i, 1) as integer)) % 10 else cast(substr({digits_of}, i, 1) as integer) end)) % 10 = 0",
+        "phone": f"length({digits_of}) between 9 and 15",
+        "iban": f"length({turned}) between 15 and 34 and list_reduce(list_prepend(0, list_transform(range(1, length({turned}) + 1), lambda i: ascii(substr({turned}, i, 1)))), lambda a, c: case when c < 58 then (a * 10 + c - 48) % 97 else (a * 100 + c - 55) % 97 end) = 1",
+        "ssn": "regexp_full_match(v, '[0-9]{3}-[0-9]{2}-[0-9]{4}') and not regexp_matches(v, '^(?:000|666|9..)|-00-|-0000$')",
+    }
+    parts = []
+    for rank, kind in enumerate(KINDS):
+        p = quoted(pattern[kind])
+        low, more = SCORE[kind]
+        parts.append(f"""select doc_id, {rank} as rank, '{kind}' as kind, s, s + length(v) as e, score from (
+  select doc_id, v, s, {low} + case when regexp_matches(lower(substr(t, greatest(s - {WINDOW}, 0) + 1, s - greatest(s - {WINDOW}, 0))), {quoted(CONTEXT[kind])}) then {more} else 0 end as score from (
+    select doc_id, t, v, cast(sum(length(g) + length(v)) over (partition by doc_id order by i) - length(v) as bigint) as s from (
+      select doc_id, t, unnest(f) as v, unnest(string_split_regex(t, {p})[1:len(f)]) as g, unnest(range(1, len(f) + 1)) as i from (select doc_id, t, regexp_extract_all(t, {p}) as f from d)))
+  where {valid[kind]}) where {rank} < {len(BASE)} or score >= 0.5""")
+    counts = ", ".join(f"cast(coalesce(n_{k}, 0) as bigint) as n_{k}" for k in KINDS)
+    sums = ", ".join(f"count(*) filter (where kind = '{k}') as n_{k}" for k in KINDS)
+    one = "kind || ':' || cast(s as bigint) || ':' || cast(e as bigint)"
+    return f"""with d as (select doc_id, coalesce(text, '') as t from documents), s as ({' union all '.join(parts)}),
+x as (select doc_id, {sums}, string_agg({one}, ',' order by s, rank) filter (where rank < {len(BASE)}) as base, string_agg({one}, ',' order by s, rank) as spans, string_agg(printf('%.2f', cast(score as double)), ',' order by s, rank) as scores from s group by doc_id)
+select d.doc_id, {counts}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(scores, '') as scores from d left join x on x.doc_id = d.doc_id"""
+
+
+SQL = _sql()

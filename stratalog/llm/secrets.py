@@ -23,7 +23,7 @@ PATTERNS = {
     "access": r"AKIA[A-Z0-9]++",
     "hex": r"(?<![0-9a-f])[0-9a-f]{32,}+",
     "github": r"(?<![A-Za-z0-9_])gh[pousr]_[A-Za-z0-9]{36,}+",
-    "jwt": r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+",
+    "jwt": r"(?<![A-Za-z0-9_])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+",
     "pem": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----",
 }
 #: What stands before the value in a match of "assign".
@@ -109,3 +109,36 @@ def query(spark, sf_dir: str) -> DataFrame:
         "n_live",
         "n_copied",
     )
+
+
+def _sql() -> str:
+    """The same in DuckDB: plain patterns, positions from running lengths of gaps and matches."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    pattern = {
+        "assign": rf"(?i){_NAMES}[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]+",
+        "access": "AKIA[A-Z0-9]+",
+        "hex": "[0-9a-f]+",
+        "github": r"\bgh[pousr]_[A-Za-z0-9]{36,}",
+        "jwt": r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+        "pem": PATTERNS["pem"],
+    }
+    value = {"assign": f"regexp_replace(v, {quoted('^' + pattern['assign'].removesuffix('[A-Za-z0-9+/_.=-]+'))}, '')"}
+    valid = {"assign": f"length({value['assign']}) >= 8", "access": "length(v) >= 16", "hex": "length(v) >= 32"}
+    parts = []
+    for rank, kind in enumerate(KINDS):
+        p = quoted(pattern[kind])
+        parts.append(f"""select doc_id, source, {rank} as rank, '{kind}' as kind, s, s + length(v) as e, {value.get(kind, 'v')} as x from (
+  select doc_id, source, v, sum(length(g) + length(v)) over (partition by doc_id order by i) - length(v) as s from (
+    select doc_id, source, unnest(f) as v, unnest(string_split_regex(t, {p})[1:len(f)]) as g, unnest(range(1, len(f) + 1)) as i from (select doc_id, source, t, regexp_extract_all(t, {p}) as f from d)))
+  where {valid.get(kind, 'true')}""")
+    counts = ", ".join(f"cast(coalesce(n_{k}, 0) as bigint) as n_{k}" for k in BASE)
+    sums = ", ".join(f"count(*) filter (where kind = '{k}') as n_{k}" for k in BASE)
+    one = "kind || ':' || cast(s as bigint) || ':' || cast(e as bigint)"
+    return f"""with d as (select doc_id, source, coalesce(text, '') as t from documents), s as ({' union all '.join(parts)}),
+o as (select x, count(distinct source) as owners from s group by x),
+j as (select s.*, owners >= 3 or regexp_matches(s.x, {quoted(PLACEHOLDER)}) as copied from s join o on o.x = s.x),
+y as (select doc_id, {sums}, string_agg({one}, ',' order by s, rank) filter (where rank < {len(BASE)}) as base, string_agg({one}, ',' order by s, rank) as spans, count(*) filter (where not copied) as n_live, count(*) filter (where copied) as n_copied from j group by doc_id)
+select d.doc_id, {counts}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, cast(coalesce(n_live, 0) as bigint) as n_live, cast(coalesce(n_copied, 0) as bigint) as n_copied from d left join y on y.doc_id = d.doc_id"""
+
+
+SQL = _sql()
