@@ -36,7 +36,7 @@ def gear(data: np.ndarray) -> np.ndarray:
 
 
 def cuts(h: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """Places whose hash is less than any other within ``radius`` (ties: the first place)."""
+    """Places whose hash is the least within ``radius``; where text repeats with a short period, one in each period."""
     n, width = len(h), 2 * radius + 1
     if n < 2:
         return np.zeros(0, np.int64)
@@ -48,8 +48,7 @@ def cuts(h: np.ndarray, radius: int = RADIUS) -> np.ndarray:
         reach *= 2
     rest = width - reach
     low = np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
-    at = np.flatnonzero(h == low[:n])
-    return at[np.append(True, np.diff(at) > radius)] if len(at) else at
+    return np.flatnonzero(h == low[:n])
 
 
 def chunk(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +96,7 @@ def chunked(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
-def repeats(docs: DataFrame, least_chars: int = 150) -> DataFrame:
+def repeats(docs: DataFrame, least_chars: int = 100) -> DataFrame:
     """Repeated passages: one row for each place where one stands.
 
     A passage is a run of neighbouring chunks, at least ``least_chars`` long,
@@ -132,7 +131,7 @@ def repeats(docs: DataFrame, least_chars: int = 150) -> DataFrame:
     return out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
 
 
-def dedup(docs: DataFrame, least_chars: int = 150) -> DataFrame:
+def dedup(docs: DataFrame, least_chars: int = 100) -> DataFrame:
     """``docs`` without repeated passages, but for their first holder's.
 
     All other rows and columns stay as they are.

@@ -106,7 +106,7 @@ def dual_search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, poi
             score = np.where(other == query_ids[rows, None], NONE, score)
             score, other = np.concatenate([top[rows], score], 1), np.concatenate([best[rows], other], 1)
             other = np.where(score == NONE, np.iinfo(np.int64).max, other)
-            at = np.lexsort((other, -score.astype(np.float64) if exact else -score), axis=1)[:, :k]
+            at = np.lexsort((other, ~score), axis=1)[:, :k]  # ~x falls as x grows and cannot overflow
             top[rows], best[rows] = np.take_along_axis(score, at, 1), np.take_along_axis(other, at, 1)
             kth = top[rows, k - 1]
             worst[rows] = np.maximum(worst[rows], np.where(kth == NONE, -np.inf, kth))

@@ -401,6 +401,22 @@ def test_top_k_against_brute_force(spark, odd_dir):
         assert {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in got.collect()} == want
 
 
+def test_large_components_are_multiplied_as_integers():
+    rng = np.random.default_rng(6)
+    v = rng.integers(-(3 * 10**8), 3 * 10**8, (200, 6))
+    v[50:60] = v[0] + np.arange(10)[:, None]
+    score, best = topk.dual_search(np.arange(200), v, np.arange(200), v, np.full(200, -np.inf), 5)
+    for q in range(200):
+        want = sorted(((-sum(int(a) * int(b) for a, b in zip(v[q], v[c], strict=True)), c) for c in range(200) if c != q))[:5]
+        assert [(-s, c) for s, c in zip(score[q].tolist(), best[q].tolist(), strict=True)] == want
+
+
+def test_fewer_points_than_k():
+    v = np.array([[1, 0], [0, 1]])
+    score, best = topk.dual_search(np.array([0]), v[:1], np.arange(2), v, np.array([-np.inf]), 3)
+    assert score[0].tolist() == [0, topk.NONE, topk.NONE] and best[0, 0] == 1
+
+
 def test_cover_tree_covers():
     points = np.random.default_rng(0).normal(size=(700, 5)).round(1)
     tree = topk.CoverTree(points)
