@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalog.operators.runs import run_content
-from stratalog.sources.shared import numbered
+from stratalog.sources.shared import numbered, written
 
 
 def closed_form(ordinal: Column, runs: int, max_level: int) -> Column:
@@ -75,6 +75,39 @@ def leveled(files: DataFrame, n_files: int, multiplier: int, max_level: int) ->
     return files.withColumn("level", out)
 
 
+def leveled_compact(content: DataFrame, size: int, multiplier: int, max_level: int) -> DataFrame:
+    """One leveled call over (level, run, key, ts, seq, ...); runs of level 2 and up are disjoint and numbered by key.
+
+    Level 1 moves down as a whole; level i keeps multiplier ** (i - 1) runs and
+    moves the excess, lowest keys first.  What moves is merged with the runs of
+    the next level that overlap its key range and cut into files of ``size``
+    keys, which take those runs' place in the order.  Only counts and the two
+    ends of the moving range reach the driver; rows are written after each level.
+    """
+    rows = written(content, "levels")
+    columns = content.columns
+    for at in range(1, max_level):
+        here, below = rows.where(F.col("level") == at), rows.where(F.col("level") == at + 1)
+        n = here.agg(F.coalesce(F.max("run"), F.lit(0))).first()[0]
+        excess = n - (multiplier ** (at - 1) if at > 1 else 0)
+        if excess <= 0:
+            continue
+        moving = here.where(F.col("run") <= excess)
+        low, high = moving.agg(F.min("key"), F.max("key")).first()
+        ends = below.groupBy("run").agg(F.min("key").alias("min_key"), F.max("key").alias("max_key"))
+        met = ends.where((F.col("max_key") >= low) & (F.col("min_key") <= high)).select("run")
+        first, n_met, before = ends.agg(F.min(F.when((F.col("max_key") >= low) & (F.col("min_key") <= high), F.col("run"))), F.count_if((F.col("max_key") >= low) & (F.col("min_key") <= high)), F.count_if(F.col("max_key") < low)).first()
+        first = first or before + 1
+        files = written(resplit(moving.unionByName(below.join(met, "run", "left_semi").select(*columns)), size), "files")
+        n_files = files.agg(F.max("file") + 1).first()[0]
+        new = files.withColumns({"run": (F.col("file") + first).cast("long"), "level": F.lit(at + 1)}).select(*columns)
+        untouched = below.join(met, "run", "left_anti").withColumn("run", F.when(F.col("run") < first, F.col("run")).otherwise(F.col("run") - n_met + n_files).cast("long")).select(*columns)
+        stays = here.where(F.col("run") > excess).withColumn("run", (F.col("run") - excess).cast("long"))
+        others = rows.where(~F.col("level").isin(at, at + 1))
+        rows = written(others.unionByName(stays).unionByName(untouched).unionByName(new), "levels")
+    return rows
+
+
 def drop_tombstones(content: DataFrame, last_level: int) -> DataFrame:
     """Leave out tombstones in the last level (an extension; merges keep them)."""
     return content.where(~(F.col("tombstone") & (F.col("level") == last_level)))

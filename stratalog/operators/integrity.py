@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed value: SHA-1 of nothing, the partner of a level's odd last node.
@@ -46,6 +46,12 @@ def merkle_root(leaves: DataFrame, most: int, *by: str) -> DataFrame:
     return rows.select(*by, F.col("node").alias("root"))
 
 
+def text_leaves(spark: SparkSession, path: str) -> DataFrame:
+    """(pos, node): one leaf for each line of a text file, in order."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n", -1)).alias("pos", "line"))
+    return lines.select(F.col("pos").cast("long").alias("pos"), F.sha1("line").alias("node"))
+
+
 def verify(content: DataFrame, roots: DataFrame, *by: str) -> DataFrame:
     """(by..., sound): whether each run's root is the stored one (an extension)."""
     return content.join(roots.withColumnRenamed("root", "stored"), list(by), "left").select(*by, (F.col("root") == F.coalesce("stored", F.lit(""))).alias("sound"))

@@ -66,6 +66,11 @@ def sparse_index(content: DataFrame, interval: int, *by: str) -> DataFrame:
     return picked.select(*by, "key", F.lead("key").over(in_run).alias("next_key"))
 
 
+def next_run(content: DataFrame, level: int) -> int:
+    """The number of a level's next run."""
+    return (content.where(F.col("level") == level).agg(F.max("run")).first()[0] or 0) + 1
+
+
 def expected_size(level: int, memtable_size: int) -> int:
     return 2 ** (level - 1) * memtable_size
 

@@ -296,6 +296,21 @@ def leveled_files(spark, d):
     return compaction.leveled(files, n, MULTIPLIER, MAX_LEVEL).groupBy("level").agg(F.count("*").alias("n_files"), F.min("file").alias("first_file"), F.max("file").alias("last_file"))
 
 
+def _leveled_run_sql() -> str:
+    low, out = "(max(file) over () + 1)", []
+    for at in range(2, MAX_LEVEL):
+        low = f"greatest(0, {low} - {MULTIPLIER ** (at - 1)})"
+        out.append(f"when file >= {low} then file - {low} + 1")
+    return "case " + " ".join(out) + " else file + 1 end"
+
+
+@query("leveled_compaction", f"with {F2}, {newest('f2')}, x as (select key, seq, tombstone, (row_number() over (order by key) - 1) // {MEMTABLE} as file from cur) select key, seq, tombstone, cast({_leveled_sql()} as integer) as level, cast({_leveled_run_sql()} as bigint) as run from x")
+def leveled_compaction(spark, d):
+    log = runs.fixed_runs(oplog.from_orders(spark, d), 400)
+    rows = runs.run_content(log).withColumns({"level": F.lit(1), "run": F.col("run") + 1})
+    return compaction.leveled_compact(rows, MEMTABLE, MULTIPLIER, MAX_LEVEL).select("key", "seq", "tombstone", F.col("level").cast("int").alias("level"), "run")
+
+
 @query("tombstone_gc", f"with {TIERED} select cast(level as integer) as level, key, seq from tiered where not (tombstone and level = {MAX_LEVEL})")
 def tombstone_gc(spark, d):
     rows = _flushed(spark, d).withColumns({"level": F.lit(1), "run": F.col("run") + 1})

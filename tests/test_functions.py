@@ -93,3 +93,9 @@ def test_merkle(spark, n):
     assert integrity.merkle_root(leaves, n).first().root == want
     if n == 100:
         assert want == "cbfc9b625a3351334d143928571bbeaba7da7248"
+
+
+def test_leaves_from_text(spark, tmp_path):
+    (tmp_path / "data.txt").write_text("\n".join(f"data {i}" for i in range(1, 101)))
+    leaves = integrity.text_leaves(spark, str(tmp_path / "data.txt"))
+    assert integrity.merkle_root(leaves, 100).first().root == "cbfc9b625a3351334d143928571bbeaba7da7248"

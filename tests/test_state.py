@@ -98,6 +98,43 @@ def test_closed_form_is_the_pairing(spark, n, top):
     assert {r.id: (r.a.level, r.a.run) for r in got} == want
 
 
+def test_leveled_calls_in_turn(spark):
+    """Two calls with new runs in between, against a plain simulation."""
+    size, multiplier, top = 4, 2, 4
+    levels = {i: [] for i in range(1, top + 1)}
+
+    def call():
+        for at in range(1, top):
+            keep = multiplier ** (at - 1) if at > 1 else 0
+            if len(levels[at]) <= keep:
+                continue
+            moving, levels[at] = levels[at][: len(levels[at]) - keep], levels[at][len(levels[at]) - keep :]
+            low, high = min(min(r) for r in moving), max(max(r) for r in moving)
+            met = [r for r in levels[at + 1] if not (max(r) < low or min(r) > high)]
+            merged = {}
+            for r in met + moving:
+                for k, v in r.items():
+                    merged[k] = max(v, merged.get(k, v))
+            keys = sorted(merged)
+            cut = [{k: merged[k] for k in keys[i : i + size]} for i in range(0, len(keys), size)]
+            levels[at + 1] = sorted([r for r in levels[at + 1] if r not in met] + cut, key=min)
+
+    rows, seq, schema = None, 0, "level int, run long, key string, value string, ts long, tombstone boolean, seq long"
+    for turn in range(2):
+        for run in range(5):
+            new = {}
+            for i in range(size):
+                seq += 1
+                new[f"{(seq * 7 + turn * 5) % (23 + 20 * turn):03d}"] = seq
+            levels[1].append(new)
+            df = spark.createDataFrame([(1, run + 1, k, "v", v, False, v) for k, v in new.items()], schema)
+            rows = df if rows is None else rows.unionByName(df)
+        call()
+        rows = compaction.leveled_compact(rows, size, multiplier, top)
+        got = {(r.level, r.run, r.key, r.seq) for r in rows.collect()}
+        assert got == {(lv, i + 1, k, v) for lv, rs in levels.items() for i, r in enumerate(rs) for k, v in r.items()}
+
+
 def test_flush_counts_distinct_keys(spark):
     a = log(spark, [(k, "v", 1, False, i) for i, k in enumerate("aabacddab")])
     rows = runs.exact_runs(a, 3).orderBy("seq").collect()
