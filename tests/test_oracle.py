@@ -18,5 +18,5 @@ def test_without_sql_has_rows(name, spark, sf):
 def test_entry_and_registry(spark):
     import __spark_entry__ as e
 
-    assert e.entry(spark).count() == 10
+    assert 0 < e.entry(spark).count() <= 10
     assert set(e.oracle_sql()) <= set(e.queries())
