@@ -122,21 +122,26 @@ def simhash(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     up to 2 million words a text).
     """
     tokens = simhash_tokens(texts, key, text).withColumn("__md5", F.md5(F.encode("word", "UTF-8")))
-    sums = [F.sum("n").alias("__n")]
-    for j in range(32):
-        code = F.ascii(F.substring("__md5", j + 1, 1))
-        bit = lambda b, code=code: F.shiftright(code, b).bitwiseAND(1).cast("long")
-        sums.append(F.sum(F.col("n") * (bit(6) + bit(3) * (1 << 21) + bit(2) * (1 << 42))).alias(f"__a{j}"))
-        sums.append(F.sum(F.col("n") * (bit(1) + bit(0) * (1 << 21))).alias(f"__b{j}"))
+    code = lambda j: F.ascii(F.substr("__md5", j, F.lit(1))).cast("long")
+    bit = lambda j, b: F.shiftright(code(j), b).bitwiseAND(1)
+    places = F.sequence(F.lit(1), F.lit(32))
+    tokens = tokens.select(
+        key,
+        "n",
+        F.transform(places, lambda j: bit(j, 6) + bit(j, 3) * (1 << 21) + bit(j, 2) * (1 << 42)).alias("__a"),
+        F.transform(places, lambda j: bit(j, 1) + bit(j, 0) * (1 << 21)).alias("__b"),
+    )
+    sums = [F.sum("n").alias("__n"), *[F.sum(F.col("n") * F.col(f"__{x}")[j]).alias(f"__{x}{j}") for j in range(32) for x in "ab"]]
     packed = tokens.groupBy(key).agg(*sums)
     part = lambda c, k: F.shiftright(c, 21 * k).bitwiseAND((1 << 21) - 1)
     one = lambda ones: F.when(2 * ones > F.col("__n"), "1").otherwise("0")
-    bits = []
-    for j in range(32):
-        a, b = f"__a{j}", f"__b{j}"
+
+    def octet(a: Column, b: Column) -> Column:
         letters = part(a, 0)
-        bits += [F.lit("0"), one(letters), F.lit("1"), one(F.col("__n") - letters), one(part(a, 1)), one(part(a, 2)), one(part(b, 0)), one(part(b, 1))]
-    return packed.select(key, F.concat(*bits).alias("fingerprint"))
+        return F.concat(F.lit("0"), one(letters), F.lit("1"), one(F.col("__n") - letters), one(part(a, 1)), one(part(a, 2)), one(part(b, 0)), one(part(b, 1)))
+
+    a, b = (F.array(*[F.col(f"__{x}{j}") for j in range(32)]) for x in "ab")
+    return packed.select(key, F.array_join(F.zip_with(a, b, octet), "").alias("fingerprint"))
 
 
 def hamming(a: Column, b: Column) -> Column:
