@@ -284,7 +284,7 @@ def _classes(docs: DataFrame, recall: float) -> DataFrame:
     member = group.join(sizes, "label").withColumnRenamed("v", "rep").join(reps.select("rep", "weight", "id"), "rep")
     member = written(member.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")), "members")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    sets = _sets(docs).join(member, "rep").where("doc_id <=> id").select("label", "rep", "block", "weight", "shingles", other)
+    sets = _sets(docs).join(member.hint("merge"), "rep").where("doc_id <=> id").select("label", "rep", "block", "weight", "shingles", other)
     side: Column = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
     pair = F.xxhash64("label", F.least("block", "other"), F.greatest("block", "other"))
     links = written(decided(sets.select(pair.alias("pair"), "rep", side.cast("int").alias("side"), "weight", "shingles")), "links")
