@@ -17,11 +17,18 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     from files, so that Spark may broadcast them by size or split a hot node.
     """
     one = written(edges.where("a <> b").select("a", "b"), "edges")
-    both = one.union(one.select("b", "a"))
-    labels = written(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("v"), F.least("a", "least").alias("label")), "labels")
+
+    def neighbours(*ways: DataFrame) -> DataFrame:
+        """(v, near): the least near value of each node over both ways along the edges."""
+        ahead, back = (w.groupBy("v").agg(F.min("near").alias("near")) for w in ways)
+        return ahead.union(back).groupBy("v").agg(F.min("near").alias("near"))
+
+    ids = neighbours(one.select(F.col("a").alias("v"), F.col("b").alias("near")), one.select(F.col("b").alias("v"), F.col("a").alias("near")))
+    labels = written(ids.select("v", F.least("v", "near").alias("label")), "labels")
     for _ in range(rounds):
-        near = both.join(labels.select(F.col("v").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        step = written(labels.join(near.withColumnRenamed("a", "v"), "v").select("v", F.least("label", "near").alias("next"), F.col("label").alias("before")), "labels")
+        at_b = one.join(labels.select(F.col("v").alias("b"), F.col("label").alias("near")), "b").select(F.col("a").alias("v"), "near")
+        at_a = one.join(labels.select(F.col("v").alias("a"), F.col("label").alias("near")), "a").select(F.col("b").alias("v"), "near")
+        step = written(labels.join(neighbours(at_b, at_a), "v").select("v", F.least("label", "near").alias("next"), F.col("label").alias("before")), "labels")
         on = step.select(F.col("v").alias("next"), F.col("next").alias("far"))
         jumped = written(step.join(on, "next").select("v", F.col("far").alias("label"), "before"), "labels")
         labels = jumped.select("v", "label")

@@ -4,7 +4,7 @@ Texts become sets of word 5-shingles; texts with the same words are one
 representative.  Each set is embedded as ``COORDINATES`` min-hash tokens.  A run
 splits all sets on sampled tokens: sets that share a sampled token go down that
 path together.  Buckets of more than ``BUCKET`` sets are split again on further
-tokens; small buckets are brute-forced on the embedded sets.  As many runs are
+tokens, but for sets close to the bucket's center, which are joined to it; small buckets are brute-forced on the embedded sets.  As many runs are
 made as the target recall needs; runs share their first level, so they cost one
 exchange in all.
 
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -157,31 +157,83 @@ def likely_edges(buckets: DataFrame, margin: float) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _children(rows: DataFrame, mean: float) -> DataFrame:
-    """(rep, node): for each row (rep, node, sig) the paths below its node, on tokens sampled by the node."""
+def _splits(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many tokens each path below a bucket of n sets takes at once, and how many such paths.
+
+    Enough tokens that a bucket in which six of ten sets share a token comes to
+    about ``BUCKET`` sets, and enough paths that a pair at the threshold is in
+    the mean together on 1.6 of them.
+    """
+    tokens = np.clip(np.ceil(np.log(n / BUCKET) / np.log(1 / 0.6)), 1, 6).astype(np.int64)
+    return tokens, np.ceil(1.6 / (THRESHOLD[0] / THRESHOLD[1]) ** tokens).astype(np.int64)
+
+
+def _descended(rows: DataFrame, joined: float, settled: float) -> DataFrame:
+    """One step down from each row (rep, node, n, sig, center) of a large bucket of n sets.
+
+    Gives (rep, other, edge).  A set that agrees with its bucket's center in
+    ``joined`` or more is joined to the bucket (edge, other: the node).  One
+    that agrees in ``settled`` or more is done here: disagreement is a metric,
+    so whatever likely is linked to it is near enough to the center to be joined
+    as well.  The others go on (no edge, other: a path below the node) on tokens
+    sampled by the node.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = np.arange(COORDINATES, dtype=np.uint64)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            node = np.asarray(batch.column(1)).view(np.uint64)
-            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, COORDINATES)
-            draw = mix(node[:, None] * _MIX[1] + k[None, :] * _MIX[2])
-            row, at = np.nonzero(draw < np.uint64(int(2**64 * mean / COORDINATES)))
-            path = mix(draw[row, at] ^ (sig[row, at].astype(np.uint64) * _MIX[4] + np.uint64(1)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(batch.column(0))[row]), pa.array(path.view(np.int64))], names=["rep", "node"])
+            for lo in range(0, batch.num_rows, 2000):
+                part = batch.slice(lo, 2000)
+                rep = np.asarray(part.column(0))
+                sig, core = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(-1, COORDINATES) for c in (3, 4))
+                agree = (sig == core).mean(1)
+                on = agree >= joined
+                reps, others = [rep[on]], [np.asarray(part.column(1))[on]]
+                left = np.flatnonzero(agree < settled)
+                node, (tokens, paths) = np.asarray(part.column(1)).view(np.uint64), _splits(np.asarray(part.column(2)))
+                for d in np.unique(tokens[left]).tolist():
+                    own = left[tokens[left] == d]
+                    for q in range(int(paths[own[0]])):
+                        path = mix(node[own] * _MIX[1] + np.uint64(q + 1) * _MIX[2])
+                        at = path
+                        for _ in range(d):
+                            at = mix(at + _MIX[0])
+                            value = sig[own, (at % np.uint64(COORDINATES)).astype(np.int64)]
+                            path = mix(path ^ (value.astype(np.uint64) * _MIX[4] + np.uint64(1)))
+                        reps.append(rep[own])
+                        others.append(path.view(np.int64))
+                reps, others = np.concatenate(reps), np.concatenate(others)
+                yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(others), pa.array(np.arange(len(reps)) < on.sum())], names=["rep", "other", "edge"])
+
+    return rows.select("rep", "node", "n", "sig", "center").mapInArrow(run, "rep long, other long, edge boolean")
+
+
+def _centers(members: DataFrame, sample: int = 33) -> DataFrame:
+    """(node, n, center): of each bucket (node, n, rep, sig) the commonest value at each coordinate.
+
+    Taken over ``sample`` members; the rank filter works in each task before
+    the exchange.  A center only saves work: members far from it go on.
+    """
+    first = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("node", "rep")))
+    some = members.withColumn("__k", first).where(F.col("__k") <= sample)
 
-    return rows.select("rep", "node", "sig").mapInArrow(run, "rep long, node long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in textbatch.grouped(batches):
+            sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(-1, COORDINATES)
+            mode = bytes(int(np.bincount(sig[:, k]).argmax()) for k in range(COORDINATES))
+            yield pa.RecordBatch.from_arrays([pa.array([table["node"][0].as_py()]), pa.array([table["n"][0].as_py()]), pa.array([mode], pa.binary())], names=["node", "n", "center"])
+
+    return some.select("node", "n", "sig").repartition("node").sortWithinPartitions("node").mapInArrow(run, "node long, n long, center binary")
 
 
 def candidates(reps: DataFrame, margin: float = 0.66) -> DataFrame:
-    """(a, b): edges that join every pair likely at the threshold, over representatives (rep, sig, nodes)."""
+    """(a, b): edges that join every pair likely at the threshold, over representatives (rep, sig, nodes).
+
+    Ends of edges are representatives or, for large buckets, nodes.
+    """
     sigs = reps.select("rep", "sig")
     rows = reps.select("rep", F.explode("nodes").alias("node"))
     edges = None
     for level in range(DEPTH):
-        last = level == DEPTH - 1
         stats = rows.groupBy("node").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").bitwiseAND((1 << 40) - 1)).alias("print"), F.min("rep").alias("least")).where("n > 1")
         stats = written(stats, "nodes")
         small = stats.where(f"n <= {BUCKET}").groupBy("n", "print", "least").agg(F.min("node").alias("node"))
@@ -191,11 +243,13 @@ def candidates(reps: DataFrame, margin: float = 0.66) -> DataFrame:
         big = stats.where(f"n > {BUCKET}")
         if big.isEmpty():
             break
-        inside = rows.join(big.select("node", "least"), "node")
-        if last:  # sets that still go together after so many splits
-            edges = edges.union(inside.select(F.col("rep").alias("a"), F.col("least").alias("b")))
+        inside = written(rows.join(big.select("node", "n"), "node").join(sigs, "rep"), "inside")
+        if level == DEPTH - 1:  # sets that still go together after so many splits
+            edges = edges.union(inside.select(F.col("rep").alias("a"), F.col("node").alias("b")))
         else:
-            rows = written(_children(inside.join(sigs, "rep"), 3.0), "paths")
+            below = written(_descended(inside.join(written(_centers(inside), "centers").drop("n"), "node"), 0.45, 0.8), "paths")
+            edges = edges.union(below.where("edge").select(F.col("rep").alias("a"), F.col("other").alias("b")))
+            rows = below.where("not edge").select("rep", F.col("other").alias("node"))
     return edges.where("a <> b").distinct()
 
 
@@ -279,7 +333,7 @@ def _classes(docs: DataFrame, recall: float) -> DataFrame:
     grouped = table.where("rep is not null").groupBy("rep").agg(F.count("*").alias("weight"), F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("nodes").alias("nodes"))
     reps = written(grouped, "representatives")
     edges = candidates(reps)
-    group = components(edges)
+    group = components(edges).join(reps.select(F.col("rep").alias("v")), "v", "left_semi")
     sizes = group.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     member = group.join(sizes, "label").withColumnRenamed("v", "rep").join(reps.select("rep", "weight", "id"), "rep")
     member = written(member.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")), "members")
