@@ -44,7 +44,7 @@ class PieceCoder:
     number of remembered chunks beyond which only the latest texts' stay.
     """
 
-    def __init__(self, path: str, lockstep: int = 48, memory: int = 300_000, check: bool = True):
+    def __init__(self, path: str, lockstep: int = 48, memory: int = 200_000, check: bool = True):
         import sentencepiece
 
         self.lib = lib = sentencepiece.SentencePieceProcessor(model_file=path)
