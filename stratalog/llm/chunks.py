@@ -105,7 +105,8 @@ def repeats(docs: DataFrame, least_chars: int = 100) -> DataFrame:
     ends of up to a chunk may lie outside); ``n_chunks``; ``first_doc_id``, the
     smallest id of a document that holds the run's first chunk; ``n_places``, how
     often that chunk occurs; ``keep``, whether this document is
-    the first holder of every chunk in the run.  Null ids and texts take no
+    the first holder of every chunk in the run; ``drop``, the spans of the run's
+    chunks of which it is not, so every chunk stays in one document.  Null ids and texts take no
     part; empty texts have no chunks; a document listed twice with one id is
     one document.
 
@@ -117,27 +118,35 @@ def repeats(docs: DataFrame, least_chars: int = 100) -> DataFrame:
     counts = own.where("first_doc_id < last_doc_id").drop("last_doc_id")
     held = written(counts, "chunks")
     both = chunked(docs).join(held, "digest").select("doc_id", F.struct("number", "start", "end", "first_doc_id", "n_places").alias("c"))
-    schema = T.StructType.fromDDL("doc_id long, start int, end int, n_chunks int, first_doc_id long, n_places long, keep boolean")
-    empty = F.array().cast("array<struct<number:int,start:int,end:int,n:int,first_doc_id:bigint,n_places:bigint,keep:boolean>>")
+    schema = T.StructType.fromDDL("doc_id long, start int, end int, n_chunks int, first_doc_id long, n_places long, keep boolean, drop array<struct<start:int,end:int>>")
+    empty = F.array().cast("array<struct<number:int,start:int,end:int,n:int,first_doc_id:bigint,n_places:bigint,drop:array<struct<start:int,end:int>>>>")
+
+    none = F.array().cast("array<struct<start:int,end:int>>")
+
+    def dropped(parts, c):
+        last = F.try_element_at(parts, F.lit(-1))
+        own = F.struct(c["start"].alias("start"), c["end"].alias("end"))
+        longer = F.struct(last["start"].alias("start"), c["end"].alias("end"))
+        return F.when(c["first_doc_id"] == F.col("doc_id"), parts).when(last["end"] == c["start"], F.concat(F.slice(parts, 1, F.size(parts) - 1), F.array(longer))).otherwise(F.concat(parts, F.array(own)))
 
     def step(runs, c):
-        new = F.struct(c["number"].alias("number"), c["start"].alias("start"), c["end"].alias("end"), F.lit(1).alias("n"), c["first_doc_id"].alias("first_doc_id"), c["n_places"].alias("n_places"), (c["first_doc_id"] == F.col("doc_id")).alias("keep"))
+        new = F.struct(c["number"].alias("number"), c["start"].alias("start"), c["end"].alias("end"), F.lit(1).alias("n"), c["first_doc_id"].alias("first_doc_id"), c["n_places"].alias("n_places"), dropped(none, c).alias("drop"))
         last = F.try_element_at(runs, F.lit(-1))
-        longer = F.struct(c["number"].alias("number"), last["start"].alias("start"), c["end"].alias("end"), (last["n"] + 1).alias("n"), last["first_doc_id"].alias("first_doc_id"), last["n_places"].alias("n_places"), (last["keep"] & (c["first_doc_id"] == F.col("doc_id"))).alias("keep"))
+        longer = F.struct(c["number"].alias("number"), last["start"].alias("start"), c["end"].alias("end"), (last["n"] + 1).alias("n"), last["first_doc_id"].alias("first_doc_id"), last["n_places"].alias("n_places"), dropped(last["drop"], c).alias("drop"))
         return F.when(last["number"] + 1 == c["number"], F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(longer))).when(last["number"] == c["number"], runs).otherwise(F.concat(runs, F.array(new)))
 
     runs = both.groupBy("doc_id").agg(F.array_sort(F.collect_list("c")).alias("cs")).select("doc_id", F.explode(F.aggregate("cs", empty, step)).alias("r"))
-    out = runs.select("doc_id", "r.start", "r.end", F.col("r.n").alias("n_chunks"), "r.first_doc_id", "r.n_places", "r.keep").where(F.col("end") - F.col("start") >= least_chars)
+    out = runs.select("doc_id", "r.start", "r.end", F.col("r.n").alias("n_chunks"), "r.first_doc_id", "r.n_places", (F.size("r.drop") == 0).alias("keep"), "r.drop").where(F.col("end") - F.col("start") >= least_chars)
     return out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
 
 
 def dedup(docs: DataFrame, least_chars: int = 100) -> DataFrame:
-    """``docs`` without repeated passages, but for their first holder's.
+    """``docs`` without repeated passages, but for the chunks of which a document is the first holder.
 
     All other rows and columns stay as they are.
     """
     rest = docs.columns
-    spans = repeats(docs, least_chars).where("not keep").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__spans"))
+    spans = repeats(docs, least_chars).where("not keep").groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("drop"))).alias("__spans"))
     left = F.aggregate(
         "__spans",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("kept")),

@@ -110,6 +110,26 @@ def test_repeated_passages_are_found_and_clean_texts_left(spark):
     assert all(kept[i] == text[i] for i in [*range(20), *range(100, 140)]) and all(len(kept[i]) < len(text[i]) - 150 for i in range(20, 60))
 
 
+def test_copies_with_a_shared_passage_keep_every_chunk(spark):
+    rng = np.random.default_rng(5)
+    prose = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), 5)) for _ in range(n))
+    shared, copy = prose(60), f"{prose(80)} {{}} {prose(80)}"
+    rows = [(1, f"{prose(40)} {shared} {prose(40)}"), (2, copy.format(shared)), (3, prose(100)), (4, copy.format(shared))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    digests = lambda texts: set().union(*({*chunks.chunk(np.frombuffer(t.encode(), np.uint8))[1].tolist()} for t in texts))
+    got = {r.doc_id: r for r in chunks.repeats(docs).collect()}
+    assert set(got) == {1, 2, 4} and [got[i].keep for i in (1, 2, 4)] == [True, False, False] and len(got[2].drop) == 1
+    kept = {r.doc_id: r.text for r in chunks.dedup(docs).collect()}
+    assert kept[1] == rows[0][1] and len(kept[4]) == 0
+    whole = "".join(kept.values())
+    text, missing = dict(rows), digests(text for _, text in rows)
+    for i, t in text.items():
+        data = t.encode()
+        starts, digest = chunks.chunk(np.frombuffer(data, np.uint8))
+        missing -= {d for d, lo, hi in zip(digest.tolist(), starts, [*starts[1:], len(data)], strict=True) if data[lo:hi].decode() in whole}
+    assert not missing
+
+
 # --- op2 ---
 
 
