@@ -8,10 +8,12 @@ suffix by more than a likelihood-ratio test allows; kept distributions are
 smoothed towards that suffix.  A symbol is scored in the longest kept suffix of
 what stands before it.
 
-Contexts of up to three symbols are a dense table.  A longer context, or a
-symbol after it, must have a share of at least ``p_min`` of all places in the
-training texts, so there are at most 1 / ``p_min`` of them at each depth, at any
-size of the corpus, and the tree can be broadcast.
+Every symbol counted after a context that occurs at least twice takes part in
+the test.  It runs depth by depth as joins and groups of written tables, which
+grow with the corpus.  Only a head is broadcast: codes (a symbol and the
+``DEPTH`` before it) with a share of at least ``p_min`` of all places, so at
+most 1 / ``p_min`` of them.  The other codes of a text are joined with the
+tables, so ``p_min`` does not change a score.
 
 Word counts for the base score have no such bound.  The commonest words (at
 most ``head``, found from a histogram of the counts) are broadcast; each other
@@ -25,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,8 +69,8 @@ def codes(data: np.ndarray, offsets: np.ndarray, symbol: np.ndarray) -> tuple[np
 
 @dataclass
 class Level:
-    """Kept contexts of one length above three, sorted, with the share left to the shorter context;
-    and the symbols counted after them (context x SYMBOLS + symbol), sorted, with their probability."""
+    """The head of one depth: kept contexts, sorted, with the factor for symbols that are not in the head;
+    and symbols after contexts (context x SYMBOLS + symbol), sorted, with their probability."""
 
     contexts: np.ndarray
     left: np.ndarray
@@ -76,77 +78,68 @@ class Level:
     p: np.ndarray
 
     def apply(self, grams: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-        if not len(self.contexts):
-            return shorter
-        context = grams // SYMBOLS
-        at = np.minimum(np.searchsorted(self.contexts, context), len(self.contexts) - 1)
-        out = np.where(self.contexts[at] == context, self.left[at] * shorter, shorter)
-        if len(self.grams):
-            at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
-            out = np.where(self.grams[at] == grams, self.p[at], out)
-        return out
+        out = shorter
+        if len(self.contexts):
+            context = grams // SYMBOLS
+            at = np.minimum(np.searchsorted(self.contexts, context), len(self.contexts) - 1)
+            out = np.where(self.contexts[at] == context, self.left[at] * shorter, shorter)
+        found, p = known_in(self.grams, self.p, grams)
+        return np.where(found, p, out)
+
+
+def known_in(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each key asked for is in the sorted ``keys``, and its value."""
+    if not len(keys):
+        return np.zeros(len(asked), bool), np.zeros(len(asked))
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return keys[at] == asked, values[at]
 
 
 @dataclass
 class Tree:
-    """Probabilities after up to three symbols, the levels above, and log10 of each byte within its symbol."""
+    """Each symbol's probability without context, the heads of depths 1 to ``DEPTH``, and log10 of each byte within its symbol.
+
+    ``tables`` has for each depth the whole of it: context, gram, n, total, shorter, kept, p and left.
+    """
 
     symbol: np.ndarray
-    table: np.ndarray
+    single: np.ndarray
     levels: list[Level]
     byte: np.ndarray
+    tables: list[DataFrame]
 
     def probability(self, code: np.ndarray) -> np.ndarray:
-        p = self.table[code % SYMBOLS**4].astype(np.float64)
-        for k, level in enumerate(self.levels):
-            p = level.apply(code % SYMBOLS ** (5 + k), p)
+        """By the head alone: exact for its codes; the others after a context share what is left."""
+        p = self.single[code % SYMBOLS]
+        for k, level in enumerate(self.levels, 1):
+            p = level.apply(code % SYMBOLS ** (1 + k), p)
         return p
 
-    def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """log10 probability of each text (A-Z lower-cased) with its end."""
-        code, starts = codes(data, offsets, self.symbol)
-        seen, at = np.unique(code, return_inverse=True)
-        out = np.add.reduceat(np.log10(self.probability(seen))[at], starts)
-        extra = np.concatenate(([0.0], np.cumsum(self.byte[_LOWER[data]])))
-        return out + extra[offsets[1:]] - extra[offsets[:-1]]
-
-
-def dense(grams: np.ndarray, counts: np.ndarray, pull: float, test: float) -> np.ndarray:
-    """Probabilities of each symbol after the longest kept suffix of each three symbols."""
-    full = np.zeros(SYMBOLS**4, np.float32)
-    full[grams] = counts
-    full = full.reshape((SYMBOLS,) * 4)
-    deeper = [full]
-    for _ in range(3):
-        deeper.append(deeper[-1].sum(0, dtype=np.float64))
-    p = (deeper[3] + 1.0) / (deeper[3].sum() + SYMBOLS)
-    for c in reversed(deeper[:3]):
-        total = c.sum(-1, keepdims=True, dtype=np.float64)
-        shorter = np.broadcast_to(p, c.shape)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gain = 2 * np.where(c > 0, c * np.log(c / (total * shorter)), 0).sum(-1, keepdims=True)
-        keep = gain > test * (c > 0).sum(-1, keepdims=True)
-        p = np.where(keep, (c + pull * shorter) / (total + pull), shorter).astype(np.float32)
-    return p.ravel()
-
-
-def level(tree: Tree, contexts: np.ndarray, totals: np.ndarray, grams: np.ndarray, counts: np.ndarray, pull: float, test: float) -> Level:
-    """The next level over ``tree``, from contexts and grams with their counts."""
-    order = np.argsort(contexts)
-    contexts, totals = contexts[order], totals[order].astype(np.float64)
-    order = np.argsort(grams)
-    grams, counts = grams[order], counts[order].astype(np.float64)
-    at = np.searchsorted(contexts, grams // SYMBOLS)
-    shorter = tree.probability(grams)
-    n = len(contexts)
-    seen, passed, gain = (np.bincount(at, w, n).astype(np.float64) for w in (counts, shorter, counts * np.log(counts / (totals[at] * shorter))))
-    rest = totals - seen
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain += np.where(rest > 0, rest * np.log(rest / (totals * np.maximum(1 - passed, 1e-12))), 0)
-    keep = 2 * gain > test * (np.bincount(at, minlength=n) + 1)
-    left = (rest + pull) / (totals + pull)
-    p = counts / (totals[at] + pull) + left[at] * shorter
-    return Level(contexts[keep], left[keep], grams[keep[at]], p[keep[at]])
+
+def logs(codes: DataFrame, tree: Tree) -> DataFrame:
+    """(code, log): log10 probability of distinct codes by the whole tree.
+
+    A code that was never counted has the probability of its longest counted
+    suffix, times what the longer kept contexts leave.
+    """
+    spark = codes.sparkSession
+    whole = tree.tables[-1].select(F.col("gram").alias("code"), "p")
+    joined = written(codes.join(whole, "code", "left"), "codes")
+    parts = [spark.createDataFrame([(0, i, float(p)) for i, p in enumerate(tree.single)], "kind int, key long, value double")]
+    asked = [F.struct(F.lit(0).alias("kind"), (F.col("code") % SYMBOLS).alias("key"))]
+    for depth, table in enumerate(tree.tables, 1):
+        parts.append(table.select(F.lit(depth).alias("kind"), F.col("gram").alias("key"), F.col("p").alias("value")))
+        parts.append(table.where("kept").groupBy("context").agg(F.first("left").alias("value")).select(F.lit(-depth).alias("kind"), F.col("context").alias("key"), "value"))
+        gram = F.col("code") % SYMBOLS ** (depth + 1)
+        asked += [F.struct(F.lit(depth).alias("kind"), gram.alias("key")), F.struct(F.lit(-depth).alias("kind"), F.expr(f"(code % {SYMBOLS ** (depth + 1)}) div {SYMBOLS}").alias("key"))]
+    values = parts[0]
+    for part in parts[1:]:
+        values = values.unionByName(part)
+    one = joined.where("p is null").select("code", F.explode(F.array(*asked)).alias("a")).select("code", "a.kind", "a.key")
+    found = one.join(values, ["kind", "key"]).groupBy("code").agg(F.max(F.when(F.col("kind") >= 0, F.struct("kind", "value"))).alias("suffix"), F.collect_list(F.when(F.col("kind") < 0, F.struct("kind", "value"))).alias("left"))
+    left = F.aggregate("left", F.lit(0.0), lambda a, x: a + F.when(-x["kind"] > F.col("suffix.kind"), F.log10(x["value"])).otherwise(0.0))
+    new = found.select("code", (F.log10("suffix.value") + left).alias("log"))
+    return joined.where("p is not null").select("code", F.log10("p").alias("log")).unionByName(new)
 
 
 def _histogram(texts: DataFrame) -> np.ndarray:
@@ -210,21 +203,39 @@ class Lexicon:
 
 def _tree(grams: DataFrame, histogram: np.ndarray, p_min: float, pull: float = 4.0, test: float = 2.0) -> Tree:
     """The tree from (key, n) counts of codes; each table that reaches the driver is bounded (see above)."""
-
-    def gathered(key: F.Column, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
-        sums = grams.groupBy(key.alias("key")).agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
-        return np.asarray(sums["key"], np.int64), np.asarray(sums["n"], np.int64)
-
     symbol = alphabet(histogram)
     rare = symbol == ESCAPE
     byte = np.zeros(256)
     byte[rare] = np.log10((histogram[rare] + 0.5) / (histogram[rare].sum() + 0.5 * rare.sum()))
-    tree = Tree(symbol, dense(*gathered(F.col("key") % SYMBOLS**4), pull, test), [], byte)
+    single = np.ones(SYMBOLS)
+    for row in grams.groupBy((F.col("key") % SYMBOLS).alias("key")).agg(F.sum("n").alias("n")).collect():
+        single[row.key] += row.n
+    single /= single.sum()
+    tree = Tree(symbol, single, [], byte, [])
     least = max(2, int(np.ceil(p_min * histogram.sum())))
-    for depth in range(4, DEPTH + 1):
-        key = F.col("key") % SYMBOLS ** (depth + 1)
-        contexts, totals = gathered(F.expr(f"(key % {SYMBOLS ** (depth + 1)}) div {SYMBOLS}"), least)
-        tree.levels.append(level(tree, contexts, totals, *gathered(key, least), pull, test))
+    shorter = grams.sparkSession.createDataFrame(list(enumerate(single.tolist())), "suffix long, shorter double")
+
+    def gathered(rows: DataFrame) -> list[np.ndarray]:
+        columns = [c.to_numpy() for c in rows.toArrow().columns]
+        order = np.argsort(columns[0])
+        return [c[order] for c in columns]
+
+    for depth in range(1, DEPTH + 1):
+        counts = grams.groupBy((F.col("key") % SYMBOLS ** (depth + 1)).alias("gram")).agg(F.sum("n").alias("n"))
+        rows = counts.withColumn("suffix", F.col("gram") % SYMBOLS**depth).join(shorter, "suffix").select(F.expr(f"gram div {SYMBOLS}").alias("context"), "gram", "n", "shorter")
+        group = Window.partitionBy("context")
+        rows = rows.withColumns({"total": F.sum("n").over(group), "gain": F.sum(F.col("n") * F.log(F.col("n") / F.col("shorter"))).over(group), "seen": F.count("*").over(group)})
+        kept = (F.col("total") >= 2) & (2 * (F.col("gain") - F.col("total") * F.log("total")) > test * (F.col("seen") + int(depth > 3)))
+        left = F.lit(pull) / (F.col("total") + pull)
+        rows = rows.withColumns({"kept": kept, "left": left})
+        p = F.when(F.col("kept"), F.col("n") / (F.col("total") + pull) + F.col("left") * F.col("shorter")).otherwise(F.col("shorter"))
+        table = written(rows.select("context", "gram", "n", "total", "shorter", "kept", p.alias("p"), "left"), "contexts")
+        tree.tables.append(table)
+        head = F.col("n") >= least
+        sums = table.where((F.col("total") >= least) & F.col("kept")).groupBy("context").agg(F.first("left").alias("left"), (F.sum(F.when(~head, F.col("n")).otherwise(0)) / (F.first("total") + pull)).alias("rest"), F.sum(F.when(head, F.col("shorter")).otherwise(0.0)).alias("passed"))
+        contexts, left, rest, passed = gathered(sums)
+        tree.levels.append(Level(contexts, left + rest / np.maximum(1 - passed, 1e-12), *gathered(table.where(head).select("gram", "p"))))
+        shorter = table.select(F.col("gram").alias("suffix"), F.col("p").alias("shorter"))
     return tree
 
 
@@ -265,16 +276,16 @@ def score(docs: DataFrame, tree: Tree, lexicon: Lexicon) -> DataFrame:
     A null text is empty: one token, the end.  Rows stay as they are; columns
     of the added names are replaced.
     """
-    added = T.StructType.fromDDL("n_tokens long, n_known long, base double, score double, rare array<long>")
-    names = ("n_tokens", "n_known", "train_tokens", "base_score", "base", "score", "rare", "text", "__row")
+    added = T.StructType.fromDDL("n_tokens long, n_known long, base double, score double, rare array<long>, tail array<struct<code:long,times:long>>")
+    names = ("n_tokens", "n_known", "train_tokens", "base_score", "base", "score", "rare", "tail", "text", "__row")
     rest = [c for c in docs.columns if c not in names]
     docs = docs.select(*rest, "text")
     schema = T.StructType([*docs.schema.fields[:-1], *added.fields])
-    shared = docs.sparkSession.sparkContext.broadcast((tree, lexicon.words, lexicon.counts))
+    shared = docs.sparkSession.sparkContext.broadcast((tree.symbol, tree.byte, tree.levels[-1].grams, np.log10(tree.levels[-1].p), lexicon.words, lexicon.counts))
     ends = lexicon.texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, words, counts = shared.value
+        symbol, byte, grams, chances, words, counts = shared.value
         logs = np.append(np.log10(counts + 0.1), -1.0)  # the last: a rare word, until the join finds it
         words = np.append(words, np.uint64(0xFFFFFFFFFFFFFFFF))
         real = len(counts)
@@ -289,30 +300,44 @@ def score(docs: DataFrame, tree: Tree, lexicon: Lexicon) -> DataFrame:
                 known = np.concatenate(([0], np.cumsum(found)))
                 rare = h[~found].view(np.int64)
                 left = np.arange(len(h) + 1) - known
+                code, starts = codes(text, own, symbol)
+                seen, place = np.unique(code, return_inverse=True)
+                settled, chance = known_in(grams, chances, seen)
+                extra = np.concatenate(([0.0], np.cumsum(byte[_LOWER[text]])))
+                total = np.add.reduceat(np.where(settled, chance, 0.0)[place], starts) + extra[own[1:]] - extra[own[:-1]]
+                open_ = np.flatnonzero(~settled[place])
+                pair = (np.searchsorted(starts, open_, "right") - 1) * len(seen) + place[open_]
+                pair, times = np.unique(pair, return_counts=True)
+                ends_at = np.searchsorted(pair, np.arange(len(own)) * len(seen)).astype(np.int32)
+                tail = pa.StructArray.from_arrays([pa.array(seen[pair % len(seen)]), pa.array(times)], names=["code", "times"])
                 yield pa.RecordBatch.from_arrays(
                     [
                         *[c.slice(i, j - i) for c in batch.columns[: len(rest)]],
                         pa.array(np.diff(first) + 1),
                         pa.array(np.diff(known[first]) + (ends > 0)),
                         pa.array(np.diff(gain[first]) + np.log10(ends + 0.1)),
-                        pa.array(tree.score(text, own)),
+                        pa.array(total),
                         pa.ListArray.from_arrays(pa.array(left[first].astype(np.int32)), pa.array(rare)),
+                        pa.ListArray.from_arrays(pa.array(ends_at), tail),
                     ],
                     names=schema.names,
                 )
 
     table = written(docs.mapInArrow(run, schema).withColumn("__row", F.monotonically_increasing_id()), "scores")
     rare = table.where(F.size("rare") > 0).select("__row", F.explode("rare").alias("key"))
-    more = rare.join(lexicon.rest, "key").groupBy("__row").agg(F.count("*").alias("found"), F.sum(F.log10(F.col("n") + 0.1) + 1.0).alias("gain"))
+    tail = table.where(F.size("tail") > 0).select("__row", F.explode("tail").alias("t")).select("__row", "t.code", "t.times")
+    found = rare.join(lexicon.rest, "key").select("__row", F.lit(1).alias("found"), (F.log10(F.col("n") + 0.1) + 1.0).alias("gain"), F.lit(0.0).alias("more"))
+    later = tail.join(logs(tail.select("code").distinct(), tree), "code").select("__row", F.lit(0).alias("found"), F.lit(0.0).alias("gain"), (F.col("times") * F.col("log")).alias("more"))
+    more = found.unionByName(later).groupBy("__row").agg(F.sum("found").alias("found"), F.sum("gain").alias("gain"), F.sum("more").alias("more"))
     whole = float(np.log10(lexicon.tokens + 0.1 * (lexicon.distinct + 1)))
-    out = table.drop("rare").join(more, "__row", "left")
+    out = table.drop("rare", "tail").join(more, "__row", "left")
     return out.select(
         *rest,
         "n_tokens",
         (F.col("n_known") + F.coalesce("found", F.lit(0))).alias("n_known"),
         F.lit(lexicon.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("gain", F.lit(0.0)) - F.col("n_tokens") * whole).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
     )
 
 

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version and on odd tables."""
 
 import collections
+import functools
 import hashlib
 import math
 import re
@@ -378,6 +379,48 @@ def test_tree_is_a_distribution(spark, docs):
     assert abs((10 ** tree.byte[tree.symbol == suffixtree.ESCAPE]).sum() - 1) < 1e-9
 
 
+def brute_scores(training, texts, pull=4.0, test=2.0):
+    """log10 probabilities by suffixtree's rule from plain counts, without a bound on contexts."""
+    histogram = np.zeros(256, np.int64)
+    for t in training:
+        histogram += np.bincount(suffixtree._LOWER[np.frombuffer(t.encode(), np.uint8)], minlength=256)
+    symbol, end, depth = suffixtree.alphabet(histogram), suffixtree.END, suffixtree.DEPTH
+    row = lambda t: [end] * depth + symbol[suffixtree._LOWER[np.frombuffer(t.encode(), np.uint8)]].tolist() + [end]
+    after = collections.defaultdict(collections.Counter)
+    for x in map(row, training):
+        for i in range(depth, len(x)):
+            for d in range(depth + 1):
+                after[tuple(x[i - d : i])][x[i]] += 1
+    size = sum(after[()].values())
+
+    @functools.cache
+    def p(context, s):
+        if not context:
+            return (after[()][s] + 1) / (size + suffixtree.SYMBOLS)
+        total, shorter = sum(after[context].values()) if context in after else 0, p(context[1:], s)
+        return (after[context][s] + pull * shorter) / (total + pull) if total >= 2 and kept(context) else shorter
+
+    @functools.cache
+    def kept(context):
+        c = after[context]
+        return 2 * sum(n * math.log(n / (c.total() * p(context[1:], s))) for s, n in c.items()) > test * (len(c) + (len(context) > 3))
+
+    rare = symbol == suffixtree.ESCAPE
+    byte = {i: math.log10((histogram[i] + 0.5) / (histogram[rare].sum() + 0.5 * rare.sum())) if rare[i] else 0 for i in range(256)}
+    return [sum(math.log10(p(tuple(x[i - depth : i]), x[i])) for i in range(depth, len(x))) + sum(byte[int(b)] for b in suffixtree._LOWER[np.frombuffer(t.encode(), np.uint8)]) for t, x in zip(texts, map(row, texts), strict=True)]
+
+
+@pytest.mark.parametrize("p_min", [3e-7, 1e-3, 1.0])
+def test_score_against_brute_force_at_any_head(p_min, spark, docs):
+    texts = [r.text or "" for r in docs.where("length(text) < 1500").orderBy("doc_id").limit(60).collect()]
+    training = spark.createDataFrame([(t,) for t in texts[:40]], "text string")
+    rows = [*texts[20:], "", "ΑΒΓ привет 漢字 \x01\x01"]
+    tree, lexicon = suffixtree.learn(training, p_min=p_min)
+    got = suffixtree.score(spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string"), tree, lexicon).collect()
+    want = brute_scores(texts[:40], rows)
+    assert len(got) == len(rows) and all(abs(r.score - want[r.doc_id]) < 1e-6 * max(1, abs(want[r.doc_id])) for r in got)
+
+
 def test_model_beats_base_on_held_out(spark):
     got = suffixtree.query(spark, "/root/testdata/sf0.1").where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1]
