@@ -1,7 +1,7 @@
 """Language-model scoring with a probabilistic suffix tree.
 
-The tree's alphabet is the ``SYMBOLS - 2`` commonest bytes of the training
-texts, an escape for the others and an end.  Counts of all contexts of up to
+The tree's alphabet is every byte of the training texts (A-Z lower-cased), an
+escape for bytes that never stand there and an end.  Counts of all contexts of up to
 ``DEPTH`` symbols, with the next symbol, come from every training text.  A
 context stays if its next-symbol counts diverge from those of its longest kept
 suffix by more than a likelihood-ratio test allows; kept distributions are
@@ -35,7 +35,7 @@ from stratalog.llm import textbatch
 from stratalog.llm.language import held_out
 from stratalog.llm.store import written
 
-SYMBOLS = 56
+SYMBOLS = 258
 DEPTH = 5
 END, ESCAPE = SYMBOLS - 1, SYMBOLS - 2
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -44,11 +44,8 @@ _WORD, _GRAM, _TEXT = 0, 1, 2
 
 
 def alphabet(histogram: np.ndarray) -> np.ndarray:
-    """The symbol of each byte; ties go to the smaller byte."""
-    top = np.argsort(-histogram, kind="stable")[: SYMBOLS - 2]
-    out = np.full(256, ESCAPE, np.int64)
-    out[np.sort(top)] = np.arange(len(top))
-    return out
+    """The symbol of each byte: itself, or the escape if it was never counted."""
+    return np.where(histogram > 0, np.arange(256), ESCAPE)
 
 
 def codes(data: np.ndarray, offsets: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -421,6 +421,17 @@ def test_score_against_brute_force_at_any_head(p_min, spark, docs):
     assert len(got) == len(rows) and all(abs(r.score - want[r.doc_id]) < 1e-6 * max(1, abs(want[r.doc_id])) for r in got)
 
 
+def test_rare_scripts_have_contexts(spark):
+    """Bytes that are rare in the corpus are symbols too, so texts of them score better than by single bytes."""
+    latin = [" ".join(chr(33 + (i * k) % 94) * 3 for k in range(1, 40)) for i in range(1, 200)]
+    greek = "μῆνιν ἄειδε θεὰ Πηληϊάδεω Ἀχιλῆος οὐλομένην"
+    tree, lexicon = suffixtree.learn(spark.createDataFrame([(t,) for t in [*latin, *[greek] * 4]], "text string"))
+    data = np.frombuffer(greek.encode(), np.uint8)
+    assert len({int(tree.symbol[b]) for b in data}) == len(set(data.tolist())) and suffixtree.ESCAPE not in tree.symbol[data]
+    got = suffixtree.score(spark.createDataFrame([(1, greek)], "doc_id int, text string"), tree, lexicon).first().score
+    assert got > 0.4 * np.log10(tree.single[tree.symbol[data]]).sum()
+
+
 def test_model_beats_base_on_held_out(spark):
     got = suffixtree.query(spark, "/root/testdata/sf0.1").where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1]
