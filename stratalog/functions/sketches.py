@@ -117,31 +117,19 @@ def simhash(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """(key, fingerprint): 256 characters 0 or 1.
 
     A word's 256 bits are the ASCII bits of its MD5 in hex.  Only five bits of a
-    hex digit vary, and all but the letter bit are sums of packed counters: two
-    longs of 21-bit counters for each of the 32 places, summed as they are (so
-    up to 2 million words a text).
+    hex digit vary; each of them is counted in a long of its own, so a text may
+    have any number of words.
     """
     tokens = simhash_tokens(texts, key, text).withColumn("__md5", F.md5(F.encode("word", "UTF-8")))
     code = lambda j: F.ascii(F.substr("__md5", j, F.lit(1))).cast("long")
-    bit = lambda j, b: F.shiftright(code(j), b).bitwiseAND(1)
-    places = F.sequence(F.lit(1), F.lit(32))
-    tokens = tokens.select(
-        key,
-        "n",
-        F.transform(places, lambda j: bit(j, 6) + bit(j, 3) * (1 << 21) + bit(j, 2) * (1 << 42)).alias("__a"),
-        F.transform(places, lambda j: bit(j, 1) + bit(j, 0) * (1 << 21)).alias("__b"),
-    )
-    sums = [F.sum("n").alias("__n"), *[F.sum(F.col("n") * F.col(f"__{x}")[j]).alias(f"__{x}{j}") for j in range(32) for x in "ab"]]
-    packed = tokens.groupBy(key).agg(*sums)
-    part = lambda c, k: F.shiftright(c, 21 * k).bitwiseAND((1 << 21) - 1)
+    bits = (6, 3, 2, 1, 0)
+    tokens = tokens.select(key, "n", F.transform(F.sequence(F.lit(1), F.lit(32)), code).alias("__code"))
+    sums = [F.sum("n").alias("__n"), *[F.sum(F.col("n") * F.shiftright(F.col("__code")[j], b).bitwiseAND(1)).alias(f"__{j}_{b}") for j in range(32) for b in bits]]
+    counted = tokens.groupBy(key).agg(*sums)
     one = lambda ones: F.when(2 * ones > F.col("__n"), "1").otherwise("0")
-
-    def octet(a: Column, b: Column) -> Column:
-        letters = part(a, 0)
-        return F.concat(F.lit("0"), one(letters), F.lit("1"), one(F.col("__n") - letters), one(part(a, 1)), one(part(a, 2)), one(part(b, 0)), one(part(b, 1)))
-
-    a, b = (F.array(*[F.col(f"__{x}{j}") for j in range(32)]) for x in "ab")
-    return packed.select(key, F.array_join(F.zip_with(a, b, octet), "").alias("fingerprint"))
+    octet = lambda c: F.concat(F.lit("0"), one(c[0]), F.lit("1"), one(F.col("__n") - c[0]), *[one(c[i]) for i in range(1, 5)])
+    places = F.array(*[F.array(*[F.col(f"__{j}_{b}") for b in bits]) for j in range(32)])
+    return counted.select(key, F.array_join(F.transform(places, octet), "").alias("fingerprint"))
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -60,6 +60,12 @@ def test_simhash_distances(spark):
     assert [r[0] for r in rows.select(sk.hamming(F.col("a"), F.col("b"))).collect()] == [0, 26]
 
 
+def test_simhash_of_more_than_two_million_words(spark):
+    texts = [(1, "a" + " " * 2_200_000), (2, " ")]
+    prints = dict(sk.simhash(spark.createDataFrame(texts, "doc_id int, text string")).collect())
+    assert prints[1] == prints[2] == "".join(f"{ord(c):08b}" for c in "d41d8cd98f00b204e9800998ecf8427e")
+
+
 def test_record_bytes_and_round_trip(spark):
     ops = spark.createDataFrame([("a", "1", 1700000000, False, 1), ("b", "", 1700000001, True, 2), ("é", "ß", 3, False, 3)], OPLOG)
     raw = [bytes(r.record) for r in records.encoded(ops).orderBy("seq").collect()]
