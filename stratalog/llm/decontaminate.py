@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratalog.llm import textbatch
+from stratalog.llm.spans import replaced
+from stratalog.llm.store import aside
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # before A-Z are lower-cased
 _FOLD = bytes(c or 0x20 for c in textbatch.ALNUM.tolist())
@@ -225,19 +227,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_c
     ``max_coverage`` are hit goes as a whole.  Other documents, null texts
     among them, stay as they are.  ``n_chars``, if there, follows the text.
     """
-    found = scan(docs, benchmark, window)
+    moved, own = aside(docs, ADDED)
+    found = scan(moved, benchmark, window)
     found = found.where((F.size("hit_words") == 0) | (n_hit() <= max_coverage * F.col("n_words")))
-    left = F.aggregate(
-        "hit_chars",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("kept")),
-        lambda a, r: F.struct(r["end"].alias("at"), F.concat(a["kept"], F.substr(F.col("text"), a["at"] + 1, r["start"] - a["at"])).alias("kept")),
-        lambda a: F.concat(a["kept"], F.substr(F.col("text"), a["at"] + 1)),
-    )
+    left = replaced(F.col("text"), F.transform("hit_chars", lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), F.lit("").alias("label"))))
     cleaned = {"text": F.when(F.size("hit_chars") > 0, left).otherwise(F.col("text"))}
     out = found.withColumns(cleaned)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size("hit_chars") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.select(*own)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.spans import digits, joined, located, matches
+from stratalog.llm.spans import digits, joined, let, located, matches, replaced
+from stratalog.llm.store import aside
 
 #: Kinds in the order of the report; those of BASE have fixed patterns.
 BASE = ("email", "ip", "card", "phone")
@@ -87,23 +88,23 @@ def find(docs: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
     whole = F.coalesce(F.col(text), F.lit(""))
     gates = {"email": whole.contains("@"), "phone": whole.contains("+"), "ssn": whole.contains("-") & whole.rlike("[0-9]{3}-"), "iban": whole.rlike("[A-Z]{2}[0-9]{2}")}
     numbered = whole.rlike("[0-9]")
-    rest = [c for c in docs.columns if c != "pii"]
-    found = docs.select(*rest, *[matches(whole, PATTERNS[k], gates.get(k, numbered)).alias(f"__found_{k}") for k in KINDS])
-    placed = found.select(*rest, *[located(whole, PATTERNS[k], F.col(f"__found_{k}")).alias(f"__at_{k}") for k in KINDS])
+    none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,value:string,score:double>>")
 
     def scored(rank: int, kind: str) -> Column:
         low, more = SCORE[kind]
 
         def one(s: Column) -> Column:
-            at = F.greatest(s["start"] - WINDOW, F.lit(0))
-            near = F.lower(F.substr(whole, at + 1, s["start"] - at)).rlike(CONTEXT[kind])
+            near = F.lower(s["before"]).rlike(CONTEXT[kind])
             return F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), s["end"].alias("end"), s["value"].alias("value"), (F.lit(low) + F.when(near, more).otherwise(0.0)).alias("score"))
 
-        spans = F.transform(F.filter(f"__at_{kind}", lambda s: _valid(kind, s["value"])), one)
-        return spans if kind in BASE else F.filter(spans, lambda s: s["score"] >= least)
+        def spans(found: Column) -> Column:
+            out = F.transform(F.filter(located(whole, PATTERNS[kind], found, WINDOW), lambda s: _valid(kind, s["value"])), one)
+            return F.when(F.size(found) > 0, out if kind in BASE else F.filter(out, lambda s: s["score"] >= least)).otherwise(none)
+
+        return let(matches(whole, PATTERNS[kind], gates.get(kind, numbered)), spans)
 
-    every = F.concat(*[scored(r, k) for r, k in enumerate(KINDS)])
-    return placed.select(*rest, F.when(F.greatest(*[F.size(f"__at_{k}") for k in KINDS]) > 0, F.array_sort(every)).otherwise(F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,value:string,score:double>>")).alias("pii"))
+    rest = [c for c in docs.columns if c != "pii"]
+    return docs.select(*rest, F.array_sort(F.concat(*[scored(r, k) for r, k in enumerate(KINDS)])).alias("pii"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -113,18 +114,15 @@ def redact(docs: DataFrame) -> DataFrame:
     Other texts, null ones too, stay as they are; ``n_chars``, if there,
     follows the text.
     """
-    found = find(docs)
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substr(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["kept"], gap, F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(acc["kept"]).alias("kept"))
-
-    clean = F.aggregate("pii", F.struct(F.lit(0).alias("at"), F.lit("").alias("kept")), step, lambda a: F.concat(a["kept"], F.substr(F.col("text"), a["at"] + 1)))
+    moved, own = aside(docs, ["pii"])
+    found = find(moved)
+    spans = F.transform("pii", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("label")))
+    clean = replaced(F.col("text"), spans)
     changed = F.size("pii") > 0
     out = found.withColumn("text", F.when(changed, clean).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.select(*own)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.spans import joined, located, matches
-from stratalog.llm.store import written
+from stratalog.llm.spans import joined, let, located, matches
+from stratalog.llm.store import fresh, written
 
 #: Kinds in the order of the report; those of BASE have fixed patterns.
 BASE = ("assign", "access", "hex")
@@ -50,20 +50,20 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     gates = {"assign": whole.rlike(rf"(?i){_NAMES}"), "access": whole.contains("AKIA"), "hex": whole.rlike("[0-9a-f]{32}"), "github": whole.rlike("gh[pousr]_"), "jwt": whole.contains("eyJ"), "pem": whole.contains("PRIVATE KEY-----")}
-    rest = [c for c in docs.columns if c != "secrets"]
-    found = docs.select(*rest, *[matches(whole, PATTERNS[k], gates[k]).alias(f"__found_{k}") for k in KINDS])
-    placed = found.select(*rest, *[located(whole, PATTERNS[k], F.col(f"__found_{k}")).alias(f"__at_{k}") for k in KINDS])
+    none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,hash:string,placeholder:boolean>>")
 
     def kept(rank: int, kind: str) -> Column:
         def one(s: Column) -> Column:
             value = _value(kind, s["value"])
             return F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), s["end"].alias("end"), F.sha2(value, 256).alias("hash"), value.rlike(PLACEHOLDER).alias("placeholder"))
 
-        return F.transform(F.filter(f"__at_{kind}", lambda s: _valid(kind, s["value"])), one)
+        def spans(found: Column) -> Column:
+            return F.when(F.size(found) > 0, F.transform(F.filter(located(whole, PATTERNS[kind], found), lambda s: _valid(kind, s["value"])), one)).otherwise(none)
 
-    every = F.array_sort(F.concat(*[kept(r, k) for r, k in enumerate(KINDS)]))
-    none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,hash:string,placeholder:boolean>>")
-    return placed.select(*rest, F.when(F.greatest(*[F.size(f"__at_{k}") for k in KINDS]) > 0, every).otherwise(none).alias("secrets"))
+        return let(matches(whole, PATTERNS[kind], gates[kind]), spans)
+
+    rest = [c for c in docs.columns if c != "secrets"]
+    return docs.select(*rest, F.array_sort(F.concat(*[kept(r, k) for r, k in enumerate(KINDS)])).alias("secrets"))
 
 
 def ownership(found: DataFrame, repository: str = "source", owner: str = "source") -> DataFrame:
@@ -85,13 +85,14 @@ def judged(found: DataFrame, repository: str = "source", owner: str = "source",
     others are exploded, joined with the counts by hash (both sides by
     exchange, so that a hot hash can be split) and summed by row.
     """
-    table = written(found.withColumn("__row", F.monotonically_increasing_id()), "secrets")
+    row = fresh(found, "__row")
+    table = written(found.withColumn(row, F.monotonically_increasing_id()), "secrets")
     held = written(ownership(table, repository, owner), "ownership")
     rest = [c for c in found.columns if c not in ("n_live", "n_copied")]
-    one = table.where(F.size("secrets") > 0).select("__row", F.explode("secrets").alias("s")).select("__row", F.col("s.hash").alias("hash"), F.col("s.placeholder").alias("placeholder"))
+    one = table.where(F.size("secrets") > 0).select(row, F.explode("secrets").alias("s")).select(row, F.col("s.hash").alias("hash"), F.col("s.placeholder").alias("placeholder"))
     copied = (F.col("n_owners") >= copied_from) | F.col("placeholder")
-    sums = one.join(held, "hash").groupBy("__row").agg(F.count_if(~copied).alias("n_live"), F.count_if(copied).alias("n_copied"))
-    out = table.join(sums, "__row", "left")
+    sums = one.join(held, "hash").groupBy(row).agg(F.count_if(~copied).alias("n_live"), F.count_if(copied).alias("n_copied"))
+    out = table.select(*rest, row).join(sums, row, "left")
     return out.select(*rest, F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"))
 
 
