@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratalog.llm import textbatch
+from stratalog.llm.store import fresh
 
 BUCKETS = 1 << 14
 BLOCK = 1 << 10
@@ -165,37 +166,40 @@ def gram_counts(rows: DataFrame) -> DataFrame:
     return partial.repartition("lang", "block").mapInArrow(add, schema)
 
 
-def train(rows: DataFrame, max_langs: int = 2000) -> Model | None:
+def train(rows: DataFrame) -> Model | None:
     """A model from ``rows`` (text, lang); None where no row has a language.
 
-    All rows with a language count.  ``max_langs`` bounds what reaches the
-    driver: ``max_langs`` x ``BUCKETS`` counts; more languages are an error.
+    All rows with a language count.  The driver gets one row of ``BLOCK``
+    counts at a time and keeps ``BUCKETS`` counts for each language; any number
+    of languages is taken, and none of it grows with the documents.
     """
     counts: dict[str, np.ndarray] = {}
     for row in gram_counts(rows.where("lang is not null")).toLocalIterator():
-        if row.lang not in counts and len(counts) == max_langs:
-            raise ValueError(f"more than {max_langs} languages")
         counts.setdefault(row.lang, np.zeros(BUCKETS, np.int64))[row.block * BLOCK : (row.block + 1) * BLOCK] = row.counts
     return fit(counts) if counts else None
 
 
-def identify(docs: DataFrame, model: Model | None, ambiguity: float = 0.1) -> DataFrame:
+def identify(docs: DataFrame, model: Model | None, ambiguity: float = 0.1, text_back: bool = True) -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` (0 to 1) and ``ambiguous``.
 
-    Only the text is looked at.  A text that is null or has no letter, or any
-    text under no model, is ``und`` with score 0.  Columns of the added names
-    are replaced; rows stay as they are; nothing is shuffled.
+    Only the text is looked at; without ``text_back`` it is not returned.  A
+    text that is null or has no letter, or any text under no model, is ``und``
+    with score 0.  Columns of the added names are replaced; rows stay as they
+    are; nothing is shuffled.
     """
-    docs = docs.select(*[c for c in docs.columns if c not in ADDED])
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
-    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    docs = docs.select(*[c for c in docs.columns if c not in (*ADDED, "text")], "text")
+    rest = docs.columns[: None if text_back else -1]
+    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())]
+    schema = T.StructType([*(docs.schema[c] for c in rest), *added])
     if model is None:
-        return docs.select("*", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("ambiguous"))
-    shared, text = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+        return docs.select(*rest, F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("ambiguous"))
+    shared, text = docs.sparkSession.sparkContext.broadcast(model), len(docs.columns) - 1
+    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias(fresh(docs, "__lettered"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
+            on = np.asarray(batch.column(text + 1), bool)
             data, offsets = textbatch.utf8(batch.column(text))
             names, scores, leads = [], [np.zeros(0)], [np.zeros(0)]
             for i, j in textbatch.slices(offsets):
@@ -203,14 +207,11 @@ def identify(docs: DataFrame, model: Model | None, ambiguity: float = 0.1) -> Da
                 names += n
                 scores.append(s)
                 leads.append(lead)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(np.concatenate(scores)), pa.array(np.concatenate(leads) < ambiguity)], names=schema.names)
+            names = [n if x else UNDETERMINED for n, x in zip(names, on.tolist(), strict=True)]
+            score, lead = np.where(on, np.concatenate(scores), 0.0), np.where(on, np.concatenate(leads), 0.0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(names, pa.string()), pa.array(score), pa.array(lead < ambiguity)], names=schema.names)
 
-    out = docs.mapInArrow(run, schema)
-    return out.withColumns({
-        "lang_pred": F.when(lettered, F.col("lang_pred")).otherwise(UNDETERMINED),
-        "score": F.when(lettered, F.col("score")).otherwise(0.0),
-        "ambiguous": F.when(lettered, F.col("ambiguous")).otherwise(True),
-    })
+    return docs.select("*", lettered).mapInArrow(run, schema)
 
 
 def held_out(modulus: int, remainder: int) -> Column:
@@ -222,4 +223,4 @@ def query(spark, sf_dir: str) -> DataFrame:
     """op4: the predicted language of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs.where(~held_out(4, 2)).select("text", "lang"))
-    return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score", "ambiguous")
+    return identify(docs.select("doc_id", "text"), model, text_back=False).select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score", "ambiguous")
