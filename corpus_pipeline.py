@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame; it is written as
 Parquet and read back as the next stage's documents.  All but the last keep the
-columns of ``documents``.  Rows with null ids or texts pass through the stages
-like others, as their operators' docstrings say.
+columns of ``documents``.  The first stage drops null texts with the others that
+have no language; rows with a null id pass through all stages.
 """
 
 from __future__ import annotations
@@ -12,14 +12,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog.llm import decontaminate, language, near, pieces, pii
-from stratalog.llm.store import written
+from stratalog.llm.store import aside, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a language: null texts and texts without a letter."""
+    """Drop documents whose language the model cannot tell.
+
+    That is texts without a letter (null ones too), and those whose best
+    codeword has hardly a lead over the next.  Where no document has a language
+    to learn from, there is no model and all stay.
+    """
     model = language.train(docs.where(~language.held_out(4, 2)).select("text", "lang"))
-    found = language.identify(docs, model)
-    return found.where(F.col("lang_pred") != language.UNDETERMINED).select(*docs.columns)
+    if model is None:
+        return docs
+    moved, own = aside(docs, language.ADDED)
+    found = language.identify(moved, model)
+    return found.where((F.col("lang_pred") != language.UNDETERMINED) & ~F.col("ambiguous")).select(*own)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
