@@ -3,8 +3,9 @@
 A gear hash rolls over the bytes of each text; a byte ends a chunk where the
 hash there is the least within ``RADIUS`` bytes on either side.  Cuts depend on
 nearby bytes only, so an insertion moves no cut beyond its neighbourhood and a
-passage is cut alike wherever it stands.  Chunks are matched by digest over the
-whole corpus; runs of repeated chunks are the repeated passages.
+passage is cut alike wherever it stands.  Neighbouring chunks are matched, two
+by two, by a digest of 128 bits over the whole corpus; chains of such pairs that
+occur in more than one document are the repeated passages.
 """
 
 from __future__ import annotations
@@ -15,14 +16,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from stratalog.llm import textbatch
-from stratalog.llm.store import written
+from stratalog.llm.spans import replaced
+from stratalog.llm.store import fresh, written
 
 RADIUS = 24
+LEAST = 100  # characters of a chain of whole chunks
 _GEAR = textbatch.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _POWER = np.uint64(0xD6E8FEB86659FD93)
+_TABLE = textbatch.mix(np.arange(1, 64 * 256 + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))  # one number for each byte and place modulo 64
+_MASK = (1 << 31) - 1
+SPANS = "array<struct<start:int,end:int>>"
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -51,8 +56,8 @@ def cuts(h: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     return np.flatnonzero(h == low[:n])
 
 
-def chunk(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of a text's chunks (bytes) and their 64-bit digests."""
+def chunk(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of a text's chunks (bytes) and two independent 64-bit hashes of each."""
     starts = np.concatenate(([0], cuts(gear(data)) + 1))
     starts = starts[starts < len(data)]
     size = np.diff(starts, append=len(data))
@@ -60,100 +65,150 @@ def chunk(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     powers = np.full(int(size.max()) + 1, _POWER)
     powers[0] = 1
     powers = np.multiply.accumulate(powers)
-    h = np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * powers[at], starts)
-    return starts, textbatch.mix(h ^ textbatch.mix(size.astype(np.uint64)))
+    length = textbatch.mix(size.astype(np.uint64))
+    one = np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * powers[at], starts)
+    two = np.add.reduceat(_TABLE[((at & 63) << 8) + data] * powers[at >> 6], starts)
+    return starts, textbatch.mix(one ^ length), textbatch.mix(two + length)
 
 
-def chunked(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, number, start, end, n_chars): the chunks of each text with an id.
+def paired(docs: DataFrame) -> DataFrame:
+    """(doc_id, one, two, place, start, middle, end): each two neighbouring chunks of each text with an id.
 
-    Start and end count code points; a byte that goes on with a character
-    belongs to the chunk where the character begins.
+    ``one`` and ``two`` are the digest of both chunks; ``place`` counts chunks
+    and tells different texts of one id apart.  Start, middle and end count code
+    points; a byte that goes on with a character belongs to the chunk where the
+    character begins.
     """
-    schema = "doc_id long, digest long, number int, start int, end int"
+    schema = "doc_id long, one long, two long, place long, start int, middle int, end int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = textbatch.utf8(batch.column(1))
             for i, j in textbatch.slices(offsets):
-                ids, digests, numbers, first, last = [], [], [], [], []
-                doc = np.asarray(batch.column(0).slice(i, j - i))
+                out: list[list[np.ndarray]] = [[] for _ in range(7)]
+                doc, key = (np.asarray(batch.column(c).slice(i, j - i)) for c in (0, 2))
                 for k, (lo, hi) in enumerate(zip(offsets[i:j].tolist(), offsets[i + 1 : j + 1].tolist(), strict=True)):
-                    if lo == hi:
+                    if hi - lo < 2:
                         continue
                     text = data[lo:hi]
-                    starts, digest = chunk(text)
-                    begun = np.concatenate(([0], np.cumsum((text & 0xC0) != 0x80)))
-                    ids.append(np.full(len(starts), doc[k]))
-                    digests.append(digest)
-                    numbers.append(np.arange(len(starts), dtype=np.int32))
-                    first.append(begun[starts])
-                    last.append(begun[np.append(starts[1:], len(text))])
-                if ids:
-                    c = [np.concatenate(x) for x in (ids, digests, numbers, first, last)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c[0]), pa.array(c[1].view(np.int64)), pa.array(c[2]), pa.array(c[3].astype(np.int32)), pa.array(c[4].astype(np.int32))], names=["doc_id", "digest", "number", "start", "end"])
-
-    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+                    starts, one, two = chunk(text)
+                    if len(starts) < 2:
+                        continue
+                    begun = np.concatenate(([0], np.cumsum((text & 0xC0) != 0x80))).astype(np.int32)[np.append(starts, len(text))]
+                    one = textbatch.mix(one[:-1] + textbatch.mix(one[1:] + np.uint64(1)))
+                    two = textbatch.mix(two[:-1] ^ textbatch.mix(two[1:] + np.uint64(2)))
+                    n = len(one)
+                    parts = (np.full(n, doc[k]), one.view(np.int64), two.view(np.int64), (int(key[k]) << 31) + np.arange(n), begun[:-2], begun[1:-1], begun[2:])
+                    for column, part in zip(out, parts, strict=True):
+                        column.append(part)
+                if out[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["doc_id", "one", "two", "place", "start", "middle", "end"])
+
+    rows = docs.where("doc_id is not null and text is not null")
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("key")).mapInArrow(run, schema)
+
+
+def text_key() -> F.Column:
+    """Tells texts of one id apart."""
+    return F.xxhash64("text").bitwiseAND(_MASK)
+
+
+def _chains(doc: np.ndarray, place: np.ndarray, start: np.ndarray, middle: np.ndarray, end: np.ndarray, first: np.ndarray, places: np.ndarray, least_chars: int) -> pa.RecordBatch:
+    """The passages of whole documents from their repeated pairs, ordered by (doc, place)."""
+    once = np.ones(len(doc), bool)
+    once[1:] = (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])
+    doc, place, start, middle, end, first, places = (x[once] for x in (doc, place, start, middle, end, first, places))
+    n = len(doc)
+    new = np.ones(n, bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + 1)
+    head = np.flatnonzero(new)
+    last = np.append(head[1:], n) - 1
+    chain = np.cumsum(new) - 1
+    # A chain of r pairs has r + 1 chunks: those of its pairs' first halves, and the last pair's second.
+    lo, hi, gone = np.zeros(n + len(head), np.int32), np.zeros(n + len(head), np.int32), np.zeros(n + len(head), bool)
+    at = np.arange(n) + chain
+    lo[at], hi[at] = start, middle
+    ends = last + np.arange(len(head)) + 1
+    lo[ends], hi[ends] = middle[last], end[last]
+    elsewhere = first != doc
+    gone[at] = elsewhere
+    gone[at + 1] |= elsewhere
+    opens = gone.copy()
+    opens[1:] &= ~gone[:-1]
+    begins = head + np.arange(len(head))
+    opens[begins] = gone[begins]
+    closes = gone.copy()
+    closes[:-1] &= ~gone[1:]
+    closes[ends] = gone[ends]
+    counts = np.add.reduceat(opens.astype(np.int32), begins) if n else np.zeros(0, np.int32)
+    drop = pa.ListArray.from_arrays(
+        pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)),
+        pa.StructArray.from_arrays([pa.array(lo[opens]), pa.array(hi[closes])], names=["start", "end"]),
+    )
+    out = pa.RecordBatch.from_arrays(
+        [pa.array(x) for x in (doc[head], place[head] >> 31, start[head], end[last], (last - head + 2).astype(np.int32), first[head], places[head], counts == 0)] + [drop],
+        names=["doc_id", "text_key", "start", "end", "n_chunks", "first_doc_id", "n_places", "keep", "drop"],
+    )
+    return out.filter(pa.array(end[last] - start[head] >= least_chars))
 
 
-def repeats(docs: DataFrame, least_chars: int = 100) -> DataFrame:
+def repeats(docs: DataFrame, least_chars: int = LEAST) -> DataFrame:
     """Repeated passages: one row for each place where one stands.
 
-    A passage is a run of neighbouring chunks, at least ``least_chars`` long,
-    each of which occurs in more than one document.  Columns: ``doc_id``;
+    A passage is a chain of neighbouring chunks of ``least_chars`` or more, each
+    two neighbours of which stand side by side in more than one document.
+    Columns: ``doc_id``; ``text_key``, which tells texts of one id apart;
     ``start`` and ``end`` in code points (whole chunks, so a passage's ragged
     ends of up to a chunk may lie outside); ``n_chunks``; ``first_doc_id``, the
-    smallest id of a document that holds the run's first chunk; ``n_places``, how
-    often that chunk occurs; ``keep``, whether this document is
-    the first holder of every chunk in the run; ``drop``, the spans of the run's
-    chunks of which it is not, so every chunk stays in one document.  Null ids and texts take no
-    part; empty texts have no chunks; a document listed twice with one id is
-    one document.
-
-    The chunk table is made twice (it is cheaper to make than to keep): once
+    smallest id of a document that holds the first pair; ``n_places``, how often
+    that pair occurs; ``drop``, the spans of the chunks that belong to a pair
+    first held by another document, and ``keep``, whether there are none.  A
+    chunk is dropped for one with a smaller id only, so each stays somewhere.
+    Null ids and texts take no part; texts of one chunk have no pairs; a row
+    listed twice is one document.
+
+    The pairs are made twice (it is cheaper to make than to keep them): once
     for the counts, summed in each task before the exchange, once for the join,
-    whose both sides are exchanged, so that hot digests can be split.
+    whose both sides are exchanged, so that hot digests can be split.  A task
+    then streams through its documents' repeated pairs in order.
     """
-    own = chunked(docs).groupBy("digest").agg(F.count("*").alias("n_places"), F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id"))
-    counts = own.where("first_doc_id < last_doc_id").drop("last_doc_id")
-    held = written(counts, "chunks")
-    both = chunked(docs).join(held, "digest").select("doc_id", F.struct("number", "start", "end", "first_doc_id", "n_places").alias("c"))
-    schema = T.StructType.fromDDL("doc_id long, start int, end int, n_chunks int, first_doc_id long, n_places long, keep boolean, drop array<struct<start:int,end:int>>")
-    empty = F.array().cast("array<struct<number:int,start:int,end:int,n:int,first_doc_id:bigint,n_places:bigint,drop:array<struct<start:int,end:int>>>>")
-
-    none = F.array().cast("array<struct<start:int,end:int>>")
+    digest = ["one", "two"]
+    own = paired(docs).groupBy(*digest).agg(F.count("*").alias("n_places"), F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id"))
+    held = written(own.where("first_doc_id < last_doc_id").drop("last_doc_id"), "chunks")
+    both = paired(docs).join(held, digest).select("doc_id", "place", "start", "middle", "end", "first_doc_id", "n_places")
+    schema = f"doc_id long, text_key long, start int, end int, n_chunks int, first_doc_id long, n_places long, keep boolean, drop {SPANS}"
 
-    def dropped(parts, c):
-        last = F.try_element_at(parts, F.lit(-1))
-        own = F.struct(c["start"].alias("start"), c["end"].alias("end"))
-        longer = F.struct(last["start"].alias("start"), c["end"].alias("end"))
-        return F.when(c["first_doc_id"] == F.col("doc_id"), parts).when(last["end"] == c["start"], F.concat(F.slice(parts, 1, F.size(parts) - 1), F.array(longer))).otherwise(F.concat(parts, F.array(own)))
-
-    def step(runs, c):
-        new = F.struct(c["number"].alias("number"), c["start"].alias("start"), c["end"].alias("end"), F.lit(1).alias("n"), c["first_doc_id"].alias("first_doc_id"), c["n_places"].alias("n_places"), dropped(none, c).alias("drop"))
-        last = F.try_element_at(runs, F.lit(-1))
-        longer = F.struct(c["number"].alias("number"), last["start"].alias("start"), c["end"].alias("end"), (last["n"] + 1).alias("n"), last["first_doc_id"].alias("first_doc_id"), last["n_places"].alias("n_places"), dropped(last["drop"], c).alias("drop"))
-        return F.when(last["number"] + 1 == c["number"], F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(longer))).when(last["number"] == c["number"], runs).otherwise(F.concat(runs, F.array(new)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = [np.asarray(c) for c in batch.columns]
+            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+            whole = int(np.searchsorted(held[0], held[0][-1]))  # the last document may go on
+            if whole:
+                yield _chains(*[x[:whole] for x in held], least_chars)
+                held = [x[whole:] for x in held]
+        if held is not None:
+            yield _chains(*held, least_chars)
 
-    runs = both.groupBy("doc_id").agg(F.array_sort(F.collect_list("c")).alias("cs")).select("doc_id", F.explode(F.aggregate("cs", empty, step)).alias("r"))
-    out = runs.select("doc_id", "r.start", "r.end", F.col("r.n").alias("n_chunks"), "r.first_doc_id", "r.n_places", (F.size("r.drop") == 0).alias("keep"), "r.drop").where(F.col("end") - F.col("start") >= least_chars)
-    return out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
+    return both.repartition("doc_id").sortWithinPartitions("doc_id", "place").mapInArrow(run, schema)
 
 
-def dedup(docs: DataFrame, least_chars: int = 100) -> DataFrame:
+def dedup(docs: DataFrame, least_chars: int = LEAST) -> DataFrame:
     """``docs`` without repeated passages, but for the chunks of which a document is the first holder.
 
-    All other rows and columns stay as they are.
+    All other rows and columns stay as they are; ``n_chars``, if there, follows the text.
     """
-    rest = docs.columns
-    spans = repeats(docs, least_chars).where("not keep").groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("drop"))).alias("__spans"))
-    left = F.aggregate(
-        "__spans",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("kept")),
-        lambda a, r: F.struct(r["end"].alias("at"), F.concat(a["kept"], F.substr(F.col("text"), a["at"] + 1, r["start"] - a["at"])).alias("kept")),
-        lambda a: F.concat(a["kept"], F.substr(F.col("text"), a["at"] + 1)),
-    )
-    return docs.join(spans, "doc_id", "left").withColumn("text", F.coalesce(left, "text")).select(*rest)
+    id_, key, spans = (fresh(docs, f"__{x}") for x in ("id", "key", "spans"))
+    label = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("").alias("label"))
+    cut = repeats(docs, least_chars).where("not keep").groupBy(F.col("doc_id").alias(id_), F.col("text_key").alias(key)).agg(F.array_sort(F.transform(F.flatten(F.collect_list("drop")), label)).alias(spans))
+    rows = docs.withColumns({id_: F.col("doc_id").cast("long"), key: text_key()}).join(cut, [id_, key], "left")
+    text = F.when(F.size(spans) > 0, replaced(F.col("text"), F.col(spans))).otherwise(F.col("text"))
+    out = rows.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

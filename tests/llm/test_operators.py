@@ -126,7 +126,7 @@ def test_copies_with_a_shared_passage_keep_every_chunk(spark):
     text, missing = dict(rows), digests(text for _, text in rows)
     for i, t in text.items():
         data = t.encode()
-        starts, digest = chunks.chunk(np.frombuffer(data, np.uint8))
+        starts, digest, _ = chunks.chunk(np.frombuffer(data, np.uint8))
         missing -= {d for d, lo, hi in zip(digest.tolist(), starts, [*starts[1:], len(data)], strict=True) if data[lo:hi].decode() in whole}
     assert not missing
 
