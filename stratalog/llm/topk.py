@@ -1,23 +1,24 @@
 """Exact top-k inner-product search with cover trees over queries and data.
 
-Vectors are dealt to blocks of bounded size by hash of their id.  Each pair of a
-query block and a data block is one group: a task builds a cover tree over
-either side and descends both together.  A pair of nodes is left out when even
-the best score their covering radii allow is below the worst kth score of the
-node's queries.  A first pass over one data block gives each query a kth score
-to start from, so the other blocks are pruned from their first step.
+Vectors are dealt to cells by their nearest center, and large cells to blocks of
+bounded size.  A query goes only to the cells whose center and covering radius
+allow a score as good as the kth it already has; that comes from a first pass
+over the cell of its best center.  In a task a block's cover tree is built once,
+the queries that reached it come in batches, and both trees are descended
+together: a pair of nodes is left out when even the best score their covering
+radii allow is below the worst kth score of the node's queries.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalog.llm import textbatch
 from stratalog.llm.store import written
 
 LEAF = 48
@@ -71,13 +72,13 @@ class CoverTree:
         return root
 
 
-def dual_search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, points: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def dual_search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, points: np.ndarray, floor: np.ndarray, k: int, tree: CoverTree | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Scores and ids of each query's k best points (its own id left out), ``NONE`` where there are fewer.
 
     Scores below a query's ``floor`` may be missing.  Rows are integers; where
     float64 could round their products, they are multiplied as integers.
     """
-    q, p = CoverTree(queries.astype(np.float64)), CoverTree(points.astype(np.float64))
+    q, p = CoverTree(queries.astype(np.float64)), tree or CoverTree(points.astype(np.float64))
     top = np.full((len(queries), k), NONE, np.int64)
     best = np.full((len(queries), k), np.iinfo(np.int64).max, np.int64)
     largest = float(np.abs(q.points).max(initial=0)) * float(np.abs(p.points).max(initial=0)) * queries.shape[1]
@@ -117,54 +118,190 @@ def dual_search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, poi
     return top, best
 
 
-def _searched(groups: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, score): each group's best, over rows (pair, is_query, vec_id, v, floor)."""
+@dataclass
+class Cells:
+    """Centers (one matrix for each vector length) and, once measured, each cell's rows, blocks and covering radius.
+
+    A cell's number is its center's row; a length without centers has one cell,
+    of unbounded radius.
+    """
+
+    centers: dict[int, np.ndarray]
+    blocks: dict[tuple[int, int], int]
+    radius: dict[tuple[int, int], float]
+
+    def far(self, v: np.ndarray) -> np.ndarray:
+        """Squared distances of rows to the centers of their length."""
+        c = self.centers[v.shape[1]]
+        return (v**2).sum(1)[:, None] - 2 * (v @ c.T) + (c**2).sum(1)[None, :]
+
+    def bounds(self, v: np.ndarray, numbers: list[int]) -> np.ndarray:
+        """The best score each cell's radius allows each query, rounding allowed for."""
+        size = v.shape[1]
+        if size not in self.centers:
+            return np.full((len(v), len(numbers)), np.inf)
+        c = self.centers[size][numbers]
+        norm, r = np.sqrt((v**2).sum(1))[:, None], np.array([self.radius[size, x] for x in numbers])[None, :]
+        reach = np.sqrt((c**2).sum(1))[None, :] + r
+        return v @ c.T + norm * r + norm * reach * 1e-9 + 1.0
+
+
+def _rows(batch: pa.RecordBatch, column: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row numbers, matrix) of the vectors of each length in a list column."""
+    v = batch.column(column)
+    sizes = np.diff(np.asarray(v.offsets))
+    for size in np.unique(sizes).tolist():
+        on = np.flatnonzero(sizes == size)
+        yield on, np.asarray(v.take(pa.array(on)).flatten()).reshape(len(on), size)
+
+
+def dealt(vectors: DataFrame, count: int, size: int) -> tuple[DataFrame, Cells]:
+    """(vec_id, v, length, cell, block) and the cells of ``vectors``; about ``count`` centers, blocks of about ``size`` rows.
+
+    Centers are distinct vectors of a sample by hash of the id.  What reaches
+    the driver has one row for each center or cell.
+    """
+    spark = vectors.sparkSession
+    centers: dict[int, list] = {}
+    for r in vectors.orderBy(F.xxhash64(F.lit(3), "vec_id")).limit(count).collect():
+        centers.setdefault(len(r.v), []).append(r.v)
+    cells = Cells({n: np.unique(np.array(x, np.float64).reshape(len(x), n), axis=0) for n, x in centers.items()}, {}, {})
+    shared = spark.sparkContext.broadcast(cells)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in textbatch.grouped(batches):
-            table = table.combine_chunks()
-            asks = np.asarray(table["is_query"], bool)
-            if asks.all() or not asks.any():
-                continue
-            v = np.asarray(table["v"].combine_chunks().flatten()).reshape(len(asks), -1)
-            ids = np.asarray(table["vec_id"])
-            floor = np.where((f := np.asarray(table["floor"])) == NONE, -np.inf, f.astype(np.float64))
-            top, best = dual_search(ids[asks], v[asks], ids[~asks], v[~asks], floor[asks], k)
-            i, j = np.nonzero(top != NONE)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[asks][i]), pa.array(best[i, j]), pa.array(top[i, j])], names=["query_id", "vec_id", "score"])
+        for batch in batches:
+            cell, away = np.zeros(batch.num_rows, np.int32), np.full(batch.num_rows, np.inf)
+            for on, v in _rows(batch, 1):
+                if v.shape[1] in shared.value.centers:
+                    v = v.astype(np.float64)
+                    cell[on] = shared.value.far(v).argmin(1)
+                    away[on] = np.sqrt(((v - shared.value.centers[v.shape[1]][cell[on]]) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(away)], names=["vec_id", "v", "cell", "away"])
+
+    placed = written(vectors.select("vec_id", "v").mapInArrow(run, "vec_id long, v array<long>, cell int, away double"), "cells").withColumn("length", F.size("v"))
+    for r in placed.groupBy("length", "cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect():
+        cells.blocks[r.length, r.cell] = -(-r.n // size)
+        cells.radius[r.length, r.cell] = r.radius
+    parts = spark.createDataFrame([(*at, n) for at, n in cells.blocks.items()] or [(0, 0, 1)], "length int, cell int, parts int")
+    out = placed.join(F.broadcast(parts), ["length", "cell"])  # one row for each cell
+    return out.select("vec_id", "v", "length", "cell", _block("length", "cell", F.pmod(F.xxhash64(F.lit(1), "vec_id"), "parts")).alias("block")), cells
+
+
+def _block(length: str, cell: str, part: Column) -> Column:
+    return F.xxhash64(F.col(length), F.col(cell), part.cast("int"))
+
+
+def reached(queries: DataFrame, cells: Cells, first: bool) -> DataFrame:
+    """(vec_id, v, floor, block): the blocks each query (vec_id, v, floor, seen) goes to.
+
+    The first time that is one block, of the cell whose center scores best.
+    Later it is every other block of the cells whose bound is not below the
+    query's floor.
+    """
+    shared = queries.sparkSession.sparkContext.broadcast(cells)
+    schema = "vec_id long, v array<long>, floor long, length int, cell int, part int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = shared.value
+        numbers: dict[int, list[int]] = {}
+        for size, number in sorted(cells.blocks):
+            numbers.setdefault(size, []).append(number)
+        for batch in batches:
+            for on, v in _rows(batch, 1):
+                size = v.shape[1]
+                own = numbers.get(size, [])
+                if not own:
+                    continue
+                bound = cells.bounds(v.astype(np.float64), own)
+                if first:
+                    best = (v.astype(np.float64) @ cells.centers[size][own].T).argmax(1) if size in cells.centers else np.zeros(len(on), np.int64)
+                    i, j, part = np.arange(len(on)), best, np.zeros(len(on), np.int64)
+                else:
+                    floor = np.asarray(batch.column(2))[on]
+                    i, j = np.nonzero(bound >= np.where(floor == NONE, -np.inf, floor.astype(np.float64))[:, None])
+                    parts = np.array([cells.blocks[size, x] for x in own])[j]
+                    part = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+                    i, j = np.repeat(i, parts), np.repeat(j, parts)
+                    done = (np.array(own)[j] == np.asarray(batch.column(3))[on][i]) & (part == 0)
+                    i, j, part = i[~done], j[~done], part[~done]
+                for lo in range(0, len(i), 8192):
+                    rows = pa.array(on[i[lo : lo + 8192]])
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(rows), batch.column(1).take(rows), batch.column(2).take(rows), pa.array(np.full(len(rows), size, np.int32)), pa.array(np.array(own, np.int32)[j[lo : lo + 8192]]), pa.array(part[lo : lo + 8192].astype(np.int32))],
+                        names=["vec_id", "v", "floor", "length", "cell", "part"],
+                    )
+
+    out = queries.select("vec_id", "v", "floor", "seen").mapInArrow(run, schema)
+    return out.withColumn("block", _block("length", "cell", F.col("part")))
+
+
+def searched(data: DataFrame, asks: DataFrame, k: int, query_parts: int) -> DataFrame:
+    """(query_id, vec_id, score): each block's best for each query that reached it.
+
+    A block and a part of its queries meet in one task.  The block's rows come
+    first and make its tree; the queries stream by.
+    """
+    part = F.pmod(F.xxhash64(F.lit(2), "vec_id"), F.lit(query_parts)).cast("int")
+    left = data.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1)))) if query_parts > 1 else data.withColumn("part", F.lit(0))
+    left = left.select("block", "part", F.lit(0).alias("asks"), "vec_id", "v", F.lit(NONE).alias("floor"))
+    every = left.unionByName(asks.select("block", part.alias("part"), F.lit(1).alias("asks"), "vec_id", "v", "floor"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, made = None, [], None
+        for batch in batches:
+            key = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in range(3)], 1)
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)] if len(key) else []
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if group != tuple(key[lo, :2]):
+                    group, held, made = tuple(key[lo, :2]), [], None
+                part = batch.slice(lo, hi - lo)
+                v = np.asarray(part.column(4).flatten()).reshape(hi - lo, -1)
+                ids = np.asarray(part.column(3))
+                if not key[lo, 2]:
+                    held.append((ids, v))
+                    continue
+                if not held:
+                    continue
+                if made is None:
+                    own, points = (np.concatenate(x) for x in zip(*held, strict=True))
+                    _, once = np.unique(np.concatenate([own[:, None], points], 1), axis=0, return_index=True)
+                    own, points = own[once], points[once]
+                    made = own, points, CoverTree(points.astype(np.float64))
+                own, points, tree = made
+                floor = np.asarray(part.column(5))
+                top, best = dual_search(ids, v, own, points, np.where(floor == NONE, -np.inf, floor.astype(np.float64)), k, tree)
+                i, j = np.nonzero(top != NONE)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(best[i, j]), pa.array(top[i, j])], names=["query_id", "vec_id", "score"])
 
-    dealt = groups.select("pair", "is_query", "vec_id", "v", "floor").repartition("pair").sortWithinPartitions("pair")
-    return dealt.mapInArrow(run, "query_id long, vec_id long, score long")
+    order = ["block", "part", "asks"]
+    return every.repartition("block", "part").sortWithinPartitions(*order).mapInArrow(run, "query_id long, vec_id long, score long")
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, query_block: int = 8192, blocks: int = 64, least_block: int = 512, most_block: int = 16384) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, query_block: int = 65536, cells: int = 64, least_block: int = 512, most_block: int = 16384, most_cells: int = 1024) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of greatest integer inner product for each query.
 
     ``vectors`` and ``queries`` have (vec_id long, v array<long>).  Vectors are
-    dealt to about ``blocks`` blocks of ``least_block`` to ``most_block`` rows.
-    A query's own row is left out; ties go to the smaller id; a query with
-    fewer candidates gets all.  Rows with a null id or null v take no part,
-    vectors of another length than the query's are no candidates.  An empty
-    side gives no rows.  Scores must fit 64 bits.
+    dealt to about ``cells`` cells, or more (up to ``most_cells``) to keep them
+    below ``most_block`` rows; a larger cell is several blocks.  Rows of a
+    query's own id are left out; ties go to the smaller id; a query with fewer
+    candidates gets all.  A row listed twice, id and vector alike, is one row;
+    of different vectors under one id the query is the smallest, and each is a
+    candidate.  Rows with a null id or null v take no part, vectors of another
+    length than the query's are no candidates.  An empty side gives no rows.
+    Scores must fit 64 bits.
     """
     vectors = vectors.where("vec_id is not null and v is not null").select("vec_id", "v")
-    queries = queries.where("vec_id is not null and v is not null").select("vec_id", "v")
-    n, asked = vectors.count(), queries.count()
-    size = min(max(n // blocks, least_block), most_block)
-    nd, nq = max(1, -(-n // size)), max(1, -(-asked // query_block))
-    block = lambda m, seed: F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(m)).cast("int")
-    each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    data = vectors.withColumn("d", block(nd, 1)).withColumn("q", each(nq)).withColumn("is_query", F.lit(False)).withColumn("floor", F.lit(NONE))
-    asks = queries.withColumn("q", block(nq, 2))
-    pair = F.xxhash64(F.size("v"), "d", "q").alias("pair")
-    columns = [pair, "is_query", "vec_id", "v", "floor"]
-    first = asks.withColumn("d", F.lit(0)).withColumn("is_query", F.lit(True)).withColumn("floor", F.lit(NONE))
-    seed = written(_searched(data.where("d = 0").select(*columns).union(first.select(*columns)), k), "seeds")
-    kth = seed.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
-    later = asks.join(kth.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").withColumn("floor", F.coalesce("kth", F.lit(NONE))).withColumn("d", F.explode(F.sequence(F.lit(1), F.lit(nd - 1)))) if nd > 1 else None
-    found = seed
-    if later is not None:
-        found = seed.union(_searched(data.where("d > 0").select(*columns).union(later.withColumn("is_query", F.lit(True)).select(*columns)), k))
+    queries = queries.where("vec_id is not null and v is not null").groupBy("vec_id").agg(F.min("v").alias("v"))
+    n = vectors.count()
+    size = min(max(n // cells, least_block), most_block)
+    data, found_cells = dealt(vectors, min(max(1, -(-n // size)), most_cells), size)
+    asks = written(queries.select("vec_id", "v", F.lit(NONE).alias("floor"), F.lit(-1).alias("seen")), "queries")
+    parts = max(1, -(-asks.count() // query_block))
+    start = reached(asks, found_cells, True)
+    seed = written(searched(data, start, k, parts), "seeds")
+    kth = seed.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
+    later = start.select("vec_id", "v", F.col("cell").alias("seen")).join(kth, "vec_id", "left").withColumn("floor", F.coalesce("kth", F.lit(NONE)))
+    found = seed.unionByName(searched(data, reached(later, found_cells, False), k, parts))
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -184,10 +321,11 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 SQL = """
 with x as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) e from embeddings where vec_id is not null and embedding is not null),
-v as (select vec_id, list_transform(e, lambda x: cast(floor(1024 * x) as bigint)) e from x
+v as (select distinct vec_id, list_transform(e, lambda x: cast(floor(1024 * x) as bigint)) e from x
   where len(list_filter(e, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+q as (select vec_id, min(e) e from v where vec_id % 100 = 0 group by vec_id),
 s as (select q.vec_id query_id, c.vec_id, cast(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) as bigint) score
-  from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 100 = 0),
+  from q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e)),
 r as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) rank, vec_id, score from s)
 select query_id, rank, vec_id, score from r where rank <= 10
 """

@@ -55,7 +55,7 @@ def odd_dir(odd, spark, sf, tmp_path_factory):
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{top}/benchmark.parquet")
     rng = np.random.default_rng(5)
     vectors = [(i, [float(x) for x in np.round(rng.normal(size=6), 2)]) for i in range(150)] + [(200, None), (300, [1.0, None] * 3), (400, [float("nan")] * 6), (None, [1.0] * 6)]
-    vectors += [(500 + i, vectors[0][1]) for i in range(40)]
+    vectors += [(500 + i, vectors[0][1]) for i in range(40)] + [vectors[100], vectors[7], (100, [0.0] * 6), (8, [3.0] * 6), (600, [1.0, 2.0]), (601, [1.0, 3.0]), (700, [])]
     spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{top}/embeddings.parquet")
     return str(top)
 
@@ -462,17 +462,37 @@ def test_lockstep_is_the_heap(docs):
 
 
 def test_top_k_against_brute_force(spark, odd_dir):
+    """Null, repeated and short vectors, several vectors under one id, ties."""
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{odd_dir}/embeddings.parquet").collect()]
-    v = {i: [math.floor(1024 * float(x)) for x in e] for i, e in rows if i is not None and e is not None and all(x is not None and math.isfinite(x) for x in e)}
-    want = {}
-    for q in v:
-        if q % 100 == 0:
-            best = sorted(((sum(a * b for a, b in zip(v[q], v[c], strict=True)), c) for c in v if c != q), key=lambda x: (-x[0], x[1]))[:10]
-            want |= {(q, i + 1): (c, s) for i, (s, c) in enumerate(best)}
+    v = sorted({(i, tuple(math.floor(1024 * float(x)) for x in e)) for i, e in rows if i is not None and e is not None and all(x is not None and math.isfinite(x) for x in e)})
+    want = collections.Counter()
+    for q in sorted({i for i, _ in v if i % 100 == 0}):
+        ask = min(e for i, e in v if i == q)
+        best = sorted(((sum(a * b for a, b in zip(ask, e, strict=True)), c) for c, e in v if c != q and len(e) == len(ask)), key=lambda x: (-x[0], x[1]))[:10]
+        want.update((q, n + 1, c, s) for n, (s, c) in enumerate(best))
     ints = topk.integers(spark.read.parquet(f"{odd_dir}/embeddings.parquet"))
-    for size in (512, 20):
-        got = topk.top_k(ints, ints.where("vec_id % 100 = 0"), least_block=size, query_block=2)
-        assert {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in got.collect()} == want
+    for block, part, cells in ((512, 65536, 64), (20, 2, 4), (5, 1, 200)):
+        got = topk.top_k(ints, ints.where("vec_id % 100 = 0"), least_block=block, query_block=part, cells=cells)
+        assert collections.Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()) == want
+
+
+def test_far_cells_are_not_visited(spark):
+    """On clustered vectors a query reaches few blocks, and the answers are exact."""
+    rng = np.random.default_rng(9)
+    around = rng.normal(size=(40, 16)) * 1000
+    v = (around[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 16)) * 20).astype(int)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, v array<long>")
+    data, cells = topk.dealt(df, 80, 50)
+    blocks = sum(cells.blocks.values())
+    asks = df.where("vec_id % 100 = 0")
+    kth = np.sort(v[::100] @ v.T, 1)[:, -11]
+    floors = spark.createDataFrame([(i * 100, int(x)) for i, x in enumerate(kth)], "vec_id long, floor long")
+    visits = topk.reached(asks.join(floors, "vec_id").withColumn("seen", F.lit(-1)), cells, False).count()
+    assert data.select("block").distinct().count() == blocks and visits < 0.2 * blocks * 40
+    got = {(r.query_id, r["rank"]): r.score for r in topk.top_k(df, asks, cells=80, least_block=50).collect()}
+    for q in range(0, 4000, 100):
+        best = sorted((v[np.arange(4000) != q] @ v[q]).tolist(), reverse=True)[:10]
+        assert [got[q, n + 1] for n in range(10)] == best
 
 
 def test_large_components_are_multiplied_as_integers():
