@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from stratalog.llm import textbatch
 from stratalog.llm.components import components
-from stratalog.llm.store import written
+from stratalog.llm.store import fresh, written
 from stratalog.llm.textbatch import mix
 
 WORDS = 5
@@ -35,6 +35,7 @@ THRESHOLD = (4, 5)  # Jaccard similarity, as a fraction
 COORDINATES = 128
 BUCKET = 256
 BLOCK = 128
+BLOCK_BYTES = 16 << 20
 DEPTH = 5
 RECALL = 0.9999
 _RNG = np.random.default_rng(20240229)
@@ -97,9 +98,9 @@ def word_rows(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, recall: float) -> DataFrame:
-    """(doc_id, rep, sig, nodes): hash of the words, one byte per coordinate, first-level paths; nulls for no words."""
+    """(doc_id, rep, sig, nodes, size): hash of the words, one byte per coordinate, first-level paths, number of shingles; nulls for no words."""
     chosen = sampled(recall, THRESHOLD[0] / THRESHOLD[1])
-    schema = "doc_id long, rep long, sig binary, nodes array<long>"
+    schema = "doc_id long, rep long, sig binary, nodes array<long>, size long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,12 +115,13 @@ def sketched(docs: DataFrame, recall: float) -> DataFrame:
                 sig = (mix(low.astype(np.uint64)) & np.uint64(255)).astype(np.uint8)
                 nodes = mix((low[:, chosen].astype(np.uint64) << np.uint64(16)) + chosen.astype(np.uint64)).view(np.int64)
                 reps = word_rows(text, own)
-                sigs, paths = [None] * (j - i), [None] * (j - i)
+                sigs, paths, sizes = [None] * (j - i), [None] * (j - i), np.zeros(j - i, np.int64)
+                sizes[there] = np.diff(starts, append=len(h))
                 for k, d in enumerate(there.tolist()):
                     sigs[d], paths[d] = sig[k].tobytes(), nodes[k]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(reps.view(np.int64), mask=reps == 0), pa.array(sigs, pa.binary()), pa.array(paths, pa.list_(pa.int64()))],
-                    names=["doc_id", "rep", "sig", "nodes"],
+                    [batch.column(0).slice(i, j - i), pa.array(reps.view(np.int64), mask=reps == 0), pa.array(sigs, pa.binary()), pa.array(paths, pa.list_(pa.int64())), pa.array(sizes)],
+                    names=["doc_id", "rep", "sig", "nodes", "size"],
                 )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
@@ -269,7 +271,7 @@ def decided(sets: DataFrame) -> DataFrame:
                 continue
             side, weight = np.asarray(table["side"])[first], np.asarray(table["weight"])[first]
             raw = table["shingles"].take(pa.array(first)).to_pylist()
-            own = [np.frombuffer(x, np.uint32) for x in raw]
+            own = [np.frombuffer(x, np.uint64) for x in raw]
             size = np.array([len(x) for x in own])
             row = np.repeat(np.arange(len(own)), size)
             _, col, seen = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
@@ -297,7 +299,7 @@ def decided(sets: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """(rep, doc_id, shingles): each text's set of shingles, sorted 32-bit hashes."""
+    """(rep, doc_id, shingles): each text's set of shingles, sorted 64-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -305,8 +307,7 @@ def _sets(docs: DataFrame) -> DataFrame:
             for i, j in textbatch.slices(offsets):
                 text, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 h, starts, there = shingles(text, own)
-                x = (h >> np.uint64(32)).astype(np.uint32)
-                parts = [np.unique(p).tobytes() for p in np.split(x, starts[1:])] if len(there) else []
+                parts = [np.unique(p).tobytes() for p in np.split(h, starts[1:])] if len(there) else []
                 reps = word_rows(text, own)[there].view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), batch.column(0).slice(i, j - i).take(pa.array(there)), pa.array(parts, pa.binary())], names=["rep", "doc_id", "shingles"])
 
@@ -330,12 +331,13 @@ def classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:
 def _classes(docs: DataFrame, recall: float) -> DataFrame:
     """What ``classes`` gives, with ``rep`` (hash of the words) and ``label`` (of the class)."""
     table = written(sketched(docs, recall), "sketches")
-    grouped = table.where("rep is not null").groupBy("rep").agg(F.count("*").alias("weight"), F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("nodes").alias("nodes"))
+    grouped = table.where("rep is not null").groupBy("rep").agg(F.count("*").alias("weight"), F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("nodes").alias("nodes"), F.first("size").alias("size"))
     reps = written(grouped, "representatives")
     edges = candidates(reps)
-    group = components(edges).join(reps.select(F.col("rep").alias("v")), "v", "left_semi")
-    sizes = group.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    member = group.join(sizes, "label").withColumnRenamed("v", "rep").join(reps.select("rep", "weight", "id"), "rep")
+    group = components(edges).withColumnRenamed("v", "rep").join(reps.select("rep", "weight", "id", "size"), "rep")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(8 * F.sum("size") / BLOCK_BYTES))
+    sizes = group.groupBy("label").agg(blocks.cast("int").alias("blocks"))
+    member = group.drop("size").join(sizes, "label")
     member = written(member.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")), "members")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     sets = _sets(docs).join(member.hint("merge"), "rep").where("doc_id <=> id").select("label", "rep", "block", "weight", "shingles", other)
@@ -359,17 +361,19 @@ def one_of_each(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     them.  Ids that stand for several texts are told apart by their words; of
     rows that repeat both id and words, one stays.
     """
+    rep, id_, keep, own = (fresh(docs, f"__{x}") for x in ("rep", "id", "keep", "own"))
     named = _classes(docs, recall).where("rep is not null and doc_id = class_id")
-    keepers = written(named.groupBy("label").agg(F.min(F.struct("rep", "doc_id")).alias("k")).select(F.col("k.rep").alias("__rep"), F.col("k.doc_id").alias("__id"), F.lit(True).alias("__keep")), "keepers")
-    rows = _with_rep(docs).withColumn("__id", F.col("doc_id").cast("long"))
-    kept = rows.join(keepers, ["__id", "__rep"], "left").where("__keep or __id is null or __rep is null")
-    own = F.when(F.col("__keep"), F.lit(-1)).otherwise(F.monotonically_increasing_id())
-    return kept.withColumn("__own", own).dropDuplicates(["__id", "__rep", "__own"]).select(*docs.columns)
+    first = named.groupBy("label").agg(F.min(F.struct("rep", "doc_id")).alias("k"))
+    keepers = written(first.select(F.col("k.rep").alias(rep), F.col("k.doc_id").alias(id_), F.lit(True).alias(keep)), "keepers")
+    rows = _with_rep(docs, rep).withColumn(id_, F.col("doc_id").cast("long"))
+    kept = rows.join(keepers, [id_, rep], "left").where(F.col(keep) | F.col(id_).isNull() | F.col(rep).isNull())
+    alone = F.when(F.col(keep), F.lit(-1)).otherwise(F.monotonically_increasing_id())
+    return kept.withColumn(own, alone).dropDuplicates([id_, rep, own]).select(*docs.columns)
 
 
-def _with_rep(docs: DataFrame) -> DataFrame:
-    """``docs`` with the hash of each text's words as ``__rep``."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("__rep", T.LongType())])
+def _with_rep(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with the hash of each text's words."""
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])
     where = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -294,6 +294,28 @@ def test_near_duplicates_against_brute_force(spark):
     assert got == {rows[i][0]: (rows[classes[i]][0], links[i]) for i in range(len(rows))}
 
 
+def test_links_of_documents_are_found(spark):
+    """Recall on the test documents, against sets of words joined by their shingles."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    sets = {}
+    for i, t in rows:
+        w = decontaminate.split(t)
+        sets[i] = frozenset(b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+    holders = collections.defaultdict(list)
+    for i, s in sets.items():
+        for x in s:
+            holders[x].append(i)
+    common = collections.Counter((a, b) for h in holders.values() for n, a in enumerate(h) for b in h[n + 1 :])
+    links = collections.Counter()
+    for (a, b), n in common.items():
+        if 5 * n >= 4 * (len(sets[a]) + len(sets[b]) - n):
+            links.update((a, b))
+    got = {r.doc_id: r.n_links for r in near.classes(docs).collect()}
+    assert len(links) > 100 and sum(got.values()) >= 0.99 * sum(links.values())
+    assert all(got[i] <= links[i] for i in got)
+
+
 def test_large_bucket_keeps_small_pairs(spark):
     """Texts that share most words with hundreds of others still find their own near copy."""
     rng = np.random.default_rng(8)
