@@ -5,8 +5,8 @@ items; each document's words stream through it, keeping the longest matching
 length.  Where that length reaches a window (``window`` item words, or a whole
 shorter item), the window's words are hit.  Blocks hold at most ``block_words``
 item words, so what is broadcast and kept in a task has a fixed bound; a larger
-test set becomes a chain of passes in the same stage, each adding its hits.
-Nothing is shuffled.
+test set becomes several passes, each of which adds its hits and is written, so
+that no worker ever holds two automata.  Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from stratalog.llm import textbatch
 from stratalog.llm.spans import replaced
-from stratalog.llm.store import aside
+from stratalog.llm.store import aside, written
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # before A-Z are lower-cased
 _FOLD = bytes(c or 0x20 for c in textbatch.ALNUM.tolist())
@@ -60,9 +60,9 @@ class Automaton:
             size = min(window, len(ids))
             state = 0
             for i, c in enumerate(ids):
-                state = self.next[state][c]
+                state = self.suffix(self.next[state][c], size)
                 if i + 1 >= size:
-                    at = self.windows.setdefault((size, self.suffix(state, size)), [])
+                    at = self.windows.setdefault((size, state), [])
                     if not at or at[-1] != item:
                         at.append(item)
         self.sizes = sorted({k for k, _ in self.windows}, reverse=True)
@@ -100,20 +100,27 @@ class Automaton:
         return state
 
     def suffix(self, state: int, size: int) -> int:
-        """The state of the last ``size`` words of a match that ends in ``state``."""
-        while self.length[self.link[state]] >= size:
+        """The state of the last ``size`` words of a match that ends in ``state``; of the whole match if it is shorter."""
+        while state and self.length[self.link[state]] >= size:
             state = self.link[state]
         return state
 
     def hits(self, ids: list[int]) -> Iterator[tuple[int, int, list[str]]]:
-        """(first, end, items) of each window that occurs, as words stream through."""
+        """(first, end, items) of each window that occurs, as words stream through.
+
+        A match is cut to the state of its last words, as many as the largest
+        window has: what is before cannot matter, and states of smaller windows
+        are then at most that many links away.
+        """
         state = length = 0
+        most = self.sizes[0]
         for i, c in enumerate(ids):
             while state and c not in self.next[state]:
                 state = self.link[state]
                 length = self.length[state]
             if c in self.next[state]:
-                state, length = self.next[state][c], length + 1
+                state = self.suffix(self.next[state][c], most)
+                length = min(length + 1, self.length[state])
                 for size in self.sizes:
                     if size <= length and (found := self.windows.get((size, self.suffix(state, size)))):
                         yield i + 1 - size, i + 1, found
@@ -179,7 +186,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: i
     characters (end exclusive); ``items``, the ids, as sorted strings, of items
     with occurring windows.  Null and empty texts have no words; items without
     words or without an id have no windows; an item listed twice counts once.
-    Rows are neither dropped nor merged.
+    Rows are neither dropped nor merged.  The driver reads the items block by
+    block.
     """
     docs = docs.select(*[c for c in docs.columns if c not in ADDED])
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("hit_words", _RANGES), T.StructField("hit_chars", _RANGES), T.StructField("items", T.ArrayType(T.StringType()))])
@@ -188,6 +196,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: i
     sc = docs.sparkSession.sparkContext
     for number, block in enumerate(_blocks(benchmark, block_words)):
         shared = sc.broadcast(block)
+        if number:
+            docs = written(docs, "passes")
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, later=number > 0) -> Iterator[pa.RecordBatch]:
             automaton = Automaton(shared.value, window)
