@@ -8,8 +8,9 @@ is left.  Symbols that are no pieces fall back to their UTF-8 bytes.
 Where no piece has a space mark after another character, no merge crosses such
 a place, so a text is cut there into chunks that are encoded on their own and
 remembered for the next texts.  Short chunks of one length go through the
-agenda in lockstep, one merge a round, as rows of an array; a long chunk (or a
-text of a vocabulary without that property) has a heap of its own.  Each chunk
+agenda in lockstep, one merge a round, as rows of an array.  A long chunk is
+first cut between characters that are neighbours in no piece; parts that are
+still long have an agenda of their own, in flat arrays.  Each chunk
 that enters the memory is held against the library's own encoding of it, batch
 by batch, and a difference fails the task.
 """
@@ -19,6 +20,7 @@ from __future__ import annotations
 import gc
 import heapq
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain, pairwise
 
@@ -70,6 +72,7 @@ class PieceCoder:
         for piece, i in self.ids.items():
             if len(piece) == 1:
                 self.chars[ord(piece)] = i
+        self.neighbours = np.array(sorted({(ord(a) << _SHIFT) | ord(b) for piece in self.ids for a, b in pairwise(piece)} or {0}), np.int64)
         self._table([(a << _SHIFT) | b for a, b in pairs], list(pairs.values()))
 
     def symbol(self, s: str) -> int | None:
@@ -139,29 +142,58 @@ class PieceCoder:
         for i, row, x in zip(at.tolist(), map(tuple, rows.tolist()), odd, strict=True):
             out[i] = self._finish(row) if x else row
 
+    def _parts(self, chunk: str) -> list[str]:
+        """The chunk, cut between characters that stand side by side in no piece: no merge joins them."""
+        codes = np.frombuffer(chunk.encode("utf-32-le"), np.uint32).astype(np.int64)
+        pair = (codes[:-1] << _SHIFT) | codes[1:]
+        at = np.minimum(np.searchsorted(self.neighbours, pair), len(self.neighbours) - 1)
+        cuts = [0, *(np.flatnonzero(self.neighbours[at] != pair) + 1).tolist(), len(chunk)]
+        return [chunk[i:j] for i, j in pairwise(cuts)]
+
     def _merge_heap(self, chunk: str) -> tuple[int, ...]:
-        """Encode one chunk with an agenda (a heap) over a linked row of symbols."""
-        symbols = [self.symbol(c) for c in chunk]
-        n = len(symbols)
-        left, right, agenda = list(range(-1, n - 1)), list(range(1, n + 1)), []
-
-        def offer(a: int, b: int) -> None:
-            if a >= 0 and b < n and (piece := self.pairs.get((symbols[a], symbols[b]))) is not None:
-                heapq.heappush(agenda, (self.order[piece], a, b, symbols[a], symbols[b], piece))
-
-        for i in range(n - 1):
-            offer(i, i + 1)
-        while agenda:
-            _, a, b, x, y, piece = heapq.heappop(agenda)
-            if symbols[a] != x or symbols[b] != y or right[a] != b:
+        """Encode one chunk with an agenda over a linked row of symbols.
+
+        An entry is a place in the score order and a position, as one number.
+        The first pairs are a sorted array, later ones a heap; an entry holds if
+        the pair that is at its position now has its place in the order.
+        """
+        codes = np.frombuffer(chunk.encode("utf-32-le"), np.uint32).astype(np.int64)
+        known = self.chars[codes]
+        row = np.where(known >= 0, known, codes + _UNKNOWN)
+        order, _ = self._seek((row[:-1] << _SHIFT) | row[1:])
+        on = np.flatnonzero(order != _NONE)
+        first = np.sort((order[on].astype(np.int64) << 32) | on)
+        symbols, n = array("i", row.astype(np.int32).tobytes()), len(row)
+        left, right = array("i", np.arange(-1, n - 1, dtype=np.int32).tobytes()), array("i", np.arange(1, n + 1, dtype=np.int32).tobytes())
+        later: list[int] = []
+        pairs, rank = self.pairs, self.order
+
+        def entries() -> Iterator[int]:
+            for lo in range(0, len(first), 4096):
+                for x in first[lo : lo + 4096].tolist():
+                    while later and later[0] < x:
+                        yield heapq.heappop(later)
+                    yield x
+            while later:
+                yield heapq.heappop(later)
+
+        for x in entries():
+            a = x & 0xFFFFFFFF
+            b = right[a]
+            if symbols[a] < 0 or b >= n:
                 continue
-            symbols[a], symbols[b] = piece, None
-            right[a] = right[b]
-            if right[b] < n:
-                left[right[b]] = a
-            offer(left[a], a)
-            offer(a, right[a])
-        return self._finish(s for s in symbols if s is not None)
+            piece = pairs.get((symbols[a], symbols[b]))
+            if piece is None or rank[piece] != x >> 32:
+                continue
+            symbols[a], symbols[b] = piece, -1
+            c = right[a] = right[b]
+            if c < n:
+                left[c] = a
+                if (new := pairs.get((piece, symbols[c]))) is not None:
+                    heapq.heappush(later, (rank[new] << 32) | a)
+            if (c := left[a]) >= 0 and (new := pairs.get((symbols[c], piece))) is not None:
+                heapq.heappush(later, (rank[new] << 32) | c)
+        return self._finish(s for s in symbols if s >= 0)
 
     def _finish(self, symbols: Iterable[int]) -> tuple[int, ...]:
         """Bytes (or the unknown id) in place of characters that are no pieces."""
@@ -178,15 +210,17 @@ class PieceCoder:
     def _learn(self, chunks: list[str]) -> dict[str, tuple[int, ...]]:
         """Encode chunks and hold each against the library."""
         out: dict[str, tuple[int, ...]] = {}
-        by: dict[int, list[str]] = {}
-        for c in chunks:
-            by.setdefault(len(c), []).append(c)
-        for n, group in by.items():
-            step = max(1, 400_000 // n)
+        by: dict[int, set[str]] = {}
+        cut = {c: self._parts(c) for c in chunks if len(c) > self.lockstep}
+        for c in chain((c for c in chunks if c not in cut), chain.from_iterable(cut.values())):
+            by.setdefault(len(c), set()).add(c)
+        for n, own in by.items():
+            group, step = list(own), max(1, 400_000 // n)
             for i in range(0, len(group), step):
                 part = group[i : i + step]
                 coded = self._merge_rows(part) if n <= self.lockstep else [self._merge_heap(c) for c in part]
                 out.update(zip(part, coded, strict=True))
+        out = {c: tuple(chain.from_iterable(out[x] for x in cut[c])) if c in cut else out[c] for c in chunks}
         if self.check:
             own = [c for c in chunks if c != MARK]
             for c, ids in zip(own, self.lib.encode([c[1:].replace(MARK, " ") for c in own], num_threads=1), strict=True):
@@ -236,6 +270,12 @@ def encode(docs: DataFrame, model: str | None = None, text: str = "text", add_en
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = PieceCoder(model or model_path())
         gc.disable()  # many small tuples and no cycles: walks over them would cost more than the encoding
+        try:
+            yield from coded(coder, batches)
+        finally:
+            gc.enable()
+
+    def coded(coder: PieceCoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets = textbatch.utf8(batch.column(where))[1]
             for i, j in textbatch.slices(offsets, 2 << 20):

@@ -5,6 +5,7 @@ import functools
 import hashlib
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -363,6 +364,20 @@ def test_decontamination_against_brute_force(block_words, spark, odd_dir):
         assert (r.n_words, r.n_hit, r["items"]) == brute_hits(r.text, items)
 
 
+def test_periodic_texts_and_items():
+    """One word over and over, in items and texts: linear, and as brute force says."""
+    items = [("a", "x " * 12), ("b", "x y " * 9), ("c", "x x"), ("d", "y"), ("e", "z " * 9 + "x")]
+    automaton = decontaminate.Automaton(items, 10)
+    for text in ("x " * 30, "x y " * 20 + "x x", "y x " * 12, "z " * 40 + "x y", "z z x x x " * 5):
+        ranges, found = automaton.scan([decontaminate.split(text)]).get(0, ([], set()))
+        hit = sum(b - a for a, b in decontaminate.merged(ranges))
+        assert (hit, sorted(found)) == brute_hits(text, items)[1:]
+    began = time.time()
+    automaton = decontaminate.Automaton([("a", "x " * 30_000)], 10)
+    assert decontaminate.merged(automaton.scan([decontaminate.split("x " * 100_000)])[0][0]) == [(0, 100_000)]
+    assert time.time() - began < 20
+
+
 def test_passages_are_cut(spark):
     item = " ".join(f"w{i}" for i in range(12))
     rows = [(1, f"é before {item.title()}. After, this stays and is longer than the item was by some more words.", 0), (2, item, 0), (3, "clean", 5), (4, None, None)]
@@ -480,6 +495,15 @@ def test_lockstep_is_the_heap(docs):
     assert all(learnt[w] == coder._merge_heap(w) for w in words)
 
 
+def test_long_chunks(docs):
+    """Texts without spaces, periodic and mixed, against the library."""
+    coder = pieces.PieceCoder(pieces.model_path())
+    rng = np.random.default_rng(12)
+    letters = list("abcdefghijklmnop日本語éß😀.-/")
+    texts = ["".join(rng.choice(letters, n)) for n in (49, 50, 300, 5000)] + ["ab" * 3000, "the" * 4000, "x" * 9999, "".join(r.text or "" for r in docs.limit(20).collect()).replace(" ", "")]
+    assert coder.encode(texts) == coder.lib.encode(texts)
+
+
 # --- op10 ---
 
 
