@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -39,3 +40,22 @@ def ordered_fold(rows: DataFrame, keys: list[str], order: list[str], inputs: lis
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=schema.names)
 
     return dealt.sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each group; rows come sorted by the group, a long in the first column; groups are bounded."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        g = np.asarray(batch.column(0))
+        cuts = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if last is not None and g[lo] != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+            last = g[lo]
+    if held:
+        yield pa.Table.from_batches(held)

@@ -7,9 +7,15 @@ aggregation, and partial aggregation in each task bounds what is exchanged.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from hashlib import md5
+from itertools import pairwise
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stratalog.functions.hashing import fnv1a_32, slots
 
@@ -48,6 +54,23 @@ def bloom_bytes(bits: DataFrame, m: int) -> DataFrame:
     return bits.groupBy(octet.alias("byte")).agg(F.sum(F.pow(F.lit(2.0), 7 - F.col("slot") % 8).cast("int")).cast("int").alias("value"))
 
 
+def bloom_pack(bits: DataFrame, m: int, k: int, base: int = BASE) -> DataFrame:
+    """(packed): one row, the filter as bytes: m, k and base in four bytes each, big-endian, then its bits, first bit highest."""
+    octets = bloom_bytes(bits, m).agg(F.map_from_entries(F.collect_list(F.struct("byte", "value"))).alias("at"))  # at most m / 8 of them
+    body = F.array_join(F.transform(F.sequence(F.lit(0), F.lit((m + 7) // 8 - 1)), lambda i: F.lpad(F.hex(F.coalesce(F.try_element_at("at", i), F.lit(0))), 2, "0")), "")
+    return octets.select(F.unhex(F.concat(F.lit(f"{m:08x}{k:08x}{base & 0xFFFFFFFF:08x}"), body)).alias("packed"))
+
+
+def bloom_unpack(packed: DataFrame) -> DataFrame:
+    """(m, k, base, slot): header and set bits of packed filters."""
+    field = lambda i: F.conv(F.substring(F.hex("packed"), 8 * i + 1, 8), 16, 10).cast("long")
+    octets = F.regexp_extract_all(F.substring(F.hex("packed"), 25, 1 << 30), F.lit(".."), F.lit(0))
+    rows = packed.select(field(0).alias("m"), field(1).alias("k"), field(2).alias("base"), F.posexplode(octets).alias("at", "octet"))
+    rows = rows.withColumn("value", F.conv("octet", 16, 10).cast("int")).where("value > 0")
+    bit = F.explode(F.filter(F.sequence(F.lit(0), F.lit(7)), lambda i: F.floor(F.col("value") / F.pow(F.lit(2.0), 7 - i)) % 2 == 1)).alias("bit")
+    return rows.select("m", "k", "base", "at", bit).select("m", "k", "base", (F.col("at").cast("long") * 8 + F.col("bit")).alias("slot"))
+
+
 def cms(keys: DataFrame, m: int, k: int, base: int = BASE) -> DataFrame:
     """(row, col, cnt)."""
     one = keys.select(F.explode(slots(F.col("key"), base, k, m)).alias("s"))
@@ -114,22 +137,33 @@ def simhash_tokens(texts: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def simhash(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fingerprint): 256 characters 0 or 1.
+    """(key, fingerprint): 256 characters 0 or 1, one row for each row whose text is not null.
 
-    A word's 256 bits are the ASCII bits of its MD5 in hex.  Only five bits of a
-    hex digit vary; each of them is counted in a long of its own, so a text may
-    have any number of words.
+    A word's 256 bits are the ASCII bits of its MD5 in hex; a place is 1 where
+    more than half of the text's words (repeats count) have it.  A text is one
+    row, so its votes are summed there: nothing is exchanged, and what a task
+    holds is one batch's distinct words.
     """
-    tokens = simhash_tokens(texts, key, text).withColumn("__md5", F.md5(F.encode("word", "UTF-8")))
-    code = lambda j: F.ascii(F.substr("__md5", j, F.lit(1))).cast("long")
-    bits = (6, 3, 2, 1, 0)
-    tokens = tokens.select(key, "n", F.transform(F.sequence(F.lit(1), F.lit(32)), code).alias("__code"))
-    sums = [F.sum("n").alias("__n"), *[F.sum(F.col("n") * F.shiftright(F.col("__code")[j], b).bitwiseAND(1)).alias(f"__{j}_{b}") for j in range(32) for b in bits]]
-    counted = tokens.groupBy(key).agg(*sums)
-    one = lambda ones: F.when(2 * ones > F.col("__n"), "1").otherwise("0")
-    octet = lambda c: F.concat(F.lit("0"), one(c[0]), F.lit("1"), one(F.col("__n") - c[0]), *[one(c[i]) for i in range(1, 5)])
-    places = F.array(*[F.array(*[F.col(f"__{j}_{b}") for b in bits]) for j in range(32)])
-    return counted.select(key, F.array_join(F.transform(places, octet), "").alias("fingerprint"))
+    words = F.transform(F.split(F.col(text), " ", -1), simhash_token)
+    schema = T.StructType([texts.schema[key], T.StructField("fingerprint", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            coded = lists.flatten().dictionary_encode()
+            number = np.asarray(coded.indices)
+            digest = np.frombuffer("".join(md5(w.encode()).hexdigest() for w in coded.dictionary.to_pylist()).encode(), np.uint8).reshape(-1, 32)
+            ends = np.asarray(lists.offsets) - lists.offsets[0].as_py()
+            out = []
+            for lo, hi in pairwise(ends.tolist()):
+                own, n = np.unique(number[lo:hi], return_counts=True)
+                votes = np.zeros(256)
+                for i in range(0, len(own), 4096):
+                    votes += n[i : i + 4096] @ np.unpackbits(digest[own[i : i + 4096]], axis=1).astype(np.float64)
+                out.append(((2 * votes > hi - lo) + ord("0")).astype(np.uint8).tobytes().decode())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=schema.names)
+
+    return texts.where(F.col(text).isNotNull()).select(key, words.alias("words")).mapInArrow(run, schema)
 
 
 def hamming(a: Column, b: Column) -> Column:

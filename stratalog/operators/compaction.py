@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalog.operators.runs import run_content
+from stratalog.schema import EngineConfig
 from stratalog.sources.shared import numbered, written
 
 
@@ -108,6 +109,24 @@ def leveled_compact(content: DataFrame, size: int, multiplier: int, max_level: i
     return rows
 
 
+def compact(content: DataFrame, config: EngineConfig) -> DataFrame:
+    """One call of the compaction that the settings name."""
+    if config.compaction_type == "leveled":
+        return leveled_compact(content, config.memtable_size, config.leveled_compaction_multiplier, config.lsm_max_level)
+    return size_tiered(content, config.lsm_max_level)
+
+
+def store_levels(runs: DataFrame, config: EngineConfig) -> DataFrame:
+    """The whole store after one compaction: (level, run, key, ...) with the open memtable as level 0, run 0.
+
+    ``runs`` is a log with ``run`` and ``run_rank`` (see ``runs.ranked``).
+    """
+    filled = run_content(runs.where("run_rank > 0")).withColumn("level", F.lit(1))
+    memtable = run_content(runs.where("run_rank = 0")).withColumns({"level": F.lit(0), "run": F.lit(0).cast("long")})
+    columns = ["level", "run", "key", "value", "ts", "tombstone", "seq"]
+    return compact(filled.select(*columns), config).select(*columns).unionByName(memtable.select(*columns))
+
+
 def drop_tombstones(content: DataFrame, last_level: int) -> DataFrame:
     """Leave out tombstones in the last level (an extension; merges keep them)."""
     return content.where(~(F.col("tombstone") & (F.col("level") == last_level)))

@@ -17,6 +17,19 @@ def store(sketch: DataFrame, kind: str, name: str, ts: int, seq: int, *columns:
     return rows.select(F.lit(kind + name).alias("key"), "value", F.lit(ts).cast("long").alias("ts"), F.lit(False).alias("tombstone"), F.lit(seq).cast("long").alias("seq"))
 
 
+def store_each(rows: DataFrame, kind: str, name: str, value: str, ts: int) -> DataFrame:
+    """One put for each row: ``value`` under the sketch name in column ``name``; ``seq`` is the name's order."""
+    if kind not in RESERVED:
+        raise ValueError(f"kind is one of {RESERVED}")
+    return rows.select(F.concat(F.lit(kind), F.col(name).cast("string")).alias("key"), F.col(value).alias("value"), F.lit(ts).cast("long").alias("ts"), F.lit(False).alias("tombstone"), F.col(name).cast("long").alias("seq"))
+
+
+def stored(oplog: DataFrame, kind: str) -> DataFrame:
+    """(name, value) of the live sketches of a kind."""
+    found = live(oplog.where(F.col("key").startswith(kind)))
+    return found.select(F.substring("key", len(kind) + 1, 1 << 30).alias("name"), "value")
+
+
 def load(oplog: DataFrame, kind: str, name: str, schema: str) -> DataFrame:
     """A stored sketch's rows; none if it is not there."""
     found = live(oplog.where(F.col("key") == kind + name))

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stratalog.functions.fold import ordered_fold
-from stratalog.functions.sketches import BASE, bloom
+from stratalog.functions.fold import by_group, ordered_fold
 from stratalog.functions.hashing import slots
+from stratalog.functions.sketches import BASE, bloom
 from stratalog.operators.state import current
+from stratalog.sources.shared import numbered, written
 
 
 def fixed_runs(oplog: DataFrame, size: int) -> DataFrame:
@@ -24,14 +30,14 @@ def exact_runs(oplog: DataFrame, memtable_size: int, *shard: str) -> DataFrame:
     ``flushed`` marks the operation that fills the run.
     """
 
-    def step(state: tuple[int, frozenset], values: tuple) -> tuple[tuple[int, set], tuple]:
+    def step(state: tuple[int, set], values: tuple) -> tuple[tuple[int, set], tuple]:
         run, held = state
-        held = held | {values[0]} if values[0] not in held else held
+        held.add(values[0])
         if len(held) >= memtable_size:
-            return (run + 1, frozenset()), (run, True)
+            return (run + 1, set()), (run, True)
         return (run, held), (run, False)
 
-    return ordered_fold(oplog, list(shard), ["seq"], ["key"], "run long, flushed boolean", lambda: (1, frozenset()), step)
+    return ordered_fold(oplog, list(shard), ["seq"], ["key"], "run long, flushed boolean", lambda: (1, set()), step)
 
 
 def flush_bounds(runs: DataFrame) -> DataFrame:
@@ -58,31 +64,58 @@ def manifest(content: DataFrame, *by: str) -> DataFrame:
     return content.groupBy(*by).agg(F.min("key").alias("min_key"), F.max("key").alias("max_key"), F.count("*").alias("n"), F.count_if("tombstone").alias("n_tombstones"))
 
 
+def placed(content: DataFrame, *by: str) -> DataFrame:
+    """``content`` with ``rn``, each entry's place (from 1) in its run's key order.
+
+    From a global number, so that a single large run is still many tasks' work.
+    """
+    by = by or ("run",)
+    rows = written(numbered(content, *by, "key", name="__n"), "placed")
+    first = rows.groupBy(*by).agg(F.min("__n").alias("__first"))
+    return rows.join(first, list(by)).withColumn("rn", F.col("__n") - F.col("__first") + 1).drop("__n", "__first")
+
+
+def _entries(rows: DataFrame, interval: int, *by: str) -> DataFrame:
+    """(by..., entry, entry_key): every ``interval``-th key of each run, numbered from 0."""
+    return rows.where((F.col("rn") - 1) % interval == 0).select(*by, F.floor((F.col("rn") - 1) / interval).cast("long").alias("entry"), F.col("key").alias("entry_key"))
+
+
 def sparse_index(content: DataFrame, interval: int, *by: str) -> DataFrame:
     """Every ``interval``-th key of each run, with the next such key as upper bound."""
     by = by or ("run",)
-    in_run = Window.partitionBy(*by).orderBy("key")
-    picked = content.select(*by, "key", F.row_number().over(in_run).alias("rn")).where(f"(rn - 1) % {interval} = 0")
-    return picked.select(*by, "key", F.lead("key").over(in_run).alias("next_key"))
+    picked = written(_entries(placed(content, *by), interval, *by), "index")
+    after = picked.select(*by, (F.col("entry") - 1).alias("entry"), F.col("entry_key").alias("next_key"))
+    return picked.join(after, [*by, "entry"], "left").select(*by, F.col("entry_key").alias("key"), "next_key")
 
 
-def next_run(content: DataFrame, level: int) -> int:
-    """The number of a level's next run."""
-    return (content.where(F.col("level") == level).agg(F.max("run")).first()[0] or 0) + 1
+def lookup(content: DataFrame, probes: DataFrame, interval: int) -> DataFrame:
+    """For each probe key that is there: the newest run that holds it, the index entry before it and the steps from there.
+
+    (key, run, entry_key, steps, value, tombstone).  Runs that cannot hold a
+    key never come up, as the join is on the key; ``pruning_report`` says how
+    filters and ranges would have kept them away from a probe.
+    """
+    rows = written(placed(content), "placed")
+    newest = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("run")))
+    found = rows.join(probes.select("key").distinct(), "key", "left_semi").withColumn("__n", newest).where("__n = 1")
+    at = found.withColumns({"entry": F.floor((F.col("rn") - 1) / interval).cast("long"), "steps": ((F.col("rn") - 1) % interval).cast("long")})
+    return at.join(_entries(rows, interval, "run"), ["run", "entry"]).select("key", "run", "entry_key", "steps", "value", "tombstone")
 
 
-def expected_size(level: int, memtable_size: int) -> int:
-    return 2 ** (level - 1) * memtable_size
+def next_run(manifest: DataFrame, level: int) -> int:
+    """The number of a level's next run, by a manifest with levels."""
+    return (manifest.where(F.col("level") == level).agg(F.max("run")).first()[0] or 0) + 1
 
 
-def run_rank(run: Column, newest: Column) -> Column:
-    """0 for the open tail's run, then newest first."""
-    return newest - run
+def expected_size(level: Column | int, memtable_size: int) -> Column:
+    """Entries of a run of a level when every key is new."""
+    return (F.pow(F.lit(2.0), F.lit(level) - 1) * memtable_size).cast("long")
 
 
-def overlapping(left: DataFrame, right: DataFrame) -> Column:
-    """Whether two manifests' key ranges overlap."""
-    return ~((left["max_key"] < right["min_key"]) | (left["min_key"] > right["max_key"]))
+def ranked(runs: DataFrame) -> DataFrame:
+    """``runs`` (as ``exact_runs`` gives them) with ``run_rank``: 0 for the open memtable, then 1 for the newest run, and so on."""
+    last = runs.agg(F.coalesce(F.max(F.when(F.col("flushed"), F.col("run"))), F.lit(0)).alias("last"))  # one row
+    return runs.join(F.broadcast(last), F.lit(True)).withColumn("run_rank", F.greatest(F.col("last") - F.col("run") + 1, F.lit(0))).drop("last")
 
 
 def overlap_counts(runs: DataFrame) -> DataFrame:
@@ -102,24 +135,59 @@ def overlap_counts(runs: DataFrame) -> DataFrame:
     return out.select("run", (F.col("others") - F.col("ended") - F.col("begun")).alias("n_overlaps"))
 
 
-def pruning_report(content: DataFrame, probes: DataFrame, m: int, k: int) -> DataFrame:
+def pruning_report(content: DataFrame, probes: DataFrame, m: int, k: int, run_block: int = 1024, probe_block: int = 16384) -> DataFrame:
     """For each run: how many distinct probe keys its filter, or its key range, rules out, and how many are read.
 
-    Probes meet runs by filter slot, so only pairs that share a bit are made.
+    Packed filters of ``run_block`` runs meet ``probe_block`` sorted probes in
+    one task: the range test is two searches for each run, the filter test an
+    AND of k rows of bits, and only counts leave the task.  The probes are a
+    stated set that has to be held against every run, in blocks; no pair of a
+    run and a probe becomes a row.
     """
-    bits = bloom(content, m, k, "run")
-    asked = probes.select("key").distinct()
-    one = asked.select("key", F.explode(slots(F.col("key"), BASE, k, m)).alias("s")).select("key", F.col("s.slot").alias("slot"))
-    need = one.groupBy("key").agg(F.count_distinct("slot").alias("need"))
-    met = one.distinct().join(bits, "slot").groupBy("run", "key").agg(F.count("*").alias("met"))
-    maybe = met.join(need, "key").where("met = need").select("run", "key")
-    runs = manifest(content)
-    read = F.col("key").between(F.col("min_key"), F.col("max_key"))
-    sums = maybe.join(runs, "run").groupBy("run").agg(F.count_if(~read).alias("n_range"), F.count_if(read).alias("n_read"))
-    total = asked.agg(F.count("*").alias("asked"))
-    out = runs.join(sums, "run", "left").join(F.broadcast(total), F.lit(True))
+    asked = probes.select("key").where("key is not null").distinct()
+    slot_list = F.transform(slots(F.col("key"), BASE, k, m), lambda s: s["slot"].cast("int"))
+    keys = written(asked.select("key", slot_list.alias("slots")), "probes")
+    bits = bloom(content, m, k, "run").groupBy("run").agg(F.collect_list(F.col("slot").cast("int")).alias("slots"))  # at most m of them
+    runs = written(manifest(content).join(bits, "run").select("run", "min_key", "max_key", "slots"), "filters")
+    total = keys.count()
+    n_runs, n_probes = max(1, -(-runs.count() // run_block)), max(1, -(-total // probe_block))
+    part = lambda of, n, seed: F.pmod(F.xxhash64(F.lit(seed), of), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = runs.select(part("run", n_runs, 1).alias("r"), every(n_probes).alias("p"), "run", F.col("min_key").alias("low"), F.col("max_key").alias("high"), "slots")
+    right = keys.select(every(n_runs).alias("r"), part("key", n_probes, 2).alias("p"), F.lit(None).cast("long").alias("run"), F.col("key").alias("low"), F.lit(None).cast("string").alias("high"), "slots")
+    rows = left.unionByName(right).select(F.xxhash64("r", "p").alias("block"), "run", "low", "high", "slots").repartition("block").sortWithinPartitions("block")
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in by_group(batches):
+            run, low, high = (table[c].to_pylist() for c in ("run", "low", "high"))
+            of = table["slots"].combine_chunks()
+            ends = np.asarray(of.offsets)
+            flat = np.asarray(of.values)
+            filters = [i for i, x in enumerate(run) if x is not None]
+            ask = sorted((low[i].encode(), i) for i, x in enumerate(run) if x is None)
+            if not filters or not ask:
+                continue
+            names, order = [x for x, _ in ask], [i for _, i in ask]
+            on = np.zeros((m, len(filters)), bool)
+            for n, i in enumerate(filters):
+                on[flat[ends[i] : ends[i + 1]], n] = True
+            first = np.array([bisect_left(names, low[i].encode()) for i in filters])
+            last = np.array([bisect_right(names, high[i].encode()) for i in filters])
+            read, out = np.zeros(len(filters), np.int64), np.zeros(len(filters), np.int64)
+            for at in range(0, len(order), 1024):
+                need = np.stack([flat[ends[i] : ends[i + 1]] for i in order[at : at + 1024]])
+                maybe = on[need[:, 0]]
+                for j in range(1, k):
+                    maybe = maybe & on[need[:, j]]
+                place = np.arange(at, at + len(need))[:, None]
+                inside = (place >= first) & (place < last)
+                read += (maybe & inside).sum(0)
+                out += (maybe & ~inside).sum(0)
+            yield pa.RecordBatch.from_arrays([pa.array([run[i] for i in filters], pa.int64()), pa.array(out), pa.array(read)], names=["run", "n_range", "n_read"])
+
+    sums = rows.mapInArrow(counts, "run long, n_range long, n_read long").groupBy("run").agg(F.sum("n_range").alias("n_range"), F.sum("n_read").alias("n_read"))
     n_range, n_read = F.coalesce("n_range", F.lit(0)), F.coalesce("n_read", F.lit(0))
-    return out.select("run", (F.col("asked") - n_range - n_read).alias("n_bloom"), n_range.alias("n_range"), n_read.alias("n_read"))
+    return runs.select("run").join(sums, "run", "left").select("run", (F.lit(total) - n_range - n_read).alias("n_bloom"), n_range.alias("n_range"), n_read.alias("n_read"))
 
 
 def dump(content: DataFrame, *by: str) -> DataFrame:
@@ -130,3 +198,13 @@ def dump(content: DataFrame, *by: str) -> DataFrame:
 def flush(oplog: DataFrame, path: str) -> None:
     """Write the newest versions as key-ordered files with a key filter, so that readers skip by range and filter."""
     current(oplog).repartitionByRange("key").sortWithinPartitions("key").write.mode("overwrite").option("parquet.bloom.filter.enabled#key", "true").parquet(path)
+
+
+def flushed(spark: SparkSession, path: str, where: Column) -> DataFrame:
+    """Entries of flushed files that meet ``where``, a predicate on the key that reaches the scan."""
+    return spark.read.parquet(path).where(where)
+
+
+def save_manifest(content: DataFrame, roots: DataFrame, path: str, *by: str) -> None:
+    """Write each run's key range, sizes and Merkle root."""
+    manifest(content, *by).join(roots, list(by or ("run",))).write.mode("overwrite").parquet(path)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalog.functions.fold import ordered_fold
+from stratalog.sources.oplog import accepted
 
 
 def lru_hits(accesses: DataFrame, capacity: int, client: str = "client") -> DataFrame:
@@ -59,6 +60,9 @@ def token_bucket(requests: DataFrame, rate: float, capacity: int, client: str =
     return ordered_fold(requests, [client], ["seq"], ["ts"], "accepted boolean", lambda: (capacity, None), step)
 
 
-def admitted(oplog: DataFrame, rate: float, capacity: int, client: str = "client") -> DataFrame:
-    """Operations that got a token; the others are not applied."""
-    return token_bucket(oplog, rate, capacity, client).where("accepted").drop("accepted")
+def admitted(requests: DataFrame, rate: float, capacity: int, client: str = "client") -> DataFrame:
+    """Requests (put, delete or get) that got a token, as operations; the others, and reserved keys, are not applied.
+
+    A request for a reserved key takes its token before it is refused.
+    """
+    return accepted(token_bucket(requests, rate, capacity, client).where("accepted").drop("accepted"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,13 +11,16 @@ from pyspark.sql import functions as F
 from stratalog.functions import sketches as sk
 from stratalog.functions.hashing import fnv1a_32, seed_hex
 from stratalog.operators import compaction, integrity, registry, runs, state, stateful
+from stratalog.schema import EngineConfig
 from stratalog.sources import oplog, records
+from stratalog.sources.shared import numbered, place, written
 
-MEMTABLE = 40
-INTERVAL = 10
-MAX_LEVEL = 7
-MULTIPLIER = 3
-WAL_MARK = 20
+SETTINGS = EngineConfig(memtable_size=40, sstable_interval=10, lsm_max_level=7, leveled_compaction_multiplier=3, wal_water_mark=20)
+MEMTABLE = SETTINGS.memtable_size
+INTERVAL = SETTINGS.sstable_interval
+MAX_LEVEL = SETTINGS.lsm_max_level
+MULTIPLIER = SETTINGS.leveled_compaction_multiplier
+WAL_MARK = SETTINGS.wal_water_mark
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -92,9 +96,18 @@ def list_scan_urls(spark, d):
     return state.live(oplog.from_pages(spark, d).where(state.has_prefix("https://"))).select("key", "seq", F.length("value").cast("long").alias("n"))
 
 
-@query("empty_page", f"with {F1} select key, seq from f1 where false")
+PAGES = ((10, 0), (0, 1), (10, 1), (10, 3), (7, 5), (10, 99))
+
+
+@query("empty_page", f"with {F1}, {newest('f1')}, n as (select count(*) n from cur where not tombstone and key between '000010' and '000060') select length, number, cast(case when length < 1 or number < 1 then 0 else greatest(0, least(length, n - (number - 1) * length)) end as bigint) as n_rows from (values {', '.join(map(str, PAGES))}) t(length, number) cross join n")
 def empty_page(spark, d):
-    return state.range_scan(oplog.from_events(spark, d), "000010", "000060", 10, 0).select("key", "seq")
+    """How many rows each page has: none for page 0, length 0 and pages past the end."""
+    ops = oplog.from_events(spark, d)
+    out = None
+    for length, number in PAGES:
+        one = state.range_scan(ops, "000010", "000060", length, number).agg(F.lit(length).alias("length"), F.lit(number).alias("number"), F.count("*").alias("n_rows"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("recency_page", f"with {F1}, r as (select *, seq // {MEMTABLE} as run from f1), {newest('r', order='run desc, ts desc, seq desc')} select key, value, seq, run from cur where not tombstone and key between '000010' and '000060' order by run desc, key limit 10 offset 10")
@@ -109,10 +122,10 @@ def result_projection(spark, d):
     return state.live(oplog.from_events(spark, d)).select("key", "value", at.alias("at"))
 
 
-@query("physical_remove", f"with {F1} select key, seq from f1 where key not in (select key from f1 where tombstone)")
+@query("physical_remove", f"with {F2} select key, seq from f2 where key not in (select key from f2 where tombstone and ts < 800000000)")
 def physical_remove(spark, d):
-    ops = oplog.from_events(spark, d)
-    return state.without(ops, ops.where("tombstone")).select("key", "seq")
+    ops = oplog.from_orders(spark, d)
+    return state.without(ops, ops.where("tombstone and ts < 800000000")).select("key", "seq")
 
 
 @query("as_of_state", f"with {F2}, g as (select * from f2 where ts <= 800000000), {newest('g')} select key, value, seq from cur where not tombstone")
@@ -208,6 +221,10 @@ def overlap_runs(spark, d):
     return runs.overlap_counts(runs.manifest(_flushed(spark, d)))
 
 
+def _customer_keys(spark, d):
+    return oplog.table(spark, d, "customer").select(F.lpad(F.col("c_custkey").cast("string"), 6, "0").alias("key"))
+
+
 def _slot(key: str, base: int, i: int, m: int) -> str:
     return f"cast(('0x' || substr(md5(unhex(hex(encode({key})) || '{seed_hex(base, i)}')), 1, 16))::ubigint % {m} as bigint)"
 
@@ -220,7 +237,7 @@ PRUNE_M, PRUNE_K = sk.bloom_params(MEMTABLE, 0.05)
 
 
 @query("pruning_report", f"""with {CONTENT}, bits as (select distinct run, s.slot from (select run, unnest({_slots('key', PRUNE_M, PRUNE_K)}) s from content)),
-asked as (select distinct lpad(cast(c_custkey as varchar), 6, '0') as key from customer where c_custkey % 10 = 0),
+asked as (select distinct lpad(cast(c_custkey as varchar), 6, '0') as key from customer),
 one as (select distinct key, s.slot from (select key, unnest({_slots('key', PRUNE_M, PRUNE_K)}) s from asked)),
 met as (select run, key, count(*) n from one join bits using (slot) group by run, key),
 maybe as (select run, met.key from met join (select key, count(*) need from one group by key) x on x.key = met.key and need = n),
@@ -228,8 +245,48 @@ m as (select run, min(key) lo, max(key) hi from content group by run),
 s as (select m.run, count(maybe.key) filter (where maybe.key < lo or maybe.key > hi) n_range, count(maybe.key) filter (where maybe.key between lo and hi) n_read from m left join maybe on m.run = maybe.run group by m.run)
 select run, (select count(*) from asked) - n_range - n_read as n_bloom, n_range, n_read from s""")
 def pruning_report(spark, d):
-    probes = oplog.table(spark, d, "customer").where("c_custkey % 10 = 0").select(F.lpad(F.col("c_custkey").cast("string"), 6, "0").alias("key"))
-    return runs.pruning_report(_flushed(spark, d), probes, PRUNE_M, PRUNE_K)
+    return runs.pruning_report(_flushed(spark, d), _customer_keys(spark, d), PRUNE_M, PRUNE_K)
+
+
+@query("run_lookup", f"""with {CONTENT}, x as (select *, row_number() over (partition by run order by key) - 1 as at from content), {newest('x', 'top', order='run desc')},
+asked as (select distinct lpad(cast(c_custkey as varchar), 6, '0') as key from customer)
+select top.key, top.run, x.key as entry_key, top.at % {INTERVAL} as steps, top.value, top.tombstone from top join asked using (key) join x on x.run = top.run and x.at = top.at - top.at % {INTERVAL}""")
+def run_lookup(spark, d):
+    return runs.lookup(_flushed(spark, d), _customer_keys(spark, d), INTERVAL)
+
+
+@query("flushed_scan", f"with {F1}, {newest('f1')} select key, value, ts, tombstone, seq from cur where key between '000010' and '000060'")
+def flushed_scan(spark, d):
+    path = place(spark, "flushed")
+    runs.flush(oplog.from_events(spark, d), path)
+    return runs.flushed(spark, path, state.in_range("000010", "000060")).select("key", "value", "ts", "tombstone", "seq")
+
+
+SEGMENTS = f"{BOUNDS}, {F1}, b as (select run, e, lag(e) over (order by run) as s from w), x as (select count(*) n from w where run > 0), g as (select f1.*, coalesce(run, n + 1) as segment, n from f1 left join b on seq > s and seq <= e cross join x)"
+
+
+@query("memtable_page", f"with recursive {SEGMENTS}, {newest('g', order='segment desc, ts desc, seq desc')} select key, value, seq, cast(n + 1 - segment as bigint) as run_rank from cur where not tombstone and key between '000010' and '000060' order by segment desc, key limit 20 offset 0")
+def memtable_page(spark, d):
+    """A page over the open memtable and the runs, newest first."""
+    rows = runs.ranked(runs.exact_runs(oplog.from_events(spark, d), MEMTABLE))
+    return state.recency_page(rows, state.in_range("000010", "000060"), 20, 1).select("key", "value", "seq", "run_rank")
+
+
+@query("log_append", f"with {F1} select key, value, ts, tombstone, seq from f1")
+def log_append(spark, d):
+    """A log written by two appends and read back in order."""
+    path = place(spark, "log")
+    ops = oplog.from_events(spark, d).select("key", "value", "ts", "tombstone", "seq")
+    for i in range(2):
+        oplog.append(ops.where(F.col("seq") % 2 == i), path)
+    return oplog.read(spark, path)
+
+
+@query("log_dump", f"with {F3} select seq // {MEMTABLE} as segment, seq % {MEMTABLE} as n, key, value, ts, tombstone, true as sound from f3")
+def log_dump(spark, d):
+    """Every record of the segment files, in order."""
+    files = written(records.segmented(oplog.from_order_keys(spark, d), MEMTABLE), "segments")
+    return records.decoded(files).withColumn("segment", oplog.segment_number("path").cast("long")).select("segment", "n", "key", "value", "ts", "tombstone", "sound").orderBy("segment", "n")
 
 
 # --- compaction ---
@@ -317,15 +374,39 @@ def tombstone_gc(spark, d):
     return compaction.drop_tombstones(compaction.size_tiered(rows, MAX_LEVEL), MAX_LEVEL).select(F.col("level").cast("int").alias("level"), "key", "seq")
 
 
+@query("store_dump", f"""with recursive {SEGMENTS}, filled as (select * exclude (n) from g where segment <= n), {newest('filled', 'content', by='segment, key')},
+t as (select content.* exclude (segment), {_tiers('n', 'segment')} from content cross join x), {newest('t', 'tiered', by='level, tier_run, key')},
+opened as (select * from g where segment > n), {newest('opened', 'memtable')}
+select cast(level as integer) as level, cast(tier_run as bigint) as run, key, value, tombstone, seq from tiered union all select 0, 0, key, value, tombstone, seq from memtable""")
+def store_dump(spark, d):
+    """Everything the store holds: the open memtable and every level."""
+    rows = runs.ranked(runs.exact_runs(oplog.from_events(spark, d), MEMTABLE))
+    return compaction.store_levels(rows, SETTINGS).select(F.col("level").cast("int").alias("level"), "run", "key", "value", "tombstone", "seq")
+
+
+@query("configured_compaction", f"""with {F2}, r as (select *, seq // 400 as run from f2), {newest('r', 'content', by='run, key')}, n as (select max(run) + 1 n from content),
+t as (select content.* exclude (run), {_tiers('n', '(run + 1)')} from content cross join n), {newest('t', 'tiered', by='level, tier_run, key')},
+{newest('f2')}, y as (select (row_number() over (order by key) - 1) // {MEMTABLE} as file from cur), l as (select {_leveled_sql()} as level from y)
+select 'size_tiered' as kind, cast(level as integer) as level, count(*) as n from tiered group by 2 union all select 'leveled', cast(level as integer), count(*) from l group by 2""")
+def configured_compaction(spark, d):
+    """Entries in each level after either kind of compaction, as the settings choose it."""
+    content = runs.run_content(runs.fixed_runs(oplog.from_orders(spark, d), 400)).withColumns({"level": F.lit(1), "run": F.col("run") + 1}).select("level", "run", "key", "value", "ts", "tombstone", "seq")
+    out = None
+    for kind in ("size_tiered", "leveled"):
+        one = compaction.compact(content, replace(SETTINGS, compaction_type=kind)).groupBy(F.col("level").cast("int").alias("level")).agg(F.lit(kind).alias("kind"), F.count("*").alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out.select("kind", "level", "n")
+
+
 @query("expected_run_size", f"select cast(unnest(range(1, {MAX_LEVEL + 1})) as integer) as level, cast(pow(2, unnest(range(1, {MAX_LEVEL + 1})) - 1) * {MEMTABLE} as bigint) as size")
 def expected_run_size(spark, d):
-    return spark.range(1, MAX_LEVEL + 1).select(F.col("id").cast("int").alias("level"), (F.pow(F.lit(2.0), F.col("id") - 1) * MEMTABLE).cast("long").alias("size"))
+    return spark.range(1, MAX_LEVEL + 1).select(F.col("id").cast("int").alias("level"), runs.expected_size(F.col("id"), MEMTABLE).alias("size"))
 
 
 # --- sketches ---
 
-BLOOM_N = 150
-BLOOM_M, BLOOM_K = sk.bloom_params(BLOOM_N, 0.01)
+BLOOM_P = 0.01
+BLOOM_K = sk.bloom_params(1000, BLOOM_P)[1]  # depends on the rate alone
 CMS_M, CMS_K = sk.cms_params(0.01, 0.01)
 P = 12
 
@@ -340,23 +421,45 @@ def cms_params(spark, d):
     return spark.createDataFrame([(e, x, *sk.cms_params(e, x)) for e, x in ((0.1, 0.1), (0.01, 0.01), (0.001, 0.01))], "epsilon double, delta double, m int, k int")
 
 
-FILTER = f"{F1}, bits as (select distinct s.slot from (select unnest({_slots('key', BLOOM_M, BLOOM_K)}) s from (select distinct key from f1)))"
+BLOOM_M = "(select m from bm)"
+FILTER = f"{F1}, bm as (select cast(ceil(count(distinct key) * abs(ln({BLOOM_P}::double)) / pow(ln(2), 2)) as ubigint) as m from f1), bits as (select distinct s.slot from (select unnest({_slots('key', BLOOM_M, BLOOM_K)}) s from (select distinct key from f1)))"
+
+
+def _user_filter(spark, d):
+    """The filter of all users' keys, and its size by their number."""
+    keys = oplog.from_events(spark, d).select("key").distinct()
+    m, k = sk.bloom_params(max(keys.count(), 1), BLOOM_P)
+    return sk.bloom(keys, m, k), m, k
 
 
 @query("bloom_bits", f"with {FILTER} select slot from bits")
 def bloom_bits(spark, d):
-    return sk.bloom(oplog.from_events(spark, d).select("key").distinct(), BLOOM_M, BLOOM_K)
+    return _user_filter(spark, d)[0]
 
 
 @query("bloom_bytes", f"with {FILTER} select cast(slot // 8 as integer) as byte, cast(sum(1 << (7 - slot % 8)) as integer) as value from bits group by 1")
 def bloom_bytes(spark, d):
-    return sk.bloom_bytes(sk.bloom(oplog.from_events(spark, d).select("key").distinct(), BLOOM_M, BLOOM_K), BLOOM_M)
+    bits, m, _ = _user_filter(spark, d)
+    return sk.bloom_bytes(bits, m)
+
 
+PROBED = f"with {FILTER}, asked as (select distinct lpad(cast(c_custkey as varchar), 6, '0') as key from customer), one as (select key, unnest({_slots('key', BLOOM_M, BLOOM_K)}) s from asked) select key, count(bits.slot) = {BLOOM_K} as maybe from one left join bits on bits.slot = one.s.slot group by key"
 
-@query("bloom_probe", f"with {FILTER}, asked as (select distinct lpad(cast(c_custkey as varchar), 6, '0') as key from customer), one as (select key, unnest({_slots('key', BLOOM_M, BLOOM_K)}) s from asked) select key, count(bits.slot) = {BLOOM_K} as maybe from one left join bits on bits.slot = one.s.slot group by key")
+
+@query("bloom_probe", PROBED)
 def bloom_probe(spark, d):
-    bits = sk.bloom(oplog.from_events(spark, d).select("key").distinct(), BLOOM_M, BLOOM_K)
-    return sk.bloom_probe(oplog.table(spark, d, "customer").select(F.lpad(F.col("c_custkey").cast("string"), 6, "0").alias("key")), bits, BLOOM_M, BLOOM_K)
+    bits, m, k = _user_filter(spark, d)
+    return sk.bloom_probe(_customer_keys(spark, d), bits, m, k)
+
+
+@query("bloom_packed", PROBED)
+def bloom_packed(spark, d):
+    """The filter packed to bytes, stored, loaded, unpacked and probed."""
+    bits, m, k = _user_filter(spark, d)
+    stored = registry.store(sk.bloom_pack(bits, m, k).select(F.hex("packed").alias("packed")), "BloomFilter", "users", 1, 1, "packed")
+    loaded = written(sk.bloom_unpack(registry.load(stored, "BloomFilter", "users", "packed: string").select(F.unhex("packed").alias("packed"))), "filter")
+    header = loaded.select("m", "k", "base").first()
+    return sk.bloom_probe(_customer_keys(spark, d), loaded, header.m, header.k, header.base)
 
 
 COUNTS = f"{F1}, c as (select s.i as row, s.slot as col, count(*) as cnt from (select unnest({_slots('key', CMS_M, CMS_K)}) s from f1) group by 1, 2)"
@@ -373,6 +476,14 @@ def cms_estimate(spark, d):
     return sk.cms_estimate(ops, sk.cms(ops, CMS_M, CMS_K), CMS_M, CMS_K).join(ops.groupBy("key").agg(F.count("*").alias("exact")), "key")
 
 
+@query("cms_stored", f"with {COUNTS}, x as (select distinct key from f1), one as (select key, unnest({_slots('key', CMS_M, CMS_K)}) s from x) select key, min(coalesce(cnt, 0)) as estimate from one left join c on c.row = one.s.i and c.col = one.s.slot group by key")
+def cms_stored(spark, d):
+    """Estimates from a table that was stored and loaded."""
+    ops = oplog.from_events(spark, d)
+    stored = registry.store(sk.cms(ops, CMS_M, CMS_K), "CountMinSketch", "users", 1, 1, "row", "col", "cnt")
+    return sk.cms_estimate(ops, registry.load(stored, "CountMinSketch", "users", "row: int, col: bigint, cnt: bigint"), CMS_M, CMS_K)
+
+
 FNV = "list_reduce(list_prepend(2166136261::bigint, list_transform(range(0, strlen({k})), lambda i: ('0x' || substr(hex(encode({k})), (2 * i + 1)::int, 2))::bigint)), lambda h, b: (xor(h, b) * 16777619) % 4294967296)"
 REGISTERS = f"h as (select t, {FNV.format(k='key')} as h from k), r as (select t, h // {1 << (32 - P)} as bucket, max(case when h % {1 << (32 - P)} = 0 then {33 - P} else bit_count(xor(h % {1 << (32 - P)}, h % {1 << (32 - P)} - 1)) end) as rank from h group by 1, 2)"
 USERS = "k as (select event_type as t, cast(event_id as varchar) as key from events)"
@@ -404,6 +515,24 @@ def hll_merge(spark, d):
     return sk.hll_estimate(sk.merged_hll(parts), P)
 
 
+@query("hll_stored", f"with k as (select 'all' as t, cast(event_id as varchar) as key from events), {REGISTERS}, {ESTIMATE} select non_empty, round(case when raw <= 2.5 * {1 << P} and non_empty < {1 << P} then {1 << P} * ln({1 << P} / ({1 << P} - non_empty)::double) else raw end, 6) as estimate from v")
+def hll_stored(spark, d):
+    """The estimate from registers that were stored and loaded."""
+    stored = registry.store(sk.hll_registers(_event_keys(spark, d), P), "HyperLogLog", "events", 1, 1, "bucket", "rank")
+    return sk.hll_estimate(registry.load(stored, "HyperLogLog", "events", "bucket: bigint, rank: int"), P)
+
+
+@query("hll_native", "select event_type as t, count(distinct event_id) as exact, true as ours_near, true as native_near from events group by 1")
+def hll_native(spark, d):
+    """The sketch beside Spark's own: whether each is within a tenth of the exact number."""
+    keys = _event_keys(spark, d)
+    ours = sk.hll_estimate(sk.hll_registers(keys, P, "t"), P, "t").select("t", "estimate")
+    exact = keys.groupBy("t").agg(F.count_distinct("key").alias("exact"))
+    native = keys.groupBy("t").agg(F.approx_count_distinct("key", 0.02).alias("native"))
+    near = lambda c: F.abs(F.col(c) - F.col("exact")) <= 0.1 * F.col("exact") + 1
+    return exact.join(ours, "t").join(native, "t").select("t", "exact", near("estimate").alias("ours_near"), near("native").alias("native_near"))
+
+
 TOKENS = "tok as (select doc_id, " + "rtrim(ltrim(rtrim(ltrim(rtrim(ltrim(rtrim(ltrim(upper(replace(w, 'ß', 'ẞ')), ','), ','), '.'), '.'), '!'), '!'), '?'), '?')" + " as word, count(*) as n from (select doc_id, unnest(string_split(text, ' ')) as w from documents) group by 1, 2)"
 
 
@@ -428,19 +557,35 @@ def simhash_fingerprint(spark, d):
     return sk.simhash(oplog.table(spark, d, "documents"))
 
 
-@query("simhash_distance", f"with {_fingerprint_sql()}, x as (select doc_id, fingerprint as a, lag(fingerprint) over (partition by lang_ order by doc_id) as b from fp join (select doc_id, lang as lang_ from documents) using (doc_id)) select doc_id, cast(len(list_filter(range(1, 257), lambda i: substr(a, i, 1) <> substr(b, i, 1))) as integer) as distance from x where b is not null")
+DIFFER = "cast(len(list_filter(range(1, 257), lambda i: substr(a, i, 1) <> substr(b, i, 1))) as integer) as distance"
+
+
+@query("simhash_distance", f"with {_fingerprint_sql()}, x as (select doc_id, fingerprint as a, lag(fingerprint) over (partition by lang_ order by doc_id) as b from fp join (select doc_id, lang as lang_ from documents) using (doc_id)) select doc_id, {DIFFER} from x where b is not null")
 def simhash_distance(spark, d):
+    """How far each text is from the one before it in its language; neighbours meet by their global numbers."""
     docs = oplog.table(spark, d, "documents")
     prints = sk.simhash(docs).join(docs.select("doc_id", "lang"), "doc_id")
-    pairs = prints.withColumn("before", F.lag("fingerprint").over(Window.partitionBy("lang").orderBy("doc_id"))).where("before is not null")
+    rows = written(numbered(prints, "lang", "doc_id"), "prints")
+    before = rows.select((F.col("rn") + 1).alias("rn"), F.col("lang").alias("lang_"), F.col("fingerprint").alias("before"))
+    pairs = rows.join(before, "rn").where(F.col("lang").eqNullSafe(F.col("lang_")))
     return pairs.select("doc_id", sk.hamming(F.col("fingerprint"), F.col("before")).alias("distance"))
 
 
+@query("simhash_stored", f"with {_fingerprint_sql()}, x as (select doc_id, fingerprint as a, (select fingerprint from fp order by doc_id limit 1) as b from fp) select cast(doc_id as varchar) as name, {DIFFER} from x")
+def simhash_stored(spark, d):
+    """Fingerprints stored under their names, and each compared with the first one's."""
+    docs = oplog.table(spark, d, "documents")
+    log = written(registry.store_each(sk.simhash(docs), "SimHash", "doc_id", "fingerprint", 1), "prints")
+    first = docs.agg(F.min("doc_id").cast("string").alias("name"))  # one row
+    prints = registry.stored(log, "SimHash")
+    asked = prints.join(F.broadcast(first), "name").select(F.col("value").alias("other"))  # one row
+    return prints.join(F.broadcast(asked), F.lit(True)).select("name", sk.hamming(F.col("value"), F.col("other")).alias("distance"))
+
+
 @query("sketch_registry", "select * from (values ('BloomFilter', 'users'), ('CountMinSketch', 'users'), ('HyperLogLog', 'events')) t(kind, name)")
 def sketch_registry(spark, d):
     ops = oplog.from_events(spark, d)
-    keys = ops.select("key").distinct()
-    stored = registry.store(sk.bloom(keys, BLOOM_M, BLOOM_K), "BloomFilter", "users", 1, 1, "slot")
+    stored = registry.store(_user_filter(spark, d)[0], "BloomFilter", "users", 1, 1, "slot")
     stored = stored.unionByName(registry.store(sk.cms(ops, CMS_M, CMS_K), "CountMinSketch", "users", 1, 2, "row", "col", "cnt"))
     stored = stored.unionByName(registry.store(sk.hll_registers(_event_keys(spark, d), P), "HyperLogLog", "events", 1, 3, "bucket", "rank"))
     stored = stored.unionByName(registry.store(sk.hll_registers(_event_keys(spark, d), 4), "HyperLogLog", "old", 1, 4, "bucket", "rank"))
@@ -449,8 +594,7 @@ def sketch_registry(spark, d):
 
 @query("sketch_load", f"with {FILTER} select slot from bits")
 def sketch_load(spark, d):
-    keys = oplog.from_events(spark, d).select("key").distinct()
-    stored = registry.store(sk.bloom(keys, BLOOM_M, BLOOM_K), "BloomFilter", "users", 1, 1, "slot")
+    stored = registry.store(_user_filter(spark, d)[0], "BloomFilter", "users", 1, 1, "slot")
     return registry.load(stored, "BloomFilter", "users", "slot: bigint")
 
 
@@ -485,9 +629,8 @@ def merkle_root(spark, d):
 
 
 def _run_roots(spark, d):
-    rows = records.encoded(runs.fixed_runs(oplog.from_order_keys(spark, d), MEMTABLE))
-    place = F.row_number().over(Window.partitionBy("run").orderBy("key")) - 1
-    return integrity.merkle_root(rows.select("run", place.cast("long").alias("pos"), F.sha1("record").alias("node")), MEMTABLE, "run")
+    rows = records.encoded(runs.placed(runs.fixed_runs(oplog.from_order_keys(spark, d), MEMTABLE)))
+    return integrity.merkle_root(rows.select("run", (F.col("rn") - 1).alias("pos"), F.sha1("record").alias("node")), MEMTABLE, "run")
 
 
 @query("verify_runs", f"select o_orderkey // {MEMTABLE} as run, o_orderkey // {MEMTABLE} % 7 <> 3 as sound from orders group by 1, 2")
@@ -497,6 +640,23 @@ def verify_runs(spark, d):
     return integrity.verify(roots, stored, "run")
 
 
+BODY = "unhex(lpad(to_hex(ts), 16, '0') || '00' || lpad(to_hex(strlen(key)), 16, '0') || lpad(to_hex(strlen(value)), 16, '0') || hex(encode(key)) || hex(encode(value)))"
+
+
+@query("manifest_stored", f"""with recursive {F3}, l as (select seq // {MEMTABLE} as run, key, sha1({BODY}) as node from f3),
+t(run, nodes) as (select run, list(node order by key) from l group by run union all
+ select run, list_transform(range(0, (len(nodes) + 1) // 2), lambda i: sha1(unhex(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], '{integrity.PAD}')))) from t where len(nodes) > 1),
+m as (select run, min(key) as min_key, max(key) as max_key, count(*) as n from l group by run)
+select m.run, min_key, max_key, n, nodes[1] as root from m join t on t.run = m.run where len(nodes) = 1""")
+def manifest_stored(spark, d):
+    """The manifest with each run's root over its records (without their checksums), written and read back."""
+    content = runs.fixed_runs(oplog.from_order_keys(spark, d), MEMTABLE)
+    leaves = runs.placed(content).select("run", (F.col("rn") - 1).alias("pos"), F.sha1(records.body()).alias("node"))
+    path = place(spark, "manifest")
+    runs.save_manifest(content, integrity.merkle_root(leaves, MEMTABLE, "run"), path)
+    return spark.read.parquet(path).select("run", "min_key", "max_key", "n", "root")
+
+
 ACCESS = "a as (select user_id as client, event_id as seq, event_type as key from events)"
 
 
@@ -523,6 +683,16 @@ def token_bucket(spark, d):
     return stateful.token_bucket(rows, 0.0001, 3).select("client", "seq", "accepted")
 
 
+@query("admitted_state", f"""with recursive {F1}, e as (select user_id as client, event_id as seq, cast(epoch(date_trunc('second', ts)) as bigint) as t, row_number() over (partition by user_id order by event_id) n from events),
+w(client, n, seq, t, av) as (select client, n, seq, t, 3::bigint from e where n = 1 union all
+ select e.client, e.n, e.seq, e.t, least(3, (w.av - (w.av >= 1)::int) + floor(0.0001 * (e.t - w.t))::bigint) from w join e on e.client = w.client and e.n = w.n + 1),
+g as (select f1.* from f1 join w on w.seq = f1.seq where av >= 1), {newest('g')} select key, value, ts, seq from cur where not tombstone""")
+def admitted_state(spark, d):
+    """What is live if only requests with a token are applied."""
+    requests = oplog.from_events(spark, d).withColumn("client", F.col("key"))
+    return state.live(stateful.admitted(requests, 0.0001, 3)).select("key", "value", "ts", "seq")
+
+
 @query("generate_entries")
 def generate_entries(spark, d):
     return oplog.generate(spark, 10_000)

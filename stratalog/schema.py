@@ -30,6 +30,7 @@ def _at_least(low, default):
 class EngineConfig:
     """Settings with their defaults; values out of range are clamped on creation."""
 
+    # The defaults, and below the limits that replace values out of range.
     wal_buffer_capacity: int = 10
     wal_water_mark: int = 20
     memtable_size: int = 20

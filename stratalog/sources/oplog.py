@@ -84,9 +84,15 @@ def delete(spark: SparkSession, rows: list[tuple[str, int, int]]) -> DataFrame:
 
 
 def _ops(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    rows = [(r[0].strip(), r[1].strip(), *r[2:]) for r in rows]
     if bad := [r[0] for r in rows if r[0].startswith(RESERVED)]:
         raise ValueError(f"reserved keys: {bad}")
-    return spark.createDataFrame([(r[0].strip(), r[1].strip(), *r[2:]) for r in rows], OPLOG)
+    return spark.createDataFrame(rows, OPLOG)
+
+
+def accepted(requests: DataFrame) -> DataFrame:
+    """Requests as operations: keys and values without outer white space, reserved keys left out."""
+    return requests.withColumns({"key": normalised("key"), "value": normalised("value")}).where(~is_reserved("key"))
 
 
 def generate(spark: SparkSession, n: int, seed: int = 42, letters: int = 5) -> DataFrame:
@@ -111,6 +117,11 @@ def append(ops: DataFrame, path: str) -> None:
     ops.write.mode("append").parquet(path)
 
 
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """The operations of a log directory, in order."""
+    return spark.read.parquet(path).orderBy("seq")
+
+
 def latest_segment(log: DataFrame) -> DataFrame:
     """Replay's input: rows of the newest segment."""
     newest = log.agg(F.max("segment").alias("segment"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import batched
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,13 +59,19 @@ def decoded(files: DataFrame) -> DataFrame:
         names = ["path", "n", "key", "value", "ts", "tombstone", "sound"]
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = [(path, i, *r) for i, r in enumerate(parse(content or b""))]
-                if rows:
+                for rows in batched(((path, i, *r) for i, r in enumerate(parse(content or b""))), 10_000):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.bool_()), strict=True)], names=names)
 
     return files.select("path", "content").mapInArrow(run, "path string, n long, key string, value string, ts long, tombstone boolean, sound boolean")
 
 
+def segmented(ops: DataFrame, size: int) -> DataFrame:
+    """(path, content): the records of each ``size`` operations as one segment file's bytes."""
+    number = F.floor(F.col("seq") / size).cast("long")
+    rows = encoded(ops).groupBy(number.alias("segment")).agg(F.array_sort(F.collect_list(F.struct("seq", F.hex("record").alias("hex")))).alias("x"))
+    return rows.select(F.format_string("wal_%05d.log", "segment").alias("path"), F.unhex(F.array_join(F.transform("x", lambda r: r["hex"]), "")).alias("content"))
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """All records of the segment files under ``path``, with their segment."""
     from stratalog.sources.oplog import segment_number

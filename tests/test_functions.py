@@ -105,3 +105,11 @@ def test_leaves_from_text(spark, tmp_path):
     (tmp_path / "data.txt").write_text("\n".join(f"data {i}" for i in range(1, 101)))
     leaves = integrity.text_leaves(spark, str(tmp_path / "data.txt"))
     assert integrity.merkle_root(leaves, 100).first().root == "cbfc9b625a3351334d143928571bbeaba7da7248"
+
+
+def test_bloom_bytes_round_trip(spark):
+    keys = spark.createDataFrame([(f"k{i}",) for i in range(30)], "key string")
+    bits = sk.bloom(keys, 283, 7)
+    back = sk.bloom_unpack(sk.bloom_pack(bits, 283, 7))
+    assert {(r.m, r.k, r.base) for r in back.collect()} == {(283, 7, sk.BASE)}
+    assert sorted(r.slot for r in back.collect()) == sorted(r.slot for r in bits.collect())

@@ -1,10 +1,13 @@
 """Reads, merges and runs on small logs."""
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
+from stratalog.functions import sketches
+from stratalog.functions.hashing import slots
 from stratalog.operators import compaction, registry, runs, state, stateful
 from stratalog.schema import OPLOG, EngineConfig
-from stratalog.sources import oplog
+from stratalog.sources import oplog, shared
 
 
 def log(spark, rows):
@@ -164,3 +167,83 @@ def test_config_clamps(tmp_path):
     assert (c.wal_buffer_capacity, c.wal_water_mark, c.skiplist_max_height, c.lsm_max_level, c.compaction_type, c.memtable_size) == (10, 99999, 99, 4, "size_tiered", 20)
     (tmp_path / "c.yml").write_text("memtable_size: 40\nmemtable_structure: skiplist # kind\n")
     assert EngineConfig.read(str(tmp_path / "c.yml")).memtable_size == 40
+
+
+def test_reserved_keys_are_refused_after_trimming(spark):
+    with pytest.raises(ValueError):
+        oplog.put(spark, [(" BloomFilterx", "v", 1, 1)])
+    requests = spark.createDataFrame([(" SimHash1 ", "v", 1, False, 1, "c"), (" k ", " v ", 2, False, 2, "c")], "key string, value string, ts long, tombstone boolean, seq long, client string")
+    assert [(r.key, r.value) for r in stateful.admitted(requests, 1, 10).collect()] == [("k", "v")]
+
+
+def test_refused_requests_are_not_applied(spark):
+    requests = spark.createDataFrame([("a", "1", 0, False, 1, "c"), ("a", "2", 0, False, 2, "c"), ("a", "", 0, True, 3, "c"), ("a", "4", 9, False, 4, "d")], "key string, value string, ts long, tombstone boolean, seq long, client string")
+    assert [r.seq for r in stateful.admitted(requests, 0.0, 2).orderBy("seq").collect()] == [1, 2, 4]
+
+
+@pytest.mark.parametrize("run_block,probe_block", [(1024, 16384), (2, 3)])
+def test_pruning_against_brute_force(run_block, probe_block, spark):
+    m, k = 64, 2
+    rows = [(i // 5, f"{i * 7 % 40:02d}", i) for i in range(40)]
+    content = spark.createDataFrame([(r, key, "v", 1, False, i) for r, key, i in rows], "run long, key string, value string, ts long, tombstone boolean, seq long")
+    probes = spark.createDataFrame([(f"{i:02d}",) for i in range(60)] + [("07",), (None,), ("é",)], "key string")
+    bits = {r: set() for r, _, _ in rows}
+    for r in sketches.bloom(content, m, k, "run").collect():
+        bits[r.run].add(r.slot)
+    asked = {r.key: {s.slot for s in r.s} for r in probes.where("key is not null").distinct().select("key", slots(F.col("key"), sketches.BASE, k, m).alias("s")).collect()}
+    want = {}
+    for run in bits:
+        held = sorted(key for r, key, _ in rows if r == run)
+        maybe = [key for key, s in asked.items() if s <= bits[run]]
+        read = sum(held[0] <= key <= held[-1] for key in maybe)
+        want[run] = (len(asked) - len(maybe), len(maybe) - read, read)
+    got = runs.pruning_report(content, probes, m, k, run_block, probe_block).collect()
+    assert {r.run: (r.n_bloom, r.n_range, r.n_read) for r in got} == want
+
+
+def test_flushed_files_are_skipped_by_key(spark, sf, tmp_path):
+    ops = oplog.from_orders(spark, sf)
+    runs.flush(ops, str(tmp_path / "run"))
+    found = runs.flushed(spark, str(tmp_path / "run"), F.col("key") == "00000007")
+    assert "EqualTo(key,00000007)" in found._jdf.queryExecution().executedPlan().toString()
+    want = state.current(ops).where("key = '00000007'")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    files = pq.ParquetDataset(str(tmp_path / "run")).fragments
+    ends = sorted((g.statistics["key"]["min"], g.statistics["key"]["max"]) for f in files for g in f.row_groups)
+    assert ends and all(a[1] < b[0] for a, b in zip(ends, ends[1:], strict=False))
+
+
+def test_manifest_names_the_next_run(spark, tmp_path):
+    content = log(spark, [("a", "v", 1, False, 0), ("b", "v", 1, False, 1)]).withColumns({"level": F.lit(2), "run": F.lit(3).cast("long")})
+    roots = spark.createDataFrame([(2, 3, "x")], "level int, run long, root string")
+    runs.save_manifest(content, roots, str(tmp_path / "m"), "level", "run")
+    manifest = spark.read.parquet(str(tmp_path / "m"))
+    assert (manifest.first().min_key, manifest.first().max_key, manifest.first().root) == ("a", "b", "x")
+    assert (runs.next_run(manifest, 2), runs.next_run(manifest, 1)) == (4, 1)
+
+
+def test_open_memtable_is_newest(spark):
+    a = log(spark, [(k, str(i), 1, False, i) for i, k in enumerate("abcabcab")])
+    rows = runs.ranked(runs.exact_runs(a, 3))
+    assert {r.seq: r.run_rank for r in rows.collect()} == {0: 2, 1: 2, 2: 2, 3: 1, 4: 1, 5: 1, 6: 0, 7: 0}
+    page = state.recency_page(rows, state.in_range("a", "z"), 10, 1).collect()
+    assert [(r.key, r.value) for r in page] == [("a", "6"), ("b", "7"), ("c", "5")]
+    levels = compaction.store_levels(rows, EngineConfig(lsm_max_level=4)).collect()
+    assert sorted((r.level, r.key, r.value) for r in levels) == [(0, "a", "6"), (0, "b", "7"), (2, "a", "3"), (2, "b", "4"), (2, "c", "5")]
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(spark):
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda name, default=None: default)
+
+    with pytest.raises(RuntimeError):
+        shared.shared_dir(Session())
