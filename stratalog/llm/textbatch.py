@@ -12,6 +12,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from stratalog.functions.fold import by_group as grouped
+
+__all__ = ["ALNUM", "SPACED", "grouped", "mix", "slices", "utf8", "words"]
+
 SLICE_BYTES = 1 << 20
 
 #: Words of letters, digits and all bytes of non-ASCII characters; A-Z become a-z; 0 ends a word.
@@ -89,22 +93,3 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.
     powers = np.multiply.accumulate(powers)
     h = np.add.reduceat(b.astype(np.uint64) * powers[at], starts)
     return mix(h), starts, np.searchsorted(starts, offsets)
-
-
-def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of each group; rows come sorted by the group in the first column, groups are small."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        g = np.asarray(batch.column(0))
-        cuts = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
-        for lo, hi in zip(cuts, cuts[1:], strict=False):
-            if last is not None and g[lo] != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(lo, hi - lo))
-            last = g[lo]
-    if held:
-        yield pa.Table.from_batches(held)
