@@ -4,8 +4,11 @@ A gear hash rolls over the bytes of each text; a byte ends a chunk where the
 hash there is the least within ``RADIUS`` bytes on either side.  Cuts depend on
 nearby bytes only, so an insertion moves no cut beyond its neighbourhood and a
 passage is cut alike wherever it stands.  Neighbouring chunks are matched, two
-by two, by a digest of 128 bits over the whole corpus; chains of such pairs that
-occur in more than one document are the repeated passages.
+by two, by a digest of 96 bits over the whole corpus; a chain of such pairs that
+occur in more than one document is the core of a repeated passage.  Its ragged
+ends, where chunks of different documents differ, are found word by word: hashes
+of the words next to a chain's outer pairs are counted over all places of these
+pairs, and the passage goes as far as another document goes along.
 """
 
 from __future__ import annotations
@@ -21,8 +24,11 @@ from stratalog.llm import textbatch
 from stratalog.llm.spans import replaced
 from stratalog.llm.store import fresh, written
 
-RADIUS = 24
-LEAST = 100  # characters of a chain of whole chunks
+RADIUS = 18
+CORE = 40  # characters that a chain needs at least to be looked at
+REACH = 24  # words by which a passage may go on beyond its chain, on either side
+LEAST = 50  # words
+_INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 _GEAR = textbatch.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _POWER = np.uint64(0xD6E8FEB86659FD93)
 _TABLE = textbatch.mix(np.arange(1, 64 * 256 + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))  # one number for each byte and place modulo 64
@@ -57,7 +63,7 @@ def cuts(h: np.ndarray, radius: int = RADIUS) -> np.ndarray:
 
 
 def chunk(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts of a text's chunks (bytes) and two independent 64-bit hashes of each."""
+    """Starts of a text's chunks (bytes) and two independent hashes of each."""
     starts = np.concatenate(([0], cuts(gear(data)) + 1))
     starts = starts[starts < len(data)]
     size = np.diff(starts, append=len(data))
@@ -79,7 +85,7 @@ def paired(docs: DataFrame) -> DataFrame:
     points; a byte that goes on with a character belongs to the chunk where the
     character begins.
     """
-    schema = "doc_id long, one long, two long, place long, start int, middle int, end int"
+    schema = "doc_id long, one long, two int, place long, start int, middle int, end int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,7 +104,7 @@ def paired(docs: DataFrame) -> DataFrame:
                     one = textbatch.mix(one[:-1] + textbatch.mix(one[1:] + np.uint64(1)))
                     two = textbatch.mix(two[:-1] ^ textbatch.mix(two[1:] + np.uint64(2)))
                     n = len(one)
-                    parts = (np.full(n, doc[k]), one.view(np.int64), two.view(np.int64), (int(key[k]) << 31) + np.arange(n), begun[:-2], begun[1:-1], begun[2:])
+                    parts = (np.full(n, doc[k]), one.view(np.int64), (two >> np.uint64(32)).astype(np.uint32).view(np.int32), (int(key[k]) << 31) + np.arange(n), begun[:-2], begun[1:-1], begun[2:])
                     for column, part in zip(out, parts, strict=True):
                         column.append(part)
                 if out[0]:
@@ -113,11 +119,11 @@ def text_key() -> F.Column:
     return F.xxhash64("text").bitwiseAND(_MASK)
 
 
-def _chains(doc: np.ndarray, place: np.ndarray, start: np.ndarray, middle: np.ndarray, end: np.ndarray, first: np.ndarray, places: np.ndarray, least_chars: int) -> pa.RecordBatch:
-    """The passages of whole documents from their repeated pairs, ordered by (doc, place)."""
+def _chains(doc: np.ndarray, place: np.ndarray, one: np.ndarray, two: np.ndarray, start: np.ndarray, middle: np.ndarray, end: np.ndarray, first: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+    """The chains of whole documents from their repeated pairs, ordered by (doc, place)."""
     once = np.ones(len(doc), bool)
     once[1:] = (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])
-    doc, place, start, middle, end, first, places = (x[once] for x in (doc, place, start, middle, end, first, places))
+    doc, place, one, two, start, middle, end, first, places = (x[once] for x in (doc, place, one, two, start, middle, end, first, places))
     n = len(doc)
     new = np.ones(n, bool)
     new[1:] = (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + 1)
@@ -133,50 +139,25 @@ def _chains(doc: np.ndarray, place: np.ndarray, start: np.ndarray, middle: np.nd
     elsewhere = first != doc
     gone[at] = elsewhere
     gone[at + 1] |= elsewhere
-    opens = gone.copy()
-    opens[1:] &= ~gone[:-1]
     begins = head + np.arange(len(head))
+    opens, closes = gone.copy(), gone.copy()
+    opens[1:] &= ~gone[:-1]
     opens[begins] = gone[begins]
-    closes = gone.copy()
     closes[:-1] &= ~gone[1:]
     closes[ends] = gone[ends]
-    counts = np.add.reduceat(opens.astype(np.int32), begins) if n else np.zeros(0, np.int32)
+    counts = np.add.reduceat(opens.astype(np.int32), begins)
     drop = pa.ListArray.from_arrays(
         pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)),
         pa.StructArray.from_arrays([pa.array(lo[opens]), pa.array(hi[closes])], names=["start", "end"]),
     )
-    out = pa.RecordBatch.from_arrays(
-        [pa.array(x) for x in (doc[head], place[head] >> 31, start[head], end[last], (last - head + 2).astype(np.int32), first[head], places[head], counts == 0)] + [drop],
-        names=["doc_id", "text_key", "start", "end", "n_chunks", "first_doc_id", "n_places", "keep", "drop"],
-    )
-    return out.filter(pa.array(end[last] - start[head] >= least_chars))
-
+    columns = (doc[head], place[head] >> 31, start[head], end[last], (last - head + 2).astype(np.int32), first[head], places[head], one[head], two[head], one[last], two[last])
+    names = ["doc_id", "text_key", "low", "high", "n_chunks", "first_doc_id", "n_places", "head_one", "head_two", "last_one", "last_two", "drop"]
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), drop], names=names).filter(pa.array(end[last] - start[head] >= CORE))
 
-def repeats(docs: DataFrame, least_chars: int = LEAST) -> DataFrame:
-    """Repeated passages: one row for each place where one stands.
 
-    A passage is a chain of neighbouring chunks of ``least_chars`` or more, each
-    two neighbours of which stand side by side in more than one document.
-    Columns: ``doc_id``; ``text_key``, which tells texts of one id apart;
-    ``start`` and ``end`` in code points (whole chunks, so a passage's ragged
-    ends of up to a chunk may lie outside); ``n_chunks``; ``first_doc_id``, the
-    smallest id of a document that holds the first pair; ``n_places``, how often
-    that pair occurs; ``drop``, the spans of the chunks that belong to a pair
-    first held by another document, and ``keep``, whether there are none.  A
-    chunk is dropped for one with a smaller id only, so each stays somewhere.
-    Null ids and texts take no part; texts of one chunk have no pairs; a row
-    listed twice is one document.
-
-    The pairs are made twice (it is cheaper to make than to keep them): once
-    for the counts, summed in each task before the exchange, once for the join,
-    whose both sides are exchanged, so that hot digests can be split.  A task
-    then streams through its documents' repeated pairs in order.
-    """
-    digest = ["one", "two"]
-    own = paired(docs).groupBy(*digest).agg(F.count("*").alias("n_places"), F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id"))
-    held = written(own.where("first_doc_id < last_doc_id").drop("last_doc_id"), "chunks")
-    both = paired(docs).join(held, digest).select("doc_id", "place", "start", "middle", "end", "first_doc_id", "n_places")
-    schema = f"doc_id long, text_key long, start int, end int, n_chunks int, first_doc_id long, n_places long, keep boolean, drop {SPANS}"
+def chains(pairs: DataFrame) -> DataFrame:
+    """Chains of repeated pairs; a task streams through its documents' pairs in order."""
+    schema = f"doc_id long, text_key long, low int, high int, n_chunks int, first_doc_id long, n_places long, head_one long, head_two int, last_one long, last_two int, drop {SPANS}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
@@ -187,22 +168,134 @@ def repeats(docs: DataFrame, least_chars: int = LEAST) -> DataFrame:
             held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
             whole = int(np.searchsorted(held[0], held[0][-1]))  # the last document may go on
             if whole:
-                yield _chains(*[x[:whole] for x in held], least_chars)
+                yield _chains(*[x[:whole] for x in held])
                 held = [x[whole:] for x in held]
         if held is not None:
-            yield _chains(*held, least_chars)
+            yield _chains(*held)
+
+    rows = pairs.select("doc_id", "place", "one", "two", "start", "middle", "end", "first_doc_id", "n_places")
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "place").mapInArrow(run, schema)
+
 
-    return both.repartition("doc_id").sortWithinPartitions("doc_id", "place").mapInArrow(run, schema)
+def around(text: np.ndarray, side: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What stands outside of places in a text (bytes): side 0 before, side 1 behind.
 
+    For each place and step 0 to ``REACH``: a hash of what lies between the
+    place and the beginning (end) of the nth word from there, how far that is,
+    and the number of words that begin before (end by) it; and how many steps there are.
+    """
+    space = np.isin(text, np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8))
+    edge = np.concatenate(([True], space))
+    starts, ends = np.flatnonzero(edge[:-1] & ~space), np.flatnonzero(~space & np.append(space[1:], True)) + 1
+    powers = np.full(len(text) + 1, _POWER)
+    powers[0] = 1
+    powers = np.multiply.accumulate(powers)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((text.astype(np.uint64) + np.uint64(1)) * powers[:-1])))
+    inverse = np.full(len(text) + 1, _INVERSE)
+    inverse[0] = 1
+    inverse = np.multiply.accumulate(inverse)
+    before, behind = np.searchsorted(starts, at), np.searchsorted(ends, at, "right")
+    step = np.arange(REACH + 1)
+    left = side[:, None] == 0
+    word = np.where(left, before[:, None] - step, behind[:, None] + step - 1)
+    there = (step == 0) | np.where(left, word >= 0, word < len(ends))
+    safe = np.clip(word, 0, len(starts) - 1)
+    reach = np.where(step == 0, at[:, None], np.where(left, starts[safe], ends[safe]))
+    lo, hi = np.minimum(reach, at[:, None]), np.maximum(reach, at[:, None])
+    value = textbatch.mix((sums[hi] - sums[lo]) * inverse[lo] ^ textbatch.mix((hi - lo).astype(np.uint64)))
+    number = np.where(left, before[:, None] - step, behind[:, None] + step)
+    return value, reach, number, there.sum(1)
+
+
+def contexts(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """(doc_id, text_key, side, at, keys, reach, words): see ``around``, for the places (doc_id, text_key, side, at, one, two).
+
+    ``keys`` hash what is outside together with the pair at the place; steps 0
+    have none.  All of a document's places come to its text at once.
+    """
+    asked = places.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("side", "at", "one", "two")).alias("places"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
+    schema = "doc_id long, text_key long, side int, at int, keys array<long>, reach array<int>, words array<int>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = textbatch.utf8(batch.column(2))
+            lists = batch.column(3)
+            bounds, flat = np.asarray(lists.offsets), lists.values
+            side, at, one, two = (np.asarray(flat.field(k)) for k in range(4))
+            for k in range(batch.num_rows):
+                text, own = data[offsets[k] : offsets[k + 1]], slice(bounds[k], bounds[k + 1])
+                chars = np.concatenate(([0], np.cumsum((text & 0xC0) != 0x80)))  # characters begun before each byte
+                begins = np.append(np.flatnonzero((text & 0xC0) != 0x80), len(text))
+                value, reach, number, steps = around(text, side[own], begins[at[own]])
+                tag = textbatch.mix(one[own].view(np.uint64) ^ textbatch.mix(two[own].astype(np.int64).view(np.uint64) + side[own].astype(np.uint64)))
+                key = textbatch.mix(value[:, 1:] + tag[:, None]).view(np.int64)
+                there = np.arange(REACH + 1) < steps[:, None]
+                n = len(steps)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(n, batch.column(0)[k].as_py())),
+                        pa.array(np.full(n, batch.column(1)[k].as_py())),
+                        pa.array(side[own]),
+                        pa.array(at[own]),
+                        pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(steps - 1))).astype(np.int32)), pa.array(key[there[:, 1:]])),
+                        *[pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(steps))).astype(np.int32)), pa.array(x[there].astype(np.int32))) for x in (chars[reach], number)],
+                    ],
+                    names=["doc_id", "text_key", "side", "at", "keys", "reach", "words"],
+                )
+
+    return rows.join(asked, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "places").mapInArrow(run, schema)
+
+
+def repeats(docs: DataFrame, least_words: int = LEAST) -> DataFrame:
+    """Repeated passages of ``least_words`` words or more: one row for each place where one stands.
+
+    A passage is a chain of neighbouring chunks, each two neighbours of which
+    stand side by side in more than one document, with the words on either side
+    as far as some other document has them next to the same pair (at most
+    ``REACH``).  Words are what white space parts; those that lie wholly inside
+    count.  Columns: ``doc_id``; ``text_key``, which tells texts of one id
+    apart; ``start`` and ``end`` in code points; ``n_words``; ``n_chunks``;
+    ``first_doc_id``, the smallest id of a document that holds the first pair;
+    ``n_places``, how often that pair occurs; ``drop``, the spans of the chunks
+    that belong to a pair first held by another document, and ``keep``, whether
+    there are none.  A chunk is dropped for one with a smaller id only, so each
+    stays somewhere.  Null ids and texts take no part; texts of one chunk have
+    no pairs; a row listed twice is one document.
 
-def dedup(docs: DataFrame, least_chars: int = LEAST) -> DataFrame:
+    The pairs are made twice (it is cheaper to make than to keep them): once
+    for the counts, summed in each task before the exchange, once for the join,
+    whose both sides are exchanged, so that hot digests can be split.
+    """
+    digest = ["one", "two"]
+    own = paired(docs).groupBy(*digest).agg(F.count("*").alias("n_places"), F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id"))
+    held = written(own.where("first_doc_id < last_doc_id").drop("last_doc_id"), "chunks")
+    pairs = written(paired(docs).join(held, digest), "pairs")
+    found = written(chains(pairs), "chains")
+    # Wherever an outer pair of some chain stands, what is next to it counts.
+    outer = found.select(F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("head_one").alias("one"), F.col("head_two").alias("two")), F.struct(F.lit(1).alias("side"), F.col("last_one").alias("one"), F.col("last_two").alias("two")))).alias("o")).select("o.*").distinct()
+    at = F.when(F.col("side") == 0, F.col("start")).otherwise(F.col("end")).alias("at")
+    places = pairs.join(outer, digest).select("doc_id", (F.shiftright("place", 31)).alias("text_key"), "side", at, *digest).distinct()
+    near = written(contexts(docs, places).dropDuplicates(["doc_id", "text_key", "side", "at"]), "contexts")
+    steps = near.select("doc_id", "text_key", "side", "at", F.posexplode("keys").alias("step", "key"))
+    shared = steps.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key")
+    far = steps.join(shared, "key").groupBy("doc_id", "text_key", "side", "at").agg((F.max("step") + 1).alias("far"))
+    edge = near.join(far, ["doc_id", "text_key", "side", "at"], "left").select("doc_id", "text_key", "side", "at", *[F.element_at(c, F.coalesce("far", F.lit(0)) + 1).alias(c) for c in ("reach", "words")])
+    edges = written(edge, "edges")
+    end = lambda side, where, reach, words: edges.where(F.col("side") == side).select("doc_id", "text_key", F.col("at").alias(where), F.col("reach").alias(reach), F.col("words").alias(words))
+    out = found.join(end(0, "low", "start", "w0"), ["doc_id", "text_key", "low"]).join(end(1, "high", "end", "w1"), ["doc_id", "text_key", "high"])
+    n_words = (F.col("w1") - F.col("w0")).cast("int")
+    return out.where(n_words >= least_words).select("doc_id", "text_key", "start", "end", n_words.alias("n_words"), "n_chunks", "first_doc_id", "n_places", (F.size("drop") == 0).alias("keep"), "drop")
+
+
+def dedup(docs: DataFrame, least_words: int = LEAST) -> DataFrame:
     """``docs`` without repeated passages, but for the chunks of which a document is the first holder.
 
     All other rows and columns stay as they are; ``n_chars``, if there, follows the text.
     """
     id_, key, spans = (fresh(docs, f"__{x}") for x in ("id", "key", "spans"))
     label = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("").alias("label"))
-    cut = repeats(docs, least_chars).where("not keep").groupBy(F.col("doc_id").alias(id_), F.col("text_key").alias(key)).agg(F.array_sort(F.transform(F.flatten(F.collect_list("drop")), label)).alias(spans))
+    cut = repeats(docs, least_words).where("not keep").groupBy(F.col("doc_id").alias(id_), F.col("text_key").alias(key)).agg(F.array_sort(F.transform(F.flatten(F.collect_list("drop")), label)).alias(spans))
     rows = docs.withColumns({id_: F.col("doc_id").cast("long"), key: text_key()}).join(cut, [id_, key], "left")
     text = F.when(F.size(spans) > 0, replaced(F.col("text"), F.col(spans))).otherwise(F.col("text"))
     out = rows.withColumn("text", text)

@@ -107,29 +107,71 @@ def test_repeated_passages_are_found_and_clean_texts_left(spark):
     text = dict(rows)
     for r in got:
         part = text[r.doc_id][r.start : r.end]
-        assert sum(part in t for t in text.values()) >= 2 and r.keep == (r.doc_id < 20) and r.first_doc_id == r.doc_id % 20
+        assert sum(part in t for t in text.values()) >= 2 and r.keep == (r.doc_id < 20) and r.first_doc_id == r.doc_id % 20 and part.strip(" é") == passage[r.doc_id % 20]
     kept = {r.doc_id: r.text for r in chunks.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(kept[i] == text[i] for i in [*range(20), *range(100, 140)]) and all(len(kept[i]) < len(text[i]) - 150 for i in range(20, 60))
 
 
+def chunk_texts(text):
+    data = text.encode()
+    starts = chunks.chunk(np.frombuffer(data, np.uint8))[0].tolist() if data else []
+    return {data[i:j] for i, j in zip(starts, [*starts[1:], len(data)], strict=True)}
+
+
 def test_copies_with_a_shared_passage_keep_every_chunk(spark):
     rng = np.random.default_rng(5)
     prose = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), 5)) for _ in range(n))
     shared, copy = prose(60), f"{prose(80)} {{}} {prose(80)}"
-    rows = [(1, f"{prose(40)} {shared} {prose(40)}"), (2, copy.format(shared)), (3, prose(100)), (4, copy.format(shared))]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    digests = lambda texts: set().union(*({*chunks.chunk(np.frombuffer(t.encode(), np.uint8))[1].tolist()} for t in texts))
-    got = {r.doc_id: r for r in chunks.repeats(docs).collect()}
+    long = prose(400)
+    tables = [
+        {1: f"{prose(40)} {shared} {prose(40)}", 2: copy.format(shared), 3: prose(100), 4: copy.format(shared)},
+        {0: long[1200:], 1: long, 3: long[:1500], 5: long[600:1800]},
+        {i: f"{prose(20)} {long[300 * (i % 5) : 300 * (i % 5) + 1000]} {prose(20)}" for i in range(25)},
+    ]
+    for text in tables:
+        docs = spark.createDataFrame([(i, t, len(t)) for i, t in text.items()], "doc_id long, text string, n_chars long")
+        kept = {r.doc_id: r for r in chunks.dedup(docs).collect()}
+        assert all(r.n_chars == len(r.text) for r in kept.values())
+        assert sum(len(r.text) for r in kept.values()) < sum(map(len, text.values())) - 200
+        whole = "\n".join(r.text for r in kept.values()).encode()
+        assert all(c in whole for t in text.values() for c in chunk_texts(t))
+    got = {r.doc_id: r for r in chunks.repeats(spark.createDataFrame(list(tables[0].items()), "doc_id long, text string")).collect()}
     assert set(got) == {1, 2, 4} and [got[i].keep for i in (1, 2, 4)] == [True, False, False] and len(got[2].drop) == 1
-    kept = {r.doc_id: r.text for r in chunks.dedup(docs).collect()}
-    assert kept[1] == rows[0][1] and len(kept[4]) == 0
-    whole = "".join(kept.values())
-    text, missing = dict(rows), digests(text for _, text in rows)
+
+
+def test_passages_of_fifty_words_are_found_and_others_left(spark):
+    """On the test documents: those that share 50 words in a row with another, by a plain table of all such rows."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    text = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+    holders = collections.defaultdict(set)
     for i, t in text.items():
-        data = t.encode()
-        starts, digest, _ = chunks.chunk(np.frombuffer(data, np.uint8))
-        missing -= {d for d, lo, hi in zip(digest.tolist(), starts, [*starts[1:], len(data)], strict=True) if data[lo:hi].decode() in whole}
-    assert not missing
+        w = t.split()
+        for k in range(len(w) - 49):
+            holders[tuple(w[k : k + 50])].add(i)
+    want = set().union(*(h for h in holders.values() if len(h) > 1))
+    got = chunks.repeats(docs).collect()
+    ids = {r.doc_id for r in got}
+    assert len(want) > 100 and len(want - ids) <= 0.01 * len(want) and len(ids - want) <= 0.01 * len(text)
+    assert sum(abs(len(text[r.doc_id][r.start : r.end].split()) - r.n_words) > 1 for r in got) <= 0.01 * len(got)
+
+
+def test_short_words_do_not_hide_a_passage(spark):
+    rng = np.random.default_rng(6)
+    prose = lambda n, k: " ".join("".join(rng.choice(list("abcdefghijklmnop"), rng.integers(1, k))) for _ in range(n))
+    passages = [prose(51, 6) for _ in range(50)]
+    rows = [(i, f"{prose(60, 9)} {passages[i % 50]} {prose(60, 9)}") for i in range(100)]
+    got = chunks.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len({r.doc_id for r in got}) >= 96 and all(51 <= r.n_words <= 53 for r in got)
+    for r in got:
+        assert passages[r.doc_id % 50] in rows[r.doc_id][1][r.start : r.end]
+
+
+def test_repeats_of_odd_texts(spark, odd):
+    got = chunks.repeats(odd).collect()
+    assert {r.doc_id for r in got} == {1, 2, 3} and all(r.keep == (r.doc_id == 1) for r in got)
+    clash = odd.withColumns({"__spans": F.lit(1), "__id": F.lit(2), "text_key": F.lit(3), "drop": F.lit(4)})
+    left = chunks.dedup(clash).collect()
+    assert len(left) == len(odd_rows()) and chunks.dedup(clash).columns == clash.columns and {(r["__spans"], r["__id"], r.text_key, r["drop"]) for r in left} == {(1, 2, 3, 4)}
 
 
 # --- op2 ---
