@@ -6,9 +6,9 @@ nearby bytes only, so an insertion moves no cut beyond its neighbourhood and a
 passage is cut alike wherever it stands.  Neighbouring chunks are matched, two
 by two, by a digest of 96 bits over the whole corpus; a chain of such pairs that
 occur in more than one document is the core of a repeated passage.  Its ragged
-ends, where chunks of different documents differ, are found word by word: hashes
-of the words next to a chain's outer pairs are counted over all places of these
-pairs, and the passage goes as far as another document goes along.
+ends, where chunks of different documents differ, are found word by word: what
+is next to a chain's outer pairs is held against the first and the last document
+that have these pairs, and the passage goes as far as one of them goes along.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from stratalog.llm import textbatch
 from stratalog.llm.spans import replaced
 from stratalog.llm.store import fresh, written
 
-RADIUS = 18
+RADIUS = 20
 CORE = 40  # characters that a chain needs at least to be looked at
 REACH = 24  # words by which a passage may go on beyond its chain, on either side
 LEAST = 50  # words
@@ -208,41 +208,41 @@ def around(text: np.ndarray, side: np.ndarray, at: np.ndarray) -> tuple[np.ndarr
 
 
 def contexts(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """(doc_id, text_key, side, at, keys, reach, words): see ``around``, for the places (doc_id, text_key, side, at, one, two).
+    """``places`` (doc_id, text_key, side, at, one, two, ends, stands) with ``keys``, ``reach`` and ``words``: see ``around``.
 
-    ``keys`` hash what is outside together with the pair at the place; steps 0
-    have none.  All of a document's places come to its text at once.
+    Steps 0 have no key.  All of a document's places come to its text at once.
     """
-    asked = places.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("side", "at", "one", "two")).alias("places"))
+    fields = ("side", "at", "one", "two", "ends", "stands")
+    asked = places.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct(*fields)).alias("places"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
-    schema = "doc_id long, text_key long, side int, at int, keys array<long>, reach array<int>, words array<int>"
+    schema = "doc_id long, text_key long, side int, at int, one long, two int, ends boolean, stands boolean, keys array<int>, reach array<int>, words array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = textbatch.utf8(batch.column(2))
             lists = batch.column(3)
             bounds, flat = np.asarray(lists.offsets), lists.values
-            side, at, one, two = (np.asarray(flat.field(k)) for k in range(4))
+            side, at = (np.asarray(flat.field(k)) for k in range(2))
+            keys, reaches, words, counts = [], [], [], []
             for k in range(batch.num_rows):
                 text, own = data[offsets[k] : offsets[k + 1]], slice(bounds[k], bounds[k + 1])
-                chars = np.concatenate(([0], np.cumsum((text & 0xC0) != 0x80)))  # characters begun before each byte
-                begins = np.append(np.flatnonzero((text & 0xC0) != 0x80), len(text))
-                value, reach, number, steps = around(text, side[own], begins[at[own]])
-                tag = textbatch.mix(one[own].view(np.uint64) ^ textbatch.mix(two[own].astype(np.int64).view(np.uint64) + side[own].astype(np.uint64)))
-                key = textbatch.mix(value[:, 1:] + tag[:, None]).view(np.int64)
+                begun = (text & 0xC0) != 0x80
+                value, reach, number, steps = around(text, side[own], np.append(np.flatnonzero(begun), len(text))[at[own]])
                 there = np.arange(REACH + 1) < steps[:, None]
-                n = len(steps)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(n, batch.column(0)[k].as_py())),
-                        pa.array(np.full(n, batch.column(1)[k].as_py())),
-                        pa.array(side[own]),
-                        pa.array(at[own]),
-                        pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(steps - 1))).astype(np.int32)), pa.array(key[there[:, 1:]])),
-                        *[pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(steps))).astype(np.int32)), pa.array(x[there].astype(np.int32))) for x in (chars[reach], number)],
-                    ],
-                    names=["doc_id", "text_key", "side", "at", "keys", "reach", "words"],
-                )
+                keys.append((value[:, 1:] >> np.uint64(32)).astype(np.uint32).view(np.int32)[there[:, 1:]])
+                reaches.append(np.concatenate(([0], np.cumsum(begun)))[reach][there].astype(np.int32))  # characters begun before each byte
+                words.append(number[there].astype(np.int32))
+                counts.append(steps)
+            if not counts:
+                continue
+            steps = np.concatenate(counts)
+            lists_of = lambda parts, n: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(np.concatenate(parts)))
+            row = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(bounds)))
+            inner = flat.slice(bounds[0], bounds[-1] - bounds[0])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(row), batch.column(1).take(row), *[inner.field(k) for k in range(len(fields))], lists_of(keys, steps - 1), lists_of(reaches, steps), lists_of(words, steps)],
+                names=["doc_id", "text_key", *fields, "keys", "reach", "words"],
+            )
 
     return rows.join(asked, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "places").mapInArrow(run, schema)
 
@@ -252,37 +252,42 @@ def repeats(docs: DataFrame, least_words: int = LEAST) -> DataFrame:
 
     A passage is a chain of neighbouring chunks, each two neighbours of which
     stand side by side in more than one document, with the words on either side
-    as far as some other document has them next to the same pair (at most
-    ``REACH``).  Words are what white space parts; those that lie wholly inside
-    count.  Columns: ``doc_id``; ``text_key``, which tells texts of one id
-    apart; ``start`` and ``end`` in code points; ``n_words``; ``n_chunks``;
-    ``first_doc_id``, the smallest id of a document that holds the first pair;
-    ``n_places``, how often that pair occurs; ``drop``, the spans of the chunks
-    that belong to a pair first held by another document, and ``keep``, whether
-    there are none.  A chunk is dropped for one with a smaller id only, so each
-    stays somewhere.  Null ids and texts take no part; texts of one chunk have
-    no pairs; a row listed twice is one document.
+    as far as the first or the last other document with the same outer pair has
+    them too (at most ``REACH``).  Words are what white space parts; those that
+    lie wholly inside count.  Columns: ``doc_id``; ``text_key``, which tells
+    texts of one id apart; ``start`` and ``end`` in code points; ``n_words``;
+    ``n_chunks``; ``first_doc_id``, the smallest id of a document that holds the
+    first pair; ``n_places``, how often that pair occurs; ``drop``, the spans of
+    the chunks that belong to a pair first held by another document, and
+    ``keep``, whether there are none.  A chunk is dropped for one with a smaller
+    id only, so each stays somewhere.  Null ids and texts take no part; texts of
+    one chunk have no pairs; a row listed twice is one document.
 
     The pairs are made twice (it is cheaper to make than to keep them): once
     for the counts, summed in each task before the exchange, once for the join,
     whose both sides are exchanged, so that hot digests can be split.
     """
-    digest = ["one", "two"]
+    digest, place = ["one", "two"], ["doc_id", "text_key", "side", "at"]
     own = paired(docs).groupBy(*digest).agg(F.count("*").alias("n_places"), F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id"))
-    held = written(own.where("first_doc_id < last_doc_id").drop("last_doc_id"), "chunks")
+    held = written(own.where("first_doc_id < last_doc_id"), "chunks")
     pairs = written(paired(docs).join(held, digest), "pairs")
     found = written(chains(pairs), "chains")
-    # Wherever an outer pair of some chain stands, what is next to it counts.
-    outer = found.select(F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("head_one").alias("one"), F.col("head_two").alias("two")), F.struct(F.lit(1).alias("side"), F.col("last_one").alias("one"), F.col("last_two").alias("two")))).alias("o")).select("o.*").distinct()
-    at = F.when(F.col("side") == 0, F.col("start")).otherwise(F.col("end")).alias("at")
-    places = pairs.join(outer, digest).select("doc_id", (F.shiftright("place", 31)).alias("text_key"), "side", at, *digest).distinct()
-    near = written(contexts(docs, places).dropDuplicates(["doc_id", "text_key", "side", "at"]), "contexts")
-    steps = near.select("doc_id", "text_key", "side", "at", F.posexplode("keys").alias("step", "key"))
-    shared = steps.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key")
-    far = steps.join(shared, "key").groupBy("doc_id", "text_key", "side", "at").agg((F.max("step") + 1).alias("far"))
-    edge = near.join(far, ["doc_id", "text_key", "side", "at"], "left").select("doc_id", "text_key", "side", "at", *[F.element_at(c, F.coalesce("far", F.lit(0)) + 1).alias(c) for c in ("reach", "words")])
-    edges = written(edge, "edges")
-    end = lambda side, where, reach, words: edges.where(F.col("side") == side).select("doc_id", "text_key", F.col("at").alias(where), F.col("reach").alias(reach), F.col("words").alias(words))
+    side = lambda n, at, a, b: F.struct(F.lit(n).alias("side"), F.col(at).alias("at"), F.col(a).alias("one"), F.col(b).alias("two"))
+    ends = found.select("doc_id", "text_key", F.explode(F.array(side(0, "low", "head_one", "head_two"), side(1, "high", "last_one", "last_two"))).alias("o")).select("doc_id", "text_key", "o.*")
+    # Outer pairs where they stand in the first and the last document that has them; there once, if they stand there often.
+    known = pairs.where("doc_id = first_doc_id or doc_id = last_doc_id")
+    at = F.when(F.col("side") == 0, F.col("start")).otherwise(F.col("end"))
+    stand = known.join(ends.select("side", *digest).distinct(), digest).groupBy("side", *digest, "doc_id").agg(F.min(F.struct(F.shiftright("place", 31).alias("text_key"), at.alias("at"))).alias("p"))
+    stand = stand.select("doc_id", "p.text_key", "side", "p.at", *digest)
+    flags = lambda df, a, b: df.withColumns({"ends": F.lit(a), "stands": F.lit(b)})
+    places = flags(ends, True, False).unionByName(flags(stand, False, True)).groupBy(*place, *digest).agg(F.max("ends").alias("ends"), F.max("stands").alias("stands"))
+    near = written(contexts(docs, places), "contexts")
+    others = near.where("stands").groupBy("side", *digest).agg(F.collect_set(F.struct(F.col("doc_id").alias("other"), F.col("keys").alias("theirs"))).alias("others"))  # two, or more texts under their ids
+    along = F.transform(F.filter("others", lambda o: o["other"] != F.col("doc_id")), lambda o: F.size(F.filter(F.zip_with("keys", o["theirs"], lambda a, b: F.coalesce(a == b, F.lit(False))), lambda same: same)))
+    far = F.coalesce(F.array_max(along), F.lit(0)) + 1
+    edge = near.where("ends").join(others, ["side", *digest]).select(*place, F.element_at("reach", far).alias("reach"), F.element_at("words", far).alias("words"))
+    edges = written(edge.groupBy(*place).agg(F.max("reach").alias("reach"), F.max("words").alias("words")), "edges")
+    end = lambda n, at, reach, words: edges.where(F.col("side") == n).select("doc_id", "text_key", F.col("at").alias(at), F.col("reach").alias(reach), F.col("words").alias(words))
     out = found.join(end(0, "low", "start", "w0"), ["doc_id", "text_key", "low"]).join(end(1, "high", "end", "w1"), ["doc_id", "text_key", "high"])
     n_words = (F.col("w1") - F.col("w0")).cast("int")
     return out.where(n_words >= least_words).select("doc_id", "text_key", "start", "end", n_words.alias("n_words"), "n_chunks", "first_doc_id", "n_places", (F.size("drop") == 0).alias("keep"), "drop")
