@@ -200,13 +200,14 @@ def learn(docs: DataFrame, sample_rows: int = 4000) -> tuple[Labellers, Scorer]:
     """Labellers from all texts, a scorer from about ``sample_rows`` of them.
 
     The sample is those whose text hash is below a threshold, so equal texts go
-    together; at most 4 x ``sample_rows`` rows of it are used.
+    together; at most 2 x ``sample_rows`` rows of it are used, which bounds the
+    driver's matrix of shares.
     """
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     rows = _voted(texts).groupBy("pattern").agg(F.count("*").alias("n")).collect()
     model = estimate(np.array([r.pattern for r in rows], np.int64), np.array([r.n for r in rows], np.float64))
     total = sum(r.n for r in rows)
-    taken = _voted(texts, min(1.0, sample_rows / max(total, 1))).limit(4 * sample_rows).collect()
+    taken = _voted(texts, min(1.0, sample_rows / max(total, 1))).limit(2 * sample_rows).collect()
     shares = np.zeros((len(taken), BUCKETS), np.float32)
     for i, r in enumerate(taken):
         shares[i, r.bucket] = r.share

@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from stratalog.llm import textbatch
 from stratalog.llm.language import held_out
-from stratalog.llm.store import written
+from stratalog.llm.store import fresh, written
 
 SYMBOLS = 258
 DEPTH = 5
@@ -273,9 +273,9 @@ def score(docs: DataFrame, tree: Tree, lexicon: Lexicon) -> DataFrame:
     A null text is empty: one token, the end.  Rows stay as they are; columns
     of the added names are replaced.
     """
-    added = T.StructType.fromDDL("n_tokens long, n_known long, base double, score double, rare array<long>, tail array<struct<code:long,times:long>>")
-    names = ("n_tokens", "n_known", "train_tokens", "base_score", "base", "score", "rare", "tail", "text", "__row")
-    rest = [c for c in docs.columns if c not in names]
+    rest = [c for c in docs.columns if c not in ("n_tokens", "n_known", "train_tokens", "base_score", "score", "text")]
+    base_, rare_, tail_, row_ = (fresh(docs, f"__{x}") for x in ("base", "rare", "tail", "row"))
+    added = T.StructType.fromDDL(f"n_tokens long, n_known long, {base_} double, score double, {rare_} array<long>, {tail_} array<struct<code:long,times:long>>")
     docs = docs.select(*rest, "text")
     schema = T.StructType([*docs.schema.fields[:-1], *added.fields])
     shared = docs.sparkSession.sparkContext.broadcast((tree.symbol, tree.byte, tree.levels[-1].grams, np.log10(tree.levels[-1].p), lexicon.words, lexicon.counts))
@@ -320,21 +320,22 @@ def score(docs: DataFrame, tree: Tree, lexicon: Lexicon) -> DataFrame:
                     names=schema.names,
                 )
 
-    table = written(docs.mapInArrow(run, schema).withColumn("__row", F.monotonically_increasing_id()), "scores")
-    rare = table.where(F.size("rare") > 0).select("__row", F.explode("rare").alias("key"))
-    tail = table.where(F.size("tail") > 0).select("__row", F.explode("tail").alias("t")).select("__row", "t.code", "t.times")
-    found = rare.join(lexicon.rest, "key").select("__row", F.lit(1).alias("found"), (F.log10(F.col("n") + 0.1) + 1.0).alias("gain"), F.lit(0.0).alias("more"))
-    later = tail.join(logs(tail.select("code").distinct(), tree), "code").select("__row", F.lit(0).alias("found"), F.lit(0.0).alias("gain"), (F.col("times") * F.col("log")).alias("more"))
-    more = found.unionByName(later).groupBy("__row").agg(F.sum("found").alias("found"), F.sum("gain").alias("gain"), F.sum("more").alias("more"))
+    table = written(docs.mapInArrow(run, schema).withColumn(row_, F.monotonically_increasing_id()), "scores")
+    rare = table.where(F.size(rare_) > 0).select(row_, F.explode(rare_).alias("key"))
+    tail = table.where(F.size(tail_) > 0).select(row_, F.explode(tail_).alias("t")).select(row_, "t.code", "t.times")
+    found = rare.join(lexicon.rest, "key").select(row_, F.lit(1).alias("found"), (F.log10(F.col("n") + 0.1) + 1.0).alias("gain"), F.lit(0.0).alias("more"))
+    later = tail.join(logs(tail.select("code").distinct(), tree), "code").select(row_, F.lit(0).alias("found"), F.lit(0.0).alias("gain"), (F.col("times") * F.col("log")).alias("more"))
+    sums = found.unionByName(later).groupBy(row_).agg(F.struct(F.sum("found").alias("found"), F.sum("gain").alias("gain"), F.sum("more").alias("more")).alias(rare_))
     whole = float(np.log10(lexicon.tokens + 0.1 * (lexicon.distinct + 1)))
-    out = table.drop("rare", "tail").join(more, "__row", "left")
+    out = table.drop(rare_, tail_).join(sums, row_, "left")
+    more = lambda c: F.coalesce(F.col(rare_)[c], F.lit(0))
     return out.select(
         *rest,
         "n_tokens",
-        (F.col("n_known") + F.coalesce("found", F.lit(0))).alias("n_known"),
+        (F.col("n_known") + more("found")).alias("n_known"),
         F.lit(lexicon.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("gain", F.lit(0.0)) - F.col("n_tokens") * whole).alias("base_score"),
-        (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
+        (F.col(base_) + more("gain") - F.col("n_tokens") * whole).alias("base_score"),
+        (F.col("score") + more("more")).alias("score"),
     )
 
 
