@@ -59,7 +59,7 @@ STAGES = [
     ("piece_ids", piece_ids),
 ]
 
-#: Stages 1, 2 and 5 have no SQL form; tests hold each stage against a brute-force version.
+#: Stages 1, 2 and 5 have no SQL form; tests/llm/test_pipeline.py holds each stage against a plain version of it.
 ORACLE_SQL = None
 
 
