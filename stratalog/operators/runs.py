@@ -135,7 +135,7 @@ def overlap_counts(runs: DataFrame) -> DataFrame:
     return out.select("run", (F.col("others") - F.col("ended") - F.col("begun")).alias("n_overlaps"))
 
 
-def pruning_report(content: DataFrame, probes: DataFrame, m: int, k: int, run_block: int = 1024, probe_block: int = 16384) -> DataFrame:
+def pruning_report(content: DataFrame, probes: DataFrame, m: int, k: int, run_block: int = 512, probe_block: int = 8192) -> DataFrame:
     """For each run: how many distinct probe keys its filter, or its key range, rules out, and how many are read.
 
     Packed filters of ``run_block`` runs meet ``probe_block`` sorted probes in
@@ -147,6 +147,7 @@ def pruning_report(content: DataFrame, probes: DataFrame, m: int, k: int, run_bl
     asked = probes.select("key").where("key is not null").distinct()
     slot_list = F.transform(slots(F.col("key"), BASE, k, m), lambda s: s["slot"].cast("int"))
     keys = written(asked.select("key", slot_list.alias("slots")), "probes")
+    content = written(content.select("run", "key", "tombstone"), "content")
     bits = bloom(content, m, k, "run").groupBy("run").agg(F.collect_list(F.col("slot").cast("int")).alias("slots"))  # at most m of them
     runs = written(manifest(content).join(bits, "run").select("run", "min_key", "max_key", "slots"), "filters")
     total = keys.count()

@@ -564,7 +564,7 @@ DIFFER = "cast(len(list_filter(range(1, 257), lambda i: substr(a, i, 1) <> subst
 def simhash_distance(spark, d):
     """How far each text is from the one before it in its language; neighbours meet by their global numbers."""
     docs = oplog.table(spark, d, "documents")
-    prints = sk.simhash(docs).join(docs.select("doc_id", "lang"), "doc_id")
+    prints = written(sk.simhash(docs).join(docs.select("doc_id", "lang"), "doc_id"), "prints")
     rows = written(numbered(prints, "lang", "doc_id"), "prints")
     before = rows.select((F.col("rn") + 1).alias("rn"), F.col("lang").alias("lang_"), F.col("fingerprint").alias("before"))
     pairs = rows.join(before, "rn").where(F.col("lang").eqNullSafe(F.col("lang_")))
