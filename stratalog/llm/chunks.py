@@ -5,10 +5,12 @@ hash there is the least within ``RADIUS`` bytes on either side.  Cuts depend on
 nearby bytes only, so an insertion moves no cut beyond its neighbourhood and a
 passage is cut alike wherever it stands.  Neighbouring chunks are matched, two
 by two, by a digest of 96 bits over the whole corpus; a chain of such pairs that
-occur in more than one document is the core of a repeated passage.  Its ragged
-ends, where chunks of different documents differ, are found word by word: what
-is next to a chain's outer pairs is held against the first and the last document
-that have these pairs, and the passage goes as far as one of them goes along.
+occur in more than one document is the core of a repeated passage.  Where a text
+repeats itself, pairs are numbered from the beginning of that run, so a long run
+is not taken for a short one elsewhere.  A passage's ragged ends, where chunks of
+different documents differ, are found word by word: what is next to a chain's
+outer pairs is held against the first and the last document that have these
+pairs, and the passage goes as far as one of them goes along.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ RADIUS = 20
 CORE = 40  # characters that a chain needs at least to be looked at
 REACH = 24  # words by which a passage may go on beyond its chain, on either side
 LEAST = 50  # words
+PERIOD = 8  # chunks: the longest period of a run of chunks that is numbered
 _INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 _GEAR = textbatch.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _POWER = np.uint64(0xD6E8FEB86659FD93)
@@ -77,11 +80,27 @@ def chunk(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, textbatch.mix(one ^ length), textbatch.mix(two + length)
 
 
+def turns(chunks: np.ndarray) -> np.ndarray:
+    """For each chunk (by hash) how long it has been so that a chunk is the same as the one a period before; 0 for less than a period.
+
+    Of periods up to ``PERIOD`` chunks that with the longest run counts.
+    """
+    out = np.zeros(len(chunks), np.int64)
+    if len(np.unique(chunks)) == len(chunks):
+        return out
+    for p in range(1, min(PERIOD, len(chunks) - 1) + 1):
+        same, at = chunks[p:] == chunks[:-p], np.arange(len(chunks) - p)
+        run = at - np.maximum.accumulate(np.where(same, -1, at))
+        out[p:] = np.maximum(out[p:], np.where(run >= p, run, 0))
+    return out
+
+
 def paired(docs: DataFrame) -> DataFrame:
     """(doc_id, one, two, place, start, middle, end): each two neighbouring chunks of each text with an id.
 
-    ``one`` and ``two`` are the digest of both chunks; ``place`` counts chunks
-    and tells different texts of one id apart.  Start, middle and end count code
+    ``one`` and ``two`` are the digest of both chunks, and of their number in a
+    run of chunks with a short period (``turns``); ``place`` counts chunks and
+    tells different texts of one id apart.  Start, middle and end count code
     points; a byte that goes on with a character belongs to the chunk where the
     character begins.
     """
@@ -101,8 +120,9 @@ def paired(docs: DataFrame) -> DataFrame:
                     if len(starts) < 2:
                         continue
                     begun = np.concatenate(([0], np.cumsum((text & 0xC0) != 0x80))).astype(np.int32)[np.append(starts, len(text))]
-                    one = textbatch.mix(one[:-1] + textbatch.mix(one[1:] + np.uint64(1)))
-                    two = textbatch.mix(two[:-1] ^ textbatch.mix(two[1:] + np.uint64(2)))
+                    turn = textbatch.mix(turns(one)[1:].astype(np.uint64))
+                    one = textbatch.mix(one[:-1] + textbatch.mix(one[1:] + turn + np.uint64(1)))
+                    two = textbatch.mix(two[:-1] ^ textbatch.mix((two[1:] ^ turn) + np.uint64(2)))
                     n = len(one)
                     parts = (np.full(n, doc[k]), one.view(np.int64), (two >> np.uint64(32)).astype(np.uint32).view(np.int32), (int(key[k]) << 31) + np.arange(n), begun[:-2], begun[1:-1], begun[2:])
                     for column, part in zip(out, parts, strict=True):

@@ -167,6 +167,22 @@ def test_short_words_do_not_hide_a_passage(spark):
         assert passages[r.doc_id % 50] in rows[r.doc_id][1][r.start : r.end]
 
 
+def test_long_runs_are_not_taken_for_short_ones(spark):
+    """A text that repeats itself shares with another as much as the other has; plainly, with one word or a sentence as the period."""
+    rng = np.random.default_rng(8)
+    prose = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), 5)) for _ in range(n))
+    line = prose(9)
+    parts = ["was " * 20, "was " * 300, "für " * 120, "für " * 200, f"{line} " * 3, f"{line} " * 30, "no " * 40 + "yes " * 40, "no " * 90 + "yes " * 70]
+    rows = [(i, f"{prose(40)} {part}{prose(40)}") for i, part in enumerate(parts)]
+    got = {r.doc_id: r for r in chunks.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {2, 3, 6, 7} >= set(got) >= {2, 3}
+    for r in got.values():
+        part = rows[r.doc_id][1][r.start : r.end]
+        assert any(part in t for i, t in rows if i != r.doc_id)
+    assert all(115 <= got[i].n_words <= 121 for i in (2, 3))
+    assert chunks.turns(np.array([5, 7, 7, 7, 9, 1, 2, 3, 1, 2, 3, 1, 4])).tolist() == [0, 0, 1, 2, 0, 0, 0, 0, 0, 0, 3, 4, 0]
+
+
 def test_repeats_of_odd_texts(spark, odd):
     got = chunks.repeats(odd).collect()
     assert {r.doc_id for r in got} == {1, 2, 3} and all(r.keep == (r.doc_id == 1) for r in got)
