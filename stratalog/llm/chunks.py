@@ -302,7 +302,8 @@ def repeats(docs: DataFrame, least_words: int = LEAST) -> DataFrame:
     flags = lambda df, a, b: df.withColumns({"ends": F.lit(a), "stands": F.lit(b)})
     places = flags(ends, True, False).unionByName(flags(stand, False, True)).groupBy(*place, *digest).agg(F.max("ends").alias("ends"), F.max("stands").alias("stands"))
     near = written(contexts(docs, places), "contexts")
-    others = near.where("stands").groupBy("side", *digest).agg(F.collect_set(F.struct(F.col("doc_id").alias("other"), F.col("keys").alias("theirs"))).alias("others"))  # two, or more texts under their ids
+    # Two, or more texts under their ids; written, so that the join behind has plain exchanges and a hot pair can be split.
+    others = written(near.where("stands").groupBy("side", *digest).agg(F.collect_set(F.struct(F.col("doc_id").alias("other"), F.col("keys").alias("theirs"))).alias("others")), "others")
     along = F.transform(F.filter("others", lambda o: o["other"] != F.col("doc_id")), lambda o: F.size(F.filter(F.zip_with("keys", o["theirs"], lambda a, b: F.coalesce(a == b, F.lit(False))), lambda same: same)))
     far = F.coalesce(F.array_max(along), F.lit(0)) + 1
     edge = near.where("ends").join(others, ["side", *digest]).select(*place, F.element_at("reach", far).alias("reach"), F.element_at("words", far).alias("words"))
