@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from stratalog.functions.fold import by_group, ordered_fold
 from stratalog.functions.hashing import slots
 from stratalog.functions.sketches import BASE, bloom
+from stratalog.operators import memtable
 from stratalog.operators.state import current
 from stratalog.sources.shared import numbered, written
 
@@ -25,10 +26,13 @@ def fixed_runs(oplog: DataFrame, size: int) -> DataFrame:
 def exact_runs(oplog: DataFrame, memtable_size: int, *shard: str) -> DataFrame:
     """``run`` (from 1) as a memtable makes them: a flush whenever ``memtable_size`` distinct keys are held.
 
-    Each shard has its own memtable; without shards the log is one sequence, as
-    a single store's log is.  A task holds at most ``memtable_size`` keys.
-    ``flushed`` marks the operation that fills the run.
+    Without shards the log is one sequence, as a single store's log is; many
+    tasks find its boundaries (see ``memtable``).  With shards each has its own
+    memtable; a task streams through a shard and holds at most
+    ``memtable_size`` keys.  ``flushed`` marks the operation that fills the run.
     """
+    if not shard:
+        return memtable.exact_runs(oplog, memtable_size)
 
     def step(state: tuple[int, set], values: tuple) -> tuple[tuple[int, set], tuple]:
         run, held = state

@@ -1,11 +1,13 @@
 """Reads, merges and runs on small logs."""
 
+import random
+
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from stratalog.functions import sketches
 from stratalog.functions.hashing import slots
-from stratalog.operators import compaction, registry, runs, state, stateful
+from stratalog.operators import compaction, memtable, registry, runs, state, stateful
 from stratalog.schema import OPLOG, EngineConfig
 from stratalog.sources import oplog, shared
 
@@ -247,3 +249,25 @@ def test_shared_folder_is_asked_for_on_a_cluster(spark):
 
     with pytest.raises(RuntimeError):
         shared.shared_dir(Session())
+
+
+@pytest.mark.parametrize(("n", "n_keys", "size", "block"), [(300, 12, 5, 16), (300, 4, 5, 16), (90, 6, 6, 4), (64, 3, 1, 16), (20, 4, 4, 1)])
+def test_flush_boundaries_of_many_blocks(spark, n, n_keys, size, block):
+    """As one pass over the log finds them; keys are skewed, rare keys make runs that span blocks, some logs never fill one."""
+    rng = random.Random(n * n_keys + size)
+    keys = [None if x == 2 else f"k{x}" for x in (min(int(n_keys * rng.random() ** 2), n_keys - 1) for _ in range(n))]
+    run, held, want = 1, set(), []
+    for i, key in enumerate(keys):
+        held.add(key)
+        full = len(held) == size
+        want.append((i, run, full))
+        if full:
+            run, held = run + 1, set()
+    log = spark.createDataFrame([(i, key, "x") for i, key in enumerate(keys)], "seq long, key string, kind string").repartition(3)
+    got = memtable.exact_runs(log, size, block)
+    assert sorted((r.seq, r.run, r.flushed) for r in got.collect()) == want
+    assert got.columns == ["seq", "key", "kind", "run", "flushed"]
+
+
+def test_flush_boundaries_of_no_log(spark):
+    assert memtable.exact_runs(spark.createDataFrame([], "seq long, key string"), 3).count() == 0
