@@ -19,13 +19,13 @@ from pyspark.sql import functions as F
 from stratalog.functions.fold import by_group
 from stratalog.sources.shared import numbered, written
 
-BLOCK = 1 << 16  # operations that a task holds at once
+BLOCK = 1 << 18  # operations that a task holds at once
 
 
 def heads(ops: DataFrame, size: int, n_blocks: int) -> DataFrame:
     """(block, key, rn): the first ``size`` distinct keys from each block's beginning on, and where each is first.
 
-    A block with fewer keys takes on those of the blocks behind it; what a row
+    Asked for the blocks of ``ops``.  A block with fewer keys takes on those of the blocks behind it; what a row
     reaches over doubles in each round.
     """
     nearest = F.row_number().over(Window.partitionBy("block").orderBy("rn"))
@@ -56,27 +56,31 @@ def jumps(ops: DataFrame, after: DataFrame, size: int, block: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in by_group(batches):
             b = table["block"][0].as_py()
-            low, high = b * block + 1, (b + 1) * block
+            high = (b + 1) * block
             held: OrderedDict = OrderedDict()
-            rns, full, leaves, n = [], [], {}, {}
+            rns, full, leaves, n = [], [], [], []  # the block's last operation first
             for rn, key in zip(table["rn"].to_pylist(), table["key"].to_pylist(), strict=True):
                 held[key] = rn
                 held.move_to_end(key)
                 if len(held) > size:
                     held.popitem(last=False)
-                if not low <= rn <= high:
+                if rn > high:
                     continue
-                end = next(iter(held.values())) if len(held) == size else None
                 rns.append(rn)
+                end = next(iter(held.values())) if len(held) == size else None
                 full.append(end)
                 if end is None:
-                    leaves[rn], n[rn] = None, 0
-                elif end < high:
-                    leaves[rn], n[rn] = leaves.get(end + 1, end + 1), n.get(end + 1, 0) + 1
+                    leaves.append(None)
+                    n.append(0)
+                elif end < rns[0]:
+                    then = rns[0] - end - 1
+                    leaves.append(leaves[then])
+                    n.append(n[then] + 1)
                 else:
-                    leaves[rn], n[rn] = end + 1, 1
-            columns = ([b] * len(rns), rns, full, leaves.values(), n.values())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=["block", "rn", "full", "leaves", "n"])
+                    leaves.append(end + 1)
+                    n.append(1)
+            columns = ([b] * len(rns), rns, full, leaves, n)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["block", "rn", "full", "leaves", "n"])
 
     rows = ops.unionByName(after).repartition("block").sortWithinPartitions("block", F.desc("rn"))
     return rows.select("block", "rn", "key").mapInArrow(run, "block long, rn long, full long, leaves long, n long")
@@ -107,13 +111,13 @@ def exact_runs(oplog: DataFrame, size: int, block: int = BLOCK) -> DataFrame:
     counts reaches the driver, and a task holds one block of slim rows.
     """
     log = numbered(oplog, "seq", name="__rn")
-    total = log.count()
+    of = lambda rn: F.floor((rn - 1) / block).cast("long")
+    ops = written(log.select(of(F.col("__rn")).alias("block"), F.col("__rn").alias("rn"), "key"), "operations")
+    total = ops.count()
     if not total:
         return oplog.withColumns({"run": F.lit(1).cast("long"), "flushed": F.lit(False)})
     n_blocks = -(-total // block)
-    of = lambda rn: F.floor((rn - 1) / block).cast("long")
-    ops = log.select(of(F.col("__rn")).alias("block"), F.col("__rn").alias("rn"), "key")
-    after = heads(ops, size, n_blocks).where("block > 0").withColumn("block", F.col("block") - 1)
+    after = heads(ops.where("block > 0"), size, n_blocks).withColumn("block", F.col("block") - 1)
     steps = written(jumps(ops, after, size, block), "jumps")
     opens = written(reached(steps, n_blocks).join(steps, "rn").select("block", "rn", "done", "leaves", "n"), "opens")
 
