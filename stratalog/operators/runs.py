@@ -123,20 +123,23 @@ def ranked(runs: DataFrame) -> DataFrame:
 
 
 def overlap_counts(runs: DataFrame) -> DataFrame:
-    """(run, n_overlaps): other runs whose key range overlaps, for each run of a manifest.
+    """(run, n_overlaps): other runs whose key range overlaps, for each run of a manifest with distinct runs.
 
-    Counted, not paired: those that do not overlap end before its first key or
-    begin after its last, and both are ranks among sorted ends.
+    Counted, not paired.  Where the first and last keys of all runs stand in one
+    order, first keys before equal last keys, a run's first key has behind it
+    the runs that ended before, and its last key those that have begun; each is
+    the key's place among all less its place among its kind.
     """
-    ends = runs.select(F.col("max_key").alias("k"), F.lit(0).alias("kind"), "run", F.lit(1).alias("end"))
-    asks = runs.select(F.col("min_key").alias("k"), F.lit(-1).alias("kind"), "run", F.lit(0).alias("end"))
-    before = asks.union(ends).withColumn("ended", F.sum("end").over(Window.orderBy("k", "kind"))).where("kind = -1").select("run", "ended")
-    begins = runs.select(F.col("min_key").alias("k"), F.lit(0).alias("kind"), "run", F.lit(1).alias("begin"))
-    asks = runs.select(F.col("max_key").alias("k"), F.lit(-1).alias("kind"), "run", F.lit(0).alias("begin"))
-    after = asks.union(begins).withColumn("begun", F.sum("begin").over(Window.orderBy(F.desc("k"), "kind"))).where("kind = -1").select("run", "begun")
-    n = runs.agg((F.count("*") - 1).alias("others"))
-    out = before.join(after, "run").join(F.broadcast(n), F.lit(True))
-    return out.select("run", (F.col("others") - F.col("ended") - F.col("begun")).alias("n_overlaps"))
+    runs = written(runs.select("run", "min_key", "max_key"), "ranges")
+    begins, ends = (runs.select(F.col(c).alias("k"), F.lit(i).alias("kind"), "run") for i, c in enumerate(("min_key", "max_key")))
+    every = written(numbered(begins.unionByName(ends), "k", "kind", "run", name="__n"), "ends")
+
+    def others(of: DataFrame, kind: int, name: str) -> DataFrame:
+        own = numbered(of.select("k", "run"), "k", "run", name="__own").select("run", "__own")
+        return every.where(F.col("kind") == kind).join(own, "run").select("run", (F.col("__n") - F.col("__own")).alias(name))
+
+    out = others(begins, 0, "ended").join(others(ends, 1, "begun"), "run")
+    return out.select("run", (F.col("begun") - F.col("ended") - 1).alias("n_overlaps"))
 
 
 def pruning_report(content: DataFrame, probes: DataFrame, m: int, k: int, run_block: int = 512, probe_block: int = 8192) -> DataFrame:

@@ -271,3 +271,12 @@ def test_flush_boundaries_of_many_blocks(spark, n, n_keys, size, block):
 
 def test_flush_boundaries_of_no_log(spark):
     assert memtable.exact_runs(spark.createDataFrame([], "seq long, key string"), 3).count() == 0
+
+
+def test_overlaps_with_equal_ends(spark):
+    """Ranges that share a key overlap; single keys, repeated ranges and an empty manifest."""
+    ranges = [("a", "c"), ("c", "d"), ("c", "c"), ("a", "c"), ("e", "f"), ("g", "g"), ("b", "z")]
+    table = spark.createDataFrame([(i, lo, hi) for i, (lo, hi) in enumerate(ranges)], "run long, min_key string, max_key string")
+    want = {i: sum(j != i and lo <= b and a <= hi for j, (a, b) in enumerate(ranges)) for i, (lo, hi) in enumerate(ranges)}
+    assert {r.run: r.n_overlaps for r in runs.overlap_counts(table).collect()} == want
+    assert runs.overlap_counts(table.limit(0)).count() == 0
