@@ -54,21 +54,39 @@ def bloom_bytes(bits: DataFrame, m: int) -> DataFrame:
     return bits.groupBy(octet.alias("byte")).agg(F.sum(F.pow(F.lit(2.0), 7 - F.col("slot") % 8).cast("int")).cast("int").alias("value"))
 
 
+PAGE = 8192  # bytes of a filter in one packed row
+
+
 def bloom_pack(bits: DataFrame, m: int, k: int, base: int = BASE) -> DataFrame:
-    """(packed): one row, the filter as bytes: m, k and base in four bytes each, big-endian, then its bits, first bit highest."""
-    octets = bloom_bytes(bits, m).agg(F.map_from_entries(F.collect_list(F.struct("byte", "value"))).alias("at"))  # at most m / 8 of them
-    body = F.array_join(F.transform(F.sequence(F.lit(0), F.lit((m + 7) // 8 - 1)), lambda i: F.lpad(F.hex(F.coalesce(F.try_element_at("at", i), F.lit(0))), 2, "0")), "")
-    return octets.select(F.unhex(F.concat(F.lit(f"{m:08x}{k:08x}{base & 0xFFFFFFFF:08x}"), body)).alias("packed"))
+    """(page, packed): the filter as bytes, one row for each ``PAGE`` of them, so that no task holds a large filter.
+
+    Big-endian: m in eight bytes, k and base in four each, the page's first byte
+    in eight, then the page's bits, first bit highest.
+    """
+    every = bits.sparkSession.range((m + 7) // 8).select(F.col("id").cast("int").alias("byte"))
+    octets = every.join(bloom_bytes(bits, m), "byte", "left").select("byte", F.lpad(F.hex(F.coalesce("value", F.lit(0))), 2, "0").alias("octet"))
+    pages = octets.groupBy(F.floor(F.col("byte") / PAGE).cast("long").alias("page")).agg(F.array_sort(F.collect_list(F.struct("byte", "octet"))).alias("own"))
+    first = F.lpad(F.hex(F.col("page") * PAGE), 16, "0")
+    body = F.array_join(F.transform("own", lambda x: x["octet"]), "")
+    return pages.select("page", F.unhex(F.concat(F.lit(f"{m:016x}{k:08x}{base & 0xFFFFFFFF:08x}"), first, body)).alias("packed"))
+
+
+def _packed_field(at: int, n: int) -> Column:
+    return F.conv(F.hex(F.substring("packed", at + 1, n)), 16, 10).cast("long")
+
+
+def bloom_header(packed: DataFrame) -> DataFrame:
+    """(m, k, base) of packed filters."""
+    return packed.select(_packed_field(0, 8).alias("m"), _packed_field(8, 4).alias("k"), _packed_field(12, 4).alias("base")).distinct()
 
 
 def bloom_unpack(packed: DataFrame) -> DataFrame:
     """(m, k, base, slot): header and set bits of packed filters."""
-    field = lambda i: F.conv(F.substring(F.hex("packed"), 8 * i + 1, 8), 16, 10).cast("long")
-    octets = F.regexp_extract_all(F.substring(F.hex("packed"), 25, 1 << 30), F.lit(".."), F.lit(0))
-    rows = packed.select(field(0).alias("m"), field(1).alias("k"), field(2).alias("base"), F.posexplode(octets).alias("at", "octet"))
+    octets = F.regexp_extract_all(F.hex(F.substring("packed", 25, PAGE)), F.lit(".."), F.lit(0))
+    rows = packed.select(_packed_field(0, 8).alias("m"), _packed_field(8, 4).alias("k"), _packed_field(12, 4).alias("base"), _packed_field(16, 8).alias("first"), F.posexplode(octets).alias("at", "octet"))
     rows = rows.withColumn("value", F.conv("octet", 16, 10).cast("int")).where("value > 0")
     bit = F.explode(F.filter(F.sequence(F.lit(0), F.lit(7)), lambda i: F.floor(F.col("value") / F.pow(F.lit(2.0), 7 - i)) % 2 == 1)).alias("bit")
-    return rows.select("m", "k", "base", "at", bit).select("m", "k", "base", (F.col("at").cast("long") * 8 + F.col("bit")).alias("slot"))
+    return rows.select("m", "k", "base", "first", "at", bit).select("m", "k", "base", ((F.col("first") + F.col("at")) * 8 + F.col("bit")).alias("slot"))
 
 
 def cms(keys: DataFrame, m: int, k: int, base: int = BASE) -> DataFrame:

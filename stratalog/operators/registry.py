@@ -24,6 +24,21 @@ def store_each(rows: DataFrame, kind: str, name: str, value: str, ts: int) -> Da
     return rows.select(F.concat(F.lit(kind), F.col(name).cast("string")).alias("key"), F.col(value).alias("value"), F.lit(ts).cast("long").alias("ts"), F.lit(False).alias("tombstone"), F.col(name).cast("long").alias("seq"))
 
 
+def store_parts(parts: DataFrame, kind: str, name: str, part: str, value: str, ts: int) -> DataFrame:
+    """One put for each part of a sketch too large for one value; ``seq`` is the number in column ``part``."""
+    if kind not in RESERVED:
+        raise ValueError(f"kind is one of {RESERVED}")
+    return parts.select(F.concat(F.lit(f"{kind}{name}#"), F.col(part).cast("string")).alias("key"), F.col(value).alias("value"), F.lit(ts).cast("long").alias("ts"), F.lit(False).alias("tombstone"), F.col(part).cast("long").alias("seq"))
+
+
+def load_parts(oplog: DataFrame, kind: str, name: str) -> DataFrame:
+    """(value): a sketch's parts, those of the newest put alone; none if it is not there."""
+    head = f"{kind}{name}#"
+    found = live(oplog.where(F.col("key").startswith(head) & F.substring("key", len(head) + 1, 1 << 30).rlike("^[0-9]+$")))
+    newest = found.agg(F.max("ts").alias("ts"))  # one row
+    return found.join(F.broadcast(newest), "ts", "left_semi").select("value")
+
+
 def stored(oplog: DataFrame, kind: str) -> DataFrame:
     """(name, value) of the live sketches of a kind."""
     found = live(oplog.where(F.col("key").startswith(kind)))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from stratalog.functions import sketches as sk
 from stratalog.functions.hashing import fnv1a_32, seeded
-from stratalog.operators import integrity
+from stratalog.operators import integrity, registry
 from stratalog.schema import OPLOG
 from stratalog.sources import records
 
@@ -113,3 +113,21 @@ def test_bloom_bytes_round_trip(spark):
     back = sk.bloom_unpack(sk.bloom_pack(bits, 283, 7))
     assert {(r.m, r.k, r.base) for r in back.collect()} == {(283, 7, sk.BASE)}
     assert sorted(r.slot for r in back.collect()) == sorted(r.slot for r in bits.collect())
+
+
+def test_large_filter_is_packed_in_pages(spark):
+    keys = spark.range(60_000).select(F.col("id").cast("string").alias("key"))
+    m = 2 * 8 * sk.PAGE + 4001
+    bits = sk.bloom(keys, m, 3)
+    packed = sk.bloom_pack(bits, m, 3)
+    raw = b"".join(bytes(r.packed)[24:] for r in packed.orderBy("page").collect())
+    assert packed.count() == 3 and len(raw) == (m + 7) // 8
+    want = bytearray(len(raw))
+    for r in bits.collect():
+        want[r.slot // 8] |= 128 >> r.slot % 8
+    assert raw == bytes(want)
+    assert sorted(r.slot for r in sk.bloom_unpack(packed).collect()) == sorted(r.slot for r in bits.collect())
+    older = registry.store_parts(packed.select(F.hex("packed").alias("v"), "page"), "BloomFilter", "x", "page", "v", 1)
+    newer = registry.store_parts(spark.createDataFrame([(0, "00")], "page long, v string"), "BloomFilter", "x", "page", "v", 2)
+    assert registry.load_parts(older, "BloomFilter", "x").count() == 3
+    assert [r.value for r in registry.load_parts(older.unionByName(newer), "BloomFilter", "x").collect()] == ["00"]
