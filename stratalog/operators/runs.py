@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratalog.functions.fold import by_group, ordered_fold
 from stratalog.functions.hashing import slots
-from stratalog.functions.sketches import BASE, bloom
+from stratalog.functions.sketches import BASE
 from stratalog.operators import memtable
 from stratalog.operators.state import current
 from stratalog.sources.shared import numbered, written
@@ -142,56 +142,114 @@ def overlap_counts(runs: DataFrame) -> DataFrame:
     return out.select("run", (F.col("begun") - F.col("ended") - 1).alias("n_overlaps"))
 
 
-def pruning_report(content: DataFrame, probes: DataFrame, m: int, k: int, run_block: int = 512, probe_block: int = 8192) -> DataFrame:
+CHUNK, TILE = 256, 8192  # probes and runs that are held against each other at once
+
+
+def _counted(rows: np.ndarray) -> np.ndarray:
+    """How often each bit is set in the rows of uint64 words; a power of two of rows, at most ``CHUNK``.
+
+    Rows are added two by two, bit by bit: plane i holds digit i of all counts.
+    """
+    planes = [rows]
+    while len(planes[0]) > 4:
+        half, carry, out = len(planes[0]) // 2, None, []
+        for x in planes:
+            a, b = x[:half], x[half:]
+            one, two = a ^ b, a & b
+            if carry is not None:
+                two |= one & carry
+                one ^= carry
+            out.append(one)
+            carry = two
+        planes = [*out, carry]
+    ones = [np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int32) for x in planes]
+    return sum(x << i for i, x in enumerate(ones))
+
+
+def _maybe(on: np.ndarray, need: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each run, how many probes its filter lets through, and how many of those in the places ``first`` to ``last``.
+
+    ``on`` has a row for each run and a column for each slot; ``need`` the slots of each probe, in the order of keys.
+    A word holds 64 runs' bits of a slot, so a probe is held against them by one AND for each of its slots.
+    """
+    k, m, places = need.shape[1], on.shape[1], -(-len(need) // CHUNK) * CHUNK
+    padded = np.full((places, k), m)  # slot m is set in no filter
+    padded[: len(need)] = need
+    total, inside = np.zeros(len(on), np.int64), np.zeros(len(on), np.int64)
+    for lo in range(0, len(on), TILE):
+        own = on[lo : lo + TILE]
+        n = len(own)
+        wide = np.zeros((m + 1, -(-n // 64) * 64), bool)
+        wide[:m, :n] = own.T
+        words = np.packbits(wide, axis=1, bitorder="little").view(np.uint64)
+        before = np.zeros((places // CHUNK + 1, n), np.int32)  # let through before each chunk
+        other = np.empty((CHUNK, words.shape[1]), np.uint64)
+        for c in range(places // CHUNK):
+            slot = padded[c * CHUNK : (c + 1) * CHUNK]
+            rows = words[slot[:, 0]]
+            for j in range(1, k):
+                rows &= np.take(words, slot[:, j], axis=0, out=other, mode="clip")
+            before[c + 1] = before[c] + _counted(rows)[:n]
+        total[lo : lo + n] = before[-1]
+        for at, sign in ((last[lo : lo + n], 1), (first[lo : lo + n], -1)):
+            count = before[at // CHUNK, np.arange(n)].astype(np.int64)
+            for i in np.flatnonzero(at % CHUNK):  # the begun chunk
+                count[i] += np.count_nonzero(own[i][need[at[i] // CHUNK * CHUNK : at[i]]].all(1))
+            inside[lo : lo + n] += sign * count
+    return total, inside
+
+
+def pruning_report(content: DataFrame, probes: DataFrame, m: int, k: int, run_block: int = 32768, probe_block: int = 65536) -> DataFrame:
     """For each run: how many distinct probe keys its filter, or its key range, rules out, and how many are read.
 
-    Packed filters of ``run_block`` runs meet ``probe_block`` sorted probes in
-    one task: the range test is two searches for each run, the filter test an
-    AND of k rows of bits, and only counts leave the task.  The probes are a
-    stated set that has to be held against every run, in blocks; no pair of a
-    run and a probe becomes a row.
+    Packed filters of ``run_block`` runs meet ``probe_block`` probes in one
+    task, which holds 64 runs against a probe by k words; the range test is two
+    places among the sorted probes for each run, and only counts leave the
+    task.  The probes are a stated set that has to be held against every run, in
+    blocks; no pair of a run and a probe becomes a row.
     """
     asked = probes.select("key").where("key is not null").distinct()
-    slot_list = F.transform(slots(F.col("key"), BASE, k, m), lambda s: s["slot"].cast("int"))
-    keys = written(asked.select("key", slot_list.alias("slots")), "probes")
+    packed = lambda of: F.unhex(F.array_join(of, ""))
+    fixed = lambda x, n: F.lpad(F.hex(x), n, "0")
+    slot_list = packed(F.transform(slots(F.col("key"), BASE, k, m), lambda s: fixed(s["slot"], 8)))
+    keys = written(numbered(asked.select("key", slot_list.alias("data")), "key"), "probes")
     content = written(content.select("run", "key", "tombstone"), "content")
-    bits = bloom(content, m, k, "run").groupBy("run").agg(F.collect_list(F.col("slot").cast("int")).alias("slots"))  # at most m of them
-    runs = written(manifest(content).join(bits, "run").select("run", "min_key", "max_key", "slots"), "filters")
+    set_slots = content.where("key is not null").select("run", F.explode(slots(F.col("key"), BASE, k, m)).alias("s")).select("run", F.col("s.slot").alias("slot"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("slot") % 64).cast("int"))
+    words = set_slots.groupBy("run", F.floor(F.col("slot") / 64).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits"))
+    cells = F.collect_list(F.concat(fixed(F.col("word"), 8), fixed(F.col("bits"), 16)))  # at most m / 64 of them
+    filters = words.groupBy("run").agg(packed(cells).alias("data"))
+    runs = written(manifest(content).join(filters, "run", "left").select("run", "min_key", "max_key", F.coalesce("data", F.lit(b"")).alias("data")), "filters")
     total = keys.count()
     n_runs, n_probes = max(1, -(-runs.count() // run_block)), max(1, -(-total // probe_block))
     part = lambda of, n, seed: F.pmod(F.xxhash64(F.lit(seed), of), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = runs.select(part("run", n_runs, 1).alias("r"), every(n_probes).alias("p"), "run", F.col("min_key").alias("low"), F.col("max_key").alias("high"), "slots")
-    right = keys.select(every(n_runs).alias("r"), part("key", n_probes, 2).alias("p"), F.lit(None).cast("long").alias("run"), F.col("key").alias("low"), F.lit(None).cast("string").alias("high"), "slots")
-    rows = left.unionByName(right).select(F.xxhash64("r", "p").alias("block"), "run", "low", "high", "slots").repartition("block").sortWithinPartitions("block")
+    # No null in these rows: Spark's Arrow writer walks back over a column's nulls at every row.
+    low, high = F.coalesce("min_key", F.lit("")), F.coalesce("max_key", F.lit(""))
+    left = runs.select(part("run", n_runs, 1).alias("r"), every(n_probes).alias("p"), F.lit(True).alias("filter"), "run", low.alias("low"), high.alias("high"), "data")
+    right = keys.select(every(n_runs).alias("r"), F.floor((F.col("rn") - 1) / probe_block).cast("int").alias("p"), F.lit(False).alias("filter"), F.lit(0).cast("long").alias("run"), F.col("key").alias("low"), F.lit("").alias("high"), "data")
+    block = (F.col("r").cast("long") * n_probes + F.col("p")).alias("block")
+    rows = left.unionByName(right).select(block, "filter", "run", "low", "high", "data").repartition(min(n_runs * n_probes, 4096), "block").sortWithinPartitions("block")
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in by_group(batches):
-            run, low, high = (table[c].to_pylist() for c in ("run", "low", "high"))
-            of = table["slots"].combine_chunks()
-            ends = np.asarray(of.offsets)
-            flat = np.asarray(of.values)
-            filters = [i for i, x in enumerate(run) if x is not None]
-            ask = sorted((low[i].encode(), i) for i, x in enumerate(run) if x is None)
-            if not filters or not ask:
+            own, ask = table.filter(table["filter"]), table.filter(pc.invert(table["filter"]))
+            n, n_ask = own.num_rows, ask.num_rows
+            if not n or not n_ask:
                 continue
-            names, order = [x for x, _ in ask], [i for _, i in ask]
-            on = np.zeros((m, len(filters)), bool)
-            for n, i in enumerate(filters):
-                on[flat[ends[i] : ends[i + 1]], n] = True
-            first = np.array([bisect_left(names, low[i].encode()) for i in filters])
-            last = np.array([bisect_right(names, high[i].encode()) for i in filters])
-            read, out = np.zeros(len(filters), np.int64), np.zeros(len(filters), np.int64)
-            for at in range(0, len(order), 1024):
-                need = np.stack([flat[ends[i] : ends[i + 1]] for i in order[at : at + 1024]])
-                maybe = on[need[:, 0]]
-                for j in range(1, k):
-                    maybe = maybe & on[need[:, j]]
-                place = np.arange(at, at + len(need))[:, None]
-                inside = (place >= first) & (place < last)
-                read += (maybe & inside).sum(0)
-                out += (maybe & ~inside).sum(0)
-            yield pa.RecordBatch.from_arrays([pa.array([run[i] for i in filters], pa.int64()), pa.array(out), pa.array(read)], names=["run", "n_range", "n_read"])
+            # A run's first key stands before an equal probe, its last key behind it.
+            ends = pa.table({"key": pa.chunked_array([*own["low"].chunks, *ask["low"].chunks, *own["high"].chunks]), "kind": np.repeat([0, 1, 2], [n, n_ask, n])})
+            order = np.asarray(pc.sort_indices(ends, sort_keys=[("key", "ascending"), ("kind", "ascending")])).astype(np.int64)
+            probe = (order >= n) & (order < n + n_ask)
+            place = np.empty(len(order), np.int64)
+            place[order] = np.cumsum(probe)
+            need = np.frombuffer(b"".join(ask["data"].to_pylist()), ">i4").astype(np.int32).reshape(n_ask, k)[order[probe] - n]
+            cells = np.frombuffer(b"".join(own["data"].to_pylist()), [("word", ">i4"), ("bits", ">i8")])
+            filters = np.zeros((n, -(-m // 64)), np.int64)
+            filters[np.repeat(np.arange(n), pc.binary_length(own["data"]).to_numpy() // 12), cells["word"]] = cells["bits"]
+            on = np.unpackbits(filters.view(np.uint8), axis=1, bitorder="little")[:, :m].view(bool)
+            passed, read = _maybe(on, need, place[:n], place[n + n_ask :])
+            yield pa.RecordBatch.from_arrays([own["run"].combine_chunks(), pa.array(passed - read), pa.array(read)], names=["run", "n_range", "n_read"])
 
     sums = rows.mapInArrow(counts, "run long, n_range long, n_read long").groupBy("run").agg(F.sum("n_range").alias("n_range"), F.sum("n_read").alias("n_read"))
     n_range, n_read = F.coalesce("n_range", F.lit(0)), F.coalesce("n_read", F.lit(0))

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -280,3 +281,21 @@ def test_overlaps_with_equal_ends(spark):
     want = {i: sum(j != i and lo <= b and a <= hi for j, (a, b) in enumerate(ranges)) for i, (lo, hi) in enumerate(ranges)}
     assert {r.run: r.n_overlaps for r in runs.overlap_counts(table).collect()} == want
     assert runs.overlap_counts(table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n,m,asked", [(3, 40, 5), (130, 64, 700), (70, 250, 1024)])
+def test_filters_held_against_probes_in_words(n, m, asked):
+    rng = np.random.default_rng(n)
+    on, need = rng.random((n, m)) < 0.6, rng.integers(0, m, (asked, 3)).astype(np.int32)
+    first, last = np.sort(rng.integers(0, asked + 1, (2, n)), axis=0)
+    passed, read = runs._maybe(on, need, first, last)
+    for i in range(n):
+        maybe = on[i][need].all(1)
+        assert (passed[i], read[i]) == (maybe.sum(), maybe[first[i] : last[i]].sum())
+
+
+def test_pruning_with_runs_of_null_keys(spark):
+    content = spark.createDataFrame([(1, None, False), (2, "b", False), (2, None, False)], "run long, key string, tombstone boolean")
+    probes = spark.createDataFrame([("a",), ("b",)], "key string")
+    got = {r.run: (r.n_bloom, r.n_range, r.n_read) for r in runs.pruning_report(content, probes, 1000, 5).collect()}
+    assert got == {1: (2, 0, 0), 2: (1, 0, 1)}
