@@ -148,6 +148,30 @@ def simhash_token(word: Column) -> Column:
     return out
 
 
+SLICE_WORDS = 1 << 18  # words that a task counts at once; a longer text is alone
+
+
+def _listed(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, words): words between single spaces, empty ones too."""
+    return texts.where(F.col(text).isNotNull()).select(key, F.transform(F.split(F.col(text), " ", -1), simhash_token).alias("words"))
+
+
+def _counted(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Slices of a batch: keys, vocabulary, words' numbers by row, their counts, where each row's begin, and rows' sizes."""
+    keys, lists = batch.column(0), batch.column(1)
+    every, ends = lists.flatten(), np.asarray(lists.offsets).astype(np.int64)
+    ends -= ends[0]
+    i = 0
+    while i < len(keys):
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + SLICE_WORDS, "right")) - 1)
+        sizes = np.diff(ends[i : j + 1])
+        coded = every.slice(ends[i], ends[j] - ends[i]).dictionary_encode()
+        wide = len(coded.dictionary)
+        own, n = np.unique(np.repeat(np.arange(j - i), sizes) * wide + np.asarray(coded.indices), return_counts=True)
+        yield keys.slice(i, j - i), coded.dictionary, own % wide, n, np.searchsorted(own, np.arange(j - i + 1) * wide), sizes
+        i = j
+
+
 def simhash_tokens(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, word, n): words between single spaces, empty ones too, with their counts."""
     word = F.explode(F.split(F.col(text), " ", -1))
@@ -160,28 +184,24 @@ def simhash(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     A word's 256 bits are the ASCII bits of its MD5 in hex; a place is 1 where
     more than half of the text's words (repeats count) have it.  A text is one
     row, so its votes are summed there: nothing is exchanged, and what a task
-    holds is one batch's distinct words.
+    holds is one slice's distinct words.
     """
-    words = F.transform(F.split(F.col(text), " ", -1), simhash_token)
     schema = T.StructType([texts.schema[key], T.StructField("fingerprint", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
-            coded = lists.flatten().dictionary_encode()
-            number = np.asarray(coded.indices)
-            digest = np.frombuffer("".join(md5(w.encode()).hexdigest() for w in coded.dictionary.to_pylist()).encode(), np.uint8).reshape(-1, 32)
-            ends = np.asarray(lists.offsets) - lists.offsets[0].as_py()
-            out = []
-            for lo, hi in pairwise(ends.tolist()):
-                own, n = np.unique(number[lo:hi], return_counts=True)
-                votes = np.zeros(256)
-                for i in range(0, len(own), 4096):
-                    votes += n[i : i + 4096] @ np.unpackbits(digest[own[i : i + 4096]], axis=1).astype(np.float64)
-                out.append(((2 * votes > hi - lo) + ord("0")).astype(np.uint8).tobytes().decode())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=schema.names)
-
-    return texts.where(F.col(text).isNotNull()).select(key, words.alias("words")).mapInArrow(run, schema)
+            for keys, words, own, n, begins, sizes in _counted(batch):
+                digest = np.frombuffer("".join(md5(w.encode()).hexdigest() for w in words.to_pylist()).encode(), np.uint8).reshape(-1, 32)
+                out = []
+                for (lo, hi), size in zip(pairwise(begins.tolist()), sizes.tolist(), strict=True):
+                    votes = np.zeros(256)
+                    for i in range(lo, hi, 1024):
+                        part = slice(i, min(i + 1024, hi))
+                        votes += n[part] @ np.unpackbits(digest[own[part]], axis=1).astype(np.float64)
+                    out.append(((2 * votes > size) + ord("0")).astype(np.uint8).tobytes().decode())
+                yield pa.RecordBatch.from_arrays([keys, pa.array(out, pa.string())], names=schema.names)
+
+    return _listed(texts, key, text).mapInArrow(run, schema)
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -2,6 +2,7 @@
 
 import hashlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from stratalog.functions import sketches as sk
@@ -131,3 +132,9 @@ def test_large_filter_is_packed_in_pages(spark):
     newer = registry.store_parts(spark.createDataFrame([(0, "00")], "page long, v string"), "BloomFilter", "x", "page", "v", 2)
     assert registry.load_parts(older, "BloomFilter", "x").count() == 3
     assert [r.value for r in registry.load_parts(older.unionByName(newer), "BloomFilter", "x").collect()] == ["00"]
+
+
+def test_fingerprints_are_made_slice_by_slice(spark):
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([["a"] * sk.SLICE_WORDS, ["b"] * sk.SLICE_WORDS, ["c", "b"]])], names=["doc_id", "words"])
+    parts = list(sk._counted(batch))
+    assert [(x[0].to_pylist(), x[1].to_pylist(), x[3].tolist()) for x in parts] == [([1], ["a"], [sk.SLICE_WORDS]), ([2], ["b"], [sk.SLICE_WORDS]), ([3], ["c", "b"], [1, 1])]
