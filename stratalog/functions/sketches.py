@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratalog.functions.hashing import fnv1a_32, slots
+from stratalog.sources.shared import written
 
 BASE = 1_700_000_000  # seeds are a parameter, so that sketches can be made again and merged
 
@@ -173,9 +174,26 @@ def _counted(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array, np.nda
 
 
 def simhash_tokens(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, word, n): words between single spaces, empty ones too, with their counts."""
-    word = F.explode(F.split(F.col(text), " ", -1))
-    return texts.select(key, word.alias("w")).select(key, simhash_token(F.col("w")).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
+    """(key, word, n): words between single spaces, empty ones too, with their counts.
+
+    A text is one row, so its words are counted there and not exchanged; only
+    texts whose key other texts have too are counted by key.
+    """
+    schema = T.StructType([texts.schema[key], T.StructField("word", T.StringType()), T.StructField("n", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys, words, own, n, begins, _ in _counted(batch):
+                rows = np.repeat(np.arange(len(keys)), np.diff(begins))
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(rows)), words.take(pa.array(own)), pa.array(n, pa.int64())], names=schema.names)
+
+    count = lambda of: _listed(of, key, text).mapInArrow(run, schema)
+    again = written(texts.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(F.col(key).alias("__again")), "again")
+    if again.isEmpty():
+        return count(texts)
+    same = F.col(key).eqNullSafe(F.col("__again"))
+    several = count(texts.join(again, same, "left_semi")).groupBy(key, "word").agg(F.sum("n").alias("n"))
+    return count(texts.join(again, same, "left_anti")).unionByName(several)
 
 
 def simhash(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

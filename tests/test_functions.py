@@ -134,6 +134,18 @@ def test_large_filter_is_packed_in_pages(spark):
     assert [r.value for r in registry.load_parts(older.unionByName(newer), "BloomFilter", "x").collect()] == ["00"]
 
 
+def test_words_are_counted_without_exchanging_them(spark, monkeypatch):
+    rows = [(1, "a  b a"), (2, None), (3, "ß. b"), (1, "a c"), (None, "x"), (None, "x y"), (4, "")]
+    texts = spark.createDataFrame(rows, "doc_id int, text string")
+    want = {(1, "A", 3), (1, "", 1), (1, "B", 1), (1, "C", 1), (3, "ẞ", 1), (3, "B", 1), (None, "X", 2), (None, "Y", 1), (4, "", 1)}
+    for most in (1 << 17, 3, 1):
+        monkeypatch.setattr(sk, "SLICE_WORDS", most)
+        got = list(map(tuple, sk.simhash_tokens(texts).collect()))
+        assert len(got) == len(want) and set(got) == want
+    plan = sk.simhash_tokens(texts.where("doc_id > 2"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
 def test_fingerprints_are_made_slice_by_slice(spark):
     batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([["a"] * sk.SLICE_WORDS, ["b"] * sk.SLICE_WORDS, ["c", "b"]])], names=["doc_id", "words"])
     parts = list(sk._counted(batch))
