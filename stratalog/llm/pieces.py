@@ -42,8 +42,9 @@ _FREE = np.int64(-1)
 class PieceCoder:
     """Encoder and decoder for one model file.
 
-    ``lockstep`` is the longest chunk for the lockstep agenda, ``memory`` the
-    number of remembered chunks beyond which only the latest texts' stay.
+    ``lockstep`` is the longest chunk for the lockstep agenda.  Once more than
+    ``memory`` chunks are remembered, the short ones become ``older`` in place of
+    those before; an older chunk that is met again is remembered anew.
     """
 
     def __init__(self, path: str, lockstep: int = 48, memory: int = 200_000, check: bool = True):
@@ -59,6 +60,7 @@ class PieceCoder:
         self.cut = not any(MARK in p.lstrip(MARK) for p in self.ids)
         self.find = re.compile(f"{MARK}+[^{MARK}]*" if self.cut else r"(?s:.+)").findall
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         _, order = np.unique([-lib.get_score(i) for i in plain], return_inverse=True)
         self.order = dict(zip(plain, order.tolist(), strict=True))
         pairs = {}
@@ -234,14 +236,19 @@ class PieceCoder:
         chunks = list(chain.from_iterable(cut))
         coded = list(map(self.known.get, chunks))
         if missing := {c for c, ids in zip(chunks, coded, strict=True) if ids is None}:
-            here = self._learn(list(missing))
+            here = {c: ids for c in missing if (ids := self.older.get(c)) is not None}
+            if new := list(missing - here.keys()):
+                here |= self._learn(new)
             self.known |= here
             coded = list(map(self.known.get, chunks))
             if len(self.known) > self.memory:
-                self.known = {c: ids for c, ids in zip(chunks, coded, strict=True) if len(c) <= self.lockstep}
+                self.older, self.known = self.short(), {}
         ends = np.cumsum([0, *map(len, cut)]).tolist()
         return [list(chain.from_iterable(coded[i:j])) for i, j in pairwise(ends)]
 
+    def short(self) -> dict[str, tuple[int, ...]]:
+        return {c: ids for c, ids in self.known.items() if len(c) <= self.lockstep}
+
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.lib.decode(ids) if ids else []
 
@@ -253,6 +260,19 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+_coders: dict[str, PieceCoder] = {}
+
+
+def coder_of(path: str) -> PieceCoder:
+    """The model's coder, with the short chunks that this worker's tasks before have remembered."""
+    if path not in _coders:
+        _coders.clear()  # one at most
+        _coders[path] = PieceCoder(path)
+    coder = _coders[path]
+    coder.known = coder.short()
+    return coder
+
+
 def encode(docs: DataFrame, model: str | None = None, text: str = "text", add_end: bool = True, decode: bool = True) -> DataFrame:
     """``docs`` with ``piece_ids`` (array of int) and, if asked for, ``decoded`` text.
 
@@ -268,7 +288,7 @@ def encode(docs: DataFrame, model: str | None = None, text: str = "text", add_en
     where = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = PieceCoder(model or model_path())
+        coder = coder_of(model or model_path())
         gc.disable()  # many small tuples and no cycles: walks over them would cost more than the encoding
         try:
             yield from coded(coder, batches)

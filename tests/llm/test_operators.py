@@ -627,6 +627,24 @@ def test_long_chunks(docs):
     assert coder.encode(texts) == coder.lib.encode(texts)
 
 
+def test_chunks_are_remembered_for_the_next_task():
+    coder = pieces.coder_of(pieces.model_path())
+    want = coder.lib.encode(["one two three", "x" * 300])
+    assert coder.encode(["one two three", "x" * 300]) == want
+    again = pieces.coder_of(pieces.model_path())
+    assert again is coder and again.known and all(len(c) <= again.lockstep for c in again.known)
+
+
+def test_older_chunks_are_not_learnt_again():
+    coder = pieces.PieceCoder(pieces.model_path(), memory=2)
+    learnt, learn = [], coder._learn
+    coder._learn = lambda chunks: learnt.extend(chunks) or learn(chunks)
+    for text in ("one two three", "four", "one"):
+        assert coder.encode([text]) == coder.lib.encode([text])
+        assert len(coder.known) <= 3
+    assert sorted(learnt) == ["▁four", "▁one", "▁three", "▁two"]
+
+
 # --- op10 ---
 
 
