@@ -6,7 +6,8 @@ allow a score as good as the kth it already has; that comes from a first pass
 over the cell of its best center.  In a task a block's cover tree is built once,
 the queries that reached it come in batches, and both trees are descended
 together: a pair of nodes is left out when even the best score their covering
-radii allow is below the worst kth score of the node's queries.
+radii allow is below the worst kth score of the node's queries.  Pairs that are
+left are multiplied in tiles.
 """
 
 from __future__ import annotations
@@ -16,13 +17,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalog.llm.store import written
 
 LEAF = 48
 CHILDREN = 64
+TILE = 1 << 20  # pairs multiplied at once
+TALL = 512  # queries in such a tile
 NONE = np.iinfo(np.int64).min
 
 
@@ -31,96 +34,166 @@ class CoverTree:
 
     A node's children are a net of its rows: centers are taken farthest first
     until every row is within half the node's radius of one (or there are
-    ``CHILDREN``); the node's own center is the first child's.
+    ``CHILDREN``, or one for ``LEAF`` rows); the node's own center is the first
+    child's.  Unless ``whole``, children are made when they are first asked for.
     """
 
-    def __init__(self, points: np.ndarray):
+    def __init__(self, points: np.ndarray, whole: bool = True):
         self.points = points
         self.order = np.arange(len(points))
         self.nodes: list[tuple[int, int, int, float, list[int]]] = []  # lo, hi, center, radius, children
-        self._build(0, len(points), 0)
-
-    def _far(self, rows: np.ndarray, center: int) -> np.ndarray:
-        return np.sqrt(((self.points[rows] - self.points[center]) ** 2).sum(1))
-
-    def _build(self, lo: int, hi: int, center: int) -> int:
-        todo, root = [(lo, hi, center, -1)], 0
-        while todo:
-            lo, hi, center, parent = todo.pop()
-            rows = self.order[lo:hi]
-            near = self._far(rows, center)
-            radius = float(near.max())
-            self.nodes.append((lo, hi, center, radius, []))
-            me = len(self.nodes) - 1
-            if parent >= 0:
-                self.nodes[parent][4].append(me)
-            if hi - lo <= LEAF or radius == 0:
-                continue
-            centers, mine = [center], np.zeros(hi - lo, np.int64)
-            while near.max() > radius / 2 and len(centers) < CHILDREN:
-                new = int(rows[near.argmax()])
-                far = self._far(rows, new)
-                closer = far < near
-                mine[closer], near = len(centers), np.minimum(near, far)
-                centers.append(new)
-            by = np.argsort(mine, kind="stable")
-            self.order[lo:hi] = rows[by]
-            ends = lo + np.cumsum(np.bincount(mine, minlength=len(centers)))
-            for c, (a, b) in zip(centers, zip([lo, *ends[:-1].tolist()], ends.tolist(), strict=True), strict=True):
-                if a < b:
-                    todo.append((a, b, c, me))
-        return root
+        self.made: list[bool] = []
+        self._node(0, len(points), 0, float(self._far(points, 0).max()))
+        me = 0
+        while whole and me < len(self.nodes):
+            self.children(me)
+            me += 1
+
+    def _node(self, lo: int, hi: int, center: int, radius: float) -> int:
+        self.nodes.append((lo, hi, center, radius, []))
+        self.made.append(False)
+        return len(self.nodes) - 1
+
+    def _far(self, points: np.ndarray, center: int) -> np.ndarray:
+        away = points - self.points[center]
+        return np.sqrt(np.einsum("ij,ij->i", away, away))
+
+    def children(self, me: int) -> list[int]:
+        lo, hi, center, radius, kids = self.nodes[me]
+        if self.made[me]:
+            return kids
+        self.made[me] = True
+        if hi - lo <= LEAF or radius == 0:
+            return kids
+        rows = self.order[lo:hi]
+        points = self.points[rows]
+        near = self._far(points, center)
+        centers, mine = [center], np.zeros(hi - lo, np.int64)
+        while near.max() > radius / 2 and len(centers) < min(CHILDREN, -(-(hi - lo) // LEAF)):
+            new = int(rows[near.argmax()])
+            far = self._far(points, new)
+            closer = far < near
+            mine[closer], near = len(centers), np.minimum(near, far)
+            centers.append(new)
+        by = np.argsort(mine, kind="stable")
+        self.order[lo:hi], near = rows[by], near[by]
+        ends = np.cumsum(np.bincount(mine, minlength=len(centers))).tolist()
+        for c, a, b in zip(centers, [0, *ends[:-1]], ends, strict=True):
+            if a < b:
+                kids.append(self._node(lo + a, lo + b, c, float(near[a:b].max())))
+        return kids
+
+
+class Best:
+    """The k best of what each query was shown; ``worst`` is a score that a better one has to reach, ``NONE`` where any will do."""
+
+    def __init__(self, k: int, floor: np.ndarray):
+        self.k, self.worst = k, np.where(floor > NONE, floor, NONE).astype(np.int64)
+        self.held = [(np.zeros(0, np.int64),) * 3]
+        self.new, self.most = 0, max(1 << 16, 2 * k * len(floor))
+
+    def add(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        self.held.append((rows, scores, ids))
+        self.new += len(rows)
+        if self.new > self.most:
+            self.sort()
+
+    def sort(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, place, score, id) of what is kept, by row and place."""
+        rows, scores, ids = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        at = np.lexsort((ids, ~scores, rows))  # ~x falls as x grows and cannot overflow
+        rows, scores, ids = rows[at], scores[at], ids[at]
+        first = np.flatnonzero(np.diff(rows, prepend=-1))
+        place = np.arange(len(rows)) - np.repeat(first, np.diff(first, append=len(rows)))
+        kept = place < self.k
+        rows, place, scores, ids = rows[kept], place[kept], scores[kept], ids[kept]
+        self.held, self.new = [(rows, scores, ids)], 0
+        last = place == self.k - 1
+        self.worst[rows[last]] = np.maximum(self.worst[rows[last]], scores[last])
+        return rows, place, scores, ids
 
 
 def dual_search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, points: np.ndarray, floor: np.ndarray, k: int, tree: CoverTree | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Scores and ids of each query's k best points (its own id left out), ``NONE`` where there are fewer.
 
-    Scores below a query's ``floor`` may be missing.  Rows are integers; where
-    float64 could round their products, they are multiplied as integers.
+    Scores below a query's ``floor`` are missing.  Rows are integers.  No
+    partial sum of a product exceeds the product of the norms, so below 2**24
+    float32 makes no rounding, below 2**53 float64; others are multiplied as
+    integers.
+
+    A pair of nodes of up to ``TILE`` pairs of rows is multiplied.  Of a larger
+    one both nodes' children are held against each other: where at least half of
+    the pairs of rows is left out, or no worst score is known yet, the rest goes
+    on, best bound first; otherwise the pair is multiplied, in tiles.
     """
-    q, p = CoverTree(queries.astype(np.float64)), tree or CoverTree(points.astype(np.float64))
-    top = np.full((len(queries), k), NONE, np.int64)
-    best = np.full((len(queries), k), np.iinfo(np.int64).max, np.int64)
-    largest = float(np.abs(q.points).max(initial=0)) * float(np.abs(p.points).max(initial=0)) * queries.shape[1]
-    exact = largest < 2**53
-    slack = 1.0 + largest * 1e-12
-    worst = floor.astype(np.float64)
+    q, p = CoverTree(queries.astype(np.float64), whole=False), tree or CoverTree(points.astype(np.float64), whole=False)
     norm_q, norm_p = np.sqrt((q.points**2).sum(1)), np.sqrt((p.points**2).sum(1))
-
-    def bound(a: int, b: int) -> float:
-        _, _, ca, ra, _ = q.nodes[a]
-        _, _, cb, rb, _ = p.nodes[b]
-        return float(q.points[ca] @ p.points[cb]) + norm_q[ca] * rb + norm_p[cb] * ra + ra * rb
-
-    todo = [(bound(0, 0), 0, 0)]
+    largest = float(norm_q.max(initial=0)) * float(norm_p.max(initial=0))
+    kind = np.float32 if largest < 2**24 * 0.999 else np.float64 if largest < 2**53 * 0.999 else np.int64
+    lowest = NONE if kind is np.int64 else -np.inf
+    q_rows, p_rows = queries.astype(kind), points.astype(kind)
+    slack = 1.0 + largest * 1e-10
+    best = Best(k, floor)
+    by = np.argsort(ids, kind="stable")
+    first, last = np.searchsorted(ids[by], query_ids, "left"), np.searchsorted(ids[by], query_ids, "right")
+    own_q = np.repeat(np.arange(len(queries)), last - first)
+    own_p = by[np.arange(len(own_q)) - np.repeat(np.cumsum(last - first) - last, last - first)]
+
+    def bounds(a: list[int], b: list[int]) -> np.ndarray:
+        ca, cb = [q.nodes[x][2] for x in a], [p.nodes[x][2] for x in b]
+        ra, rb = np.array([q.nodes[x][3] for x in a])[:, None], np.array([p.nodes[x][3] for x in b])[None, :]
+        return q.points[ca] @ p.points[cb].T + norm_q[ca][:, None] * rb + norm_p[cb][None, :] * ra + ra * rb
+
+    def multiply(rows: np.ndarray, columns: np.ndarray) -> None:
+        wide = TILE // min(len(rows), TALL)
+        at_q, at_p = np.full(len(queries), -1), np.full(len(points), -1)
+        for left in range(0, len(columns), wide):
+            c = columns[left : left + wide]
+            turned = p_rows[c].T
+            at_p[:], at_p[c] = -1, np.arange(len(c))
+            for top in range(0, len(rows), TALL):
+                r = rows[top : top + TALL]
+                score = q_rows[r] @ turned
+                at_q[:], at_q[r] = -1, np.arange(len(r))
+                i, j = at_q[own_q], at_p[own_p]
+                here = (i >= 0) & (j >= 0)
+                score[i[here], j[here]] = lowest
+                hit = score >= np.maximum(best.worst[r], NONE + 1).astype(kind)[:, None]
+                if np.count_nonzero(hit) > 4 * k * len(r):
+                    many = np.flatnonzero(hit.sum(1) > 4 * k)
+                    kth = np.partition(score[many], -k, axis=1)[:, -k]
+                    hit[many] = score[many] >= kth[:, None]
+                    best.worst[r[many]] = kth.astype(np.int64)
+                i, j = np.divmod(np.flatnonzero(hit), len(c))
+                best.add(r[i], score[i, j].astype(np.int64), ids[c[j]])
+
+    todo = [(float(bounds([0], [0])[0, 0]), 0, 0)]
     while todo:
         most, a, b = todo.pop()
-        lo, hi, _, ra, ka = q.nodes[a]
-        rows = q.order[lo:hi]
-        if most + slack < worst[rows].min():
+        lo, hi = q.nodes[a][:2]
+        rows, columns = q.order[lo:hi], p.order[slice(*p.nodes[b][:2])]
+        worst = best.worst[rows].min()
+        if most + slack < float(worst):
             continue
-        lo, hi, _, rb, kb = p.nodes[b]
-        if not ka and not kb:
-            own = p.order[lo:hi]
-            score = (q.points[rows] @ p.points[own].T).astype(np.int64) if exact else queries[rows] @ points[own].T
-            other = np.broadcast_to(ids[own], score.shape)
-            score = np.where(other == query_ids[rows, None], NONE, score)
-            score, other = np.concatenate([top[rows], score], 1), np.concatenate([best[rows], other], 1)
-            other = np.where(score == NONE, np.iinfo(np.int64).max, other)
-            at = np.lexsort((other, ~score), axis=1)[:, :k]  # ~x falls as x grows and cannot overflow
-            top[rows], best[rows] = np.take_along_axis(score, at, 1), np.take_along_axis(other, at, 1)
-            kth = top[rows, k - 1]
-            worst[rows] = np.maximum(worst[rows], np.where(kth == NONE, -np.inf, kth))
-        elif kb and (not ka or rb >= ra):
-            todo += sorted((bound(a, c), a, c) for c in kb)
-        else:
-            todo += sorted((bound(c, b), c, b) for c in ka)
-    return top, best
+        if len(rows) * len(columns) > TILE:
+            ka, kb = q.children(a) or [a], p.children(b) or [b]
+            if (ka, kb) != ([a], [b]):
+                most = bounds(ka, kb)
+                goes = most + slack >= np.array([float(best.worst[q.order[slice(*q.nodes[x][:2])]].min()) for x in ka])[:, None]
+                pairs = np.outer([q.nodes[x][1] - q.nodes[x][0] for x in ka], [p.nodes[x][1] - p.nodes[x][0] for x in kb])
+                if worst == NONE or 2 * pairs[goes].sum() <= pairs.sum():
+                    todo += sorted((float(most[i, j]), ka[i], kb[j]) for i, j in zip(*np.nonzero(goes), strict=True))
+                    continue
+        multiply(rows, columns)
+    rows, place, scores, found = best.sort()
+    top, other = np.full((len(queries), k), NONE, np.int64), np.full((len(queries), k), np.iinfo(np.int64).max, np.int64)
+    top[rows, place], other[rows, place] = scores, found
+    return top, other
 
 
 @dataclass
 class Cells:
-    """Centers (one matrix for each vector length) and, once measured, each cell's rows, blocks and covering radius.
+    """Centers (one matrix for each vector length) and, once measured, each cell's blocks, its first block's number and its covering radius.
 
     A cell's number is its center's row; a length without centers has one cell,
     of unbounded radius.
@@ -128,6 +201,7 @@ class Cells:
 
     centers: dict[int, np.ndarray]
     blocks: dict[tuple[int, int], int]
+    first: dict[tuple[int, int], int]
     radius: dict[tuple[int, int], float]
 
     def far(self, v: np.ndarray) -> np.ndarray:
@@ -165,7 +239,7 @@ def dealt(vectors: DataFrame, count: int, size: int) -> tuple[DataFrame, Cells]:
     centers: dict[int, list] = {}
     for r in vectors.orderBy(F.xxhash64(F.lit(3), "vec_id")).limit(count).collect():
         centers.setdefault(len(r.v), []).append(r.v)
-    cells = Cells({n: np.unique(np.array(x, np.float64).reshape(len(x), n), axis=0) for n, x in centers.items()}, {}, {})
+    cells = Cells({n: np.unique(np.array(x, np.float64).reshape(len(x), n), axis=0) for n, x in centers.items()}, {}, {}, {})
     shared = spark.sparkContext.broadcast(cells)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,15 +254,12 @@ def dealt(vectors: DataFrame, count: int, size: int) -> tuple[DataFrame, Cells]:
 
     placed = written(vectors.select("vec_id", "v").mapInArrow(run, "vec_id long, v array<long>, cell int, away double"), "cells").withColumn("length", F.size("v"))
     for r in placed.groupBy("length", "cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect():
+        cells.first[r.length, r.cell] = sum(cells.blocks.values())
         cells.blocks[r.length, r.cell] = -(-r.n // size)
         cells.radius[r.length, r.cell] = r.radius
-    parts = spark.createDataFrame([(*at, n) for at, n in cells.blocks.items()] or [(0, 0, 1)], "length int, cell int, parts int")
+    parts = spark.createDataFrame([(*at, cells.first[at], n) for at, n in cells.blocks.items()] or [(0, 0, 0, 1)], "length int, cell int, first int, parts int")
     out = placed.join(F.broadcast(parts), ["length", "cell"])  # one row for each cell
-    return out.select("vec_id", "v", "length", "cell", _block("length", "cell", F.pmod(F.xxhash64(F.lit(1), "vec_id"), "parts")).alias("block")), cells
-
-
-def _block(length: str, cell: str, part: Column) -> Column:
-    return F.xxhash64(F.col(length), F.col(cell), part.cast("int"))
+    return out.select("vec_id", "v", "length", "cell", (F.col("first") + F.pmod(F.xxhash64(F.lit(1), "vec_id"), "parts")).cast("int").alias("block")), cells
 
 
 def reached(queries: DataFrame, cells: Cells, first: bool) -> DataFrame:
@@ -199,7 +270,7 @@ def reached(queries: DataFrame, cells: Cells, first: bool) -> DataFrame:
     query's floor.
     """
     shared = queries.sparkSession.sparkContext.broadcast(cells)
-    schema = "vec_id long, v array<long>, floor long, length int, cell int, part int"
+    schema = "vec_id long, v array<long>, floor long, cell int, block int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = shared.value
@@ -224,22 +295,23 @@ def reached(queries: DataFrame, cells: Cells, first: bool) -> DataFrame:
                     i, j = np.repeat(i, parts), np.repeat(j, parts)
                     done = (np.array(own)[j] == np.asarray(batch.column(3))[on][i]) & (part == 0)
                     i, j, part = i[~done], j[~done], part[~done]
+                block = np.array([cells.first[size, x] for x in own])[j] + part
                 for lo in range(0, len(i), 8192):
                     rows = pa.array(on[i[lo : lo + 8192]])
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(rows), batch.column(1).take(rows), batch.column(2).take(rows), pa.array(np.full(len(rows), size, np.int32)), pa.array(np.array(own, np.int32)[j[lo : lo + 8192]]), pa.array(part[lo : lo + 8192].astype(np.int32))],
-                        names=["vec_id", "v", "floor", "length", "cell", "part"],
+                        [batch.column(0).take(rows), batch.column(1).take(rows), batch.column(2).take(rows), pa.array(np.array(own, np.int32)[j[lo : lo + 8192]]), pa.array(block[lo : lo + 8192].astype(np.int32))],
+                        names=["vec_id", "v", "floor", "cell", "block"],
                     )
 
-    out = queries.select("vec_id", "v", "floor", "seen").mapInArrow(run, schema)
-    return out.withColumn("block", _block("length", "cell", F.col("part")))
+    return queries.select("vec_id", "v", "floor", "seen").mapInArrow(run, schema)
 
 
-def searched(data: DataFrame, asks: DataFrame, k: int, query_parts: int) -> DataFrame:
-    """(query_id, vec_id, score): each block's best for each query that reached it.
+def searched(data: DataFrame, asks: DataFrame, k: int, blocks: int, query_parts: int) -> DataFrame:
+    """(query_id, vec_id, score): each block's best for each query that reached it, scores below its floor left out.
 
-    A block and a part of its queries meet in one task.  The block's rows come
-    first and make its tree; the queries stream by.
+    A block and a part of its queries meet in a task of their own, since work is
+    rows times queries: tasks merged by their bytes would be few and long.  The
+    block's rows come first and make its tree; the queries stream by.
     """
     part = F.pmod(F.xxhash64(F.lit(2), "vec_id"), F.lit(query_parts)).cast("int")
     left = data.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1)))) if query_parts > 1 else data.withColumn("part", F.lit(0))
@@ -264,17 +336,18 @@ def searched(data: DataFrame, asks: DataFrame, k: int, query_parts: int) -> Data
                     continue
                 if made is None:
                     own, points = (np.concatenate(x) for x in zip(*held, strict=True))
-                    _, once = np.unique(np.concatenate([own[:, None], points], 1), axis=0, return_index=True)
-                    own, points = own[once], points[once]
-                    made = own, points, CoverTree(points.astype(np.float64))
+                    if len(np.unique(own)) < len(own):
+                        _, once = np.unique(np.concatenate([own[:, None], points], 1), axis=0, return_index=True)
+                        own, points = own[once], points[once]
+                    made = own, points, CoverTree(points.astype(np.float64), whole=False)
                 own, points, tree = made
-                floor = np.asarray(part.column(5))
-                top, best = dual_search(ids, v, own, points, np.where(floor == NONE, -np.inf, floor.astype(np.float64)), k, tree)
+                top, best = dual_search(ids, v, own, points, np.asarray(part.column(5)), k, tree)
                 i, j = np.nonzero(top != NONE)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(best[i, j]), pa.array(top[i, j])], names=["query_id", "vec_id", "score"])
 
     order = ["block", "part", "asks"]
-    return every.repartition("block", "part").sortWithinPartitions(*order).mapInArrow(run, "query_id long, vec_id long, score long")
+    own = (F.col("block") * query_parts + F.col("part")).cast("int")
+    return every.repartitionById(max(1, blocks * query_parts), own).sortWithinPartitions(*order).mapInArrow(run, "query_id long, vec_id long, score long")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, query_block: int = 65536, cells: int = 64, least_block: int = 512, most_block: int = 16384, most_cells: int = 1024) -> DataFrame:
@@ -297,11 +370,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, query_block: int
     data, found_cells = dealt(vectors, min(max(1, -(-n // size)), most_cells), size)
     asks = written(queries.select("vec_id", "v", F.lit(NONE).alias("floor"), F.lit(-1).alias("seen")), "queries")
     parts = max(1, -(-asks.count() // query_block))
+    blocks = sum(found_cells.blocks.values())
     start = reached(asks, found_cells, True)
-    seed = written(searched(data, start, k, parts), "seeds")
+    seed = written(searched(data, start, k, blocks, parts), "seeds")
     kth = seed.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
     later = start.select("vec_id", "v", F.col("cell").alias("seen")).join(kth, "vec_id", "left").withColumn("floor", F.coalesce("kth", F.lit(NONE)))
-    found = seed.unionByName(searched(data, reached(later, found_cells, False), k, parts))
+    found = seed.unionByName(searched(data, reached(later, found_cells, False), k, blocks, parts))
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

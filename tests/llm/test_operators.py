@@ -705,3 +705,53 @@ def test_cover_tree_covers():
     for lo, hi, center, radius, children in tree.nodes:
         assert np.sqrt(((points[tree.order[lo:hi]] - points[center]) ** 2).sum(1)).max() <= radius + 1e-9
         assert not children or sorted(i for c in children for i in range(tree.nodes[c][0], tree.nodes[c][1])) == list(range(lo, hi))
+
+
+def test_nodes_stay_large_in_many_dimensions():
+    """Vectors without clusters: leaves of a few rows made a search over them thousands of times slower than their products."""
+    points = np.random.default_rng(3).normal(size=(6000, 64))
+    tree = topk.CoverTree(points)
+    leaves = [hi - lo for lo, hi, _, _, children in tree.nodes if not children]
+    assert sum(leaves) == 6000 and len(leaves) < 6000 / 12
+
+
+@pytest.mark.parametrize("tile", [1, 64, 1 << 20])
+@pytest.mark.parametrize("scale", [2, 1000, 10**6, 3 * 10**8])
+def test_dual_search_of_tiles(monkeypatch, tile, scale):
+    """Ties, repeated ids, floors that answers just reach, products in float32, float64 and integers."""
+    monkeypatch.setattr(topk, "TILE", tile)
+    monkeypatch.setattr(topk, "TALL", min(tile, 7))
+    rng = np.random.default_rng(scale)
+    v = rng.integers(-scale, scale + 1, (300, 5))[rng.integers(0, 300, 300)]
+    ids, asks = rng.integers(0, 250, 300), rng.integers(0, 250, 20)
+    want = [sorted(((-sum(int(a) * int(b) for a, b in zip(v[q], v[c], strict=True)), int(ids[c])) for c in range(300) if ids[c] != asks[q]))[:6] for q in range(20)]
+    for floor in (np.full(20, topk.NONE), np.array([-w[-1][0] for w in want])):
+        score, best = topk.dual_search(asks, v[:20], ids, v, floor, 6)
+        assert [[(-s, c) for s, c in zip(x, y, strict=True)] for x, y in zip(score.tolist(), best.tolist(), strict=True)] == want
+
+
+def test_far_nodes_are_not_opened(monkeypatch):
+    monkeypatch.setattr(topk, "TILE", 256)
+    rng = np.random.default_rng(4)
+    around = rng.normal(size=(40, 16)) * 1000
+    v = (around[np.arange(4000) % 40] + rng.normal(size=(4000, 16)) * 20).astype(int)
+    tree = topk.CoverTree(v.astype(float), whole=False)
+    asks = np.arange(7, 4000, 40)
+    score, _ = topk.dual_search(asks, v[asks], np.arange(4000), v, np.full(100, topk.NONE), 5, tree)
+    full = v[asks] @ v.T
+    full[np.arange(100), asks] = topk.NONE
+    assert (score == np.sort(full, 1)[:, :-6:-1]).all()
+    first = tree.nodes[0][4]
+    assert len(first) >= 30 and 4 * sum(tree.made[c] for c in first) <= len(first)
+
+
+def test_a_block_is_a_task(spark):
+    """Tasks are not merged by their bytes: their work is rows times queries."""
+    v = np.random.default_rng(8).integers(-500, 500, (2000, 8))
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, v array<long>")
+    data, cells = topk.dealt(df, 20, 100)
+    asks = df.where("vec_id % 100 = 0").select("vec_id", "v", F.lit(topk.NONE).alias("floor"), F.lit(-1).alias("seen"))
+    blocks = sum(cells.blocks.values())
+    found = topk.searched(data, topk.reached(asks, cells, False), 10, blocks, 1)
+    tasks = found.withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.countDistinct("query_id").alias("n")).collect()
+    assert len(tasks) == blocks >= 20 and all(r.n == 20 for r in tasks)
